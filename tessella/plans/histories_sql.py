@@ -30,7 +30,7 @@ WHERE before IS NULL OR s.p IS DISTINCT FROM prior.p OR s.s IS DISTINCT FROM pri
 """
 
 _REFS = "\nUNION ALL\n".join(
-    f"SELECT '{t}' AS table_name, id AS record_id, '{f}' AS ref_field, '{k}' AS kind, {fold(f)} AS key, created_at AS "at" FROM {t}"
+    f"SELECT '{t}' AS table_name, id AS record_id, '{f}' AS ref_field, '{k}' AS kind, {fold(f)} AS key, created_at AS at_time FROM {t}"
     for t, f, k in (("runs", "user_id", "user"), ("runs", "org_id", "org"), ("audit_log", "user_id", "user"), ("spec_results", "user_id", "user"))
 )
 _ORPHANS = f"""
@@ -39,12 +39,12 @@ parents AS (
   SELECT 'user' AS kind, {fold('id')} AS key, max(created_at) AS created_at, max(deleted_at) AS deleted_at FROM users GROUP BY 2
   UNION ALL SELECT 'org', {fold('id')}, max(created_at), max(deleted_at) FROM organizations GROUP BY 2
 ), judged AS (
-  SELECT table_name, record_id, ref_field, r."at", CASE WHEN p.key IS NULL THEN 'missing' WHEN p.deleted_at <= r."at" THEN 'deleted' WHEN p.created_at > r."at" THEN 'not yet there' END AS reason
+  SELECT table_name, record_id, ref_field, r.at_time, CASE WHEN p.key IS NULL THEN 'missing' WHEN p.deleted_at <= r.at_time THEN 'deleted' WHEN p.created_at > r.at_time THEN 'not yet there' END AS reason
   FROM refs r LEFT JOIN parents p ON p.kind = r.kind AND p.key = r.key
 )
 """
 P6 = _ORPHANS + "SELECT DISTINCT table_name, record_id, ref_field FROM judged WHERE reason IS NOT NULL"
-P6_MONTH = _ORPHANS + "SELECT table_name, ref_field, reason, strftime(date_trunc('month', "at"), '%Y-%m-%d') AS period, count(*) AS orphans FROM judged WHERE reason IS NOT NULL GROUP BY ALL"
+P6_MONTH = _ORPHANS + "SELECT table_name, ref_field, reason, strftime(date_trunc('month', at_time), '%Y-%m-%d') AS period, count(*) AS orphans FROM judged WHERE reason IS NOT NULL GROUP BY ALL"
 
 P7 = f"""
 WITH once AS (SELECT id, any_value({fold('user_id')}) AS user_id, any_value(CAST(timestamp AS DATE)) AS d, any_value(coalesce(errors, 0)) AS errors FROM runs GROUP BY id),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, provenance, secrets, tokenize
+from tessella.llm import leakage, provenance, secrets, tokenize, toxicity
 from tessella.sources.tables import table
 
 
@@ -46,7 +46,28 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("windows").alias("most_windows"))
 
 
+def _scored(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(toxicity.labelled_texts(documents, table(spark, sf_dir, "moderation_labels")))
+    return toxicity.score_documents(documents, chain, extra)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score and the probabilities of the chain's categories."""
+    return _scored(spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of offensive documents per source."""
+    return toxicity.rates(_scored(spark, sf_dir, ("source",)))
+
+
 QUERIES = {
     "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaked_items": p9_leaked_items,
+    "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 ORACLE: dict[str, str] = {}

@@ -12,6 +12,7 @@ slice's earliest recording).
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,13 +57,38 @@ def _nearest_known(valid: np.ndarray, recorded: np.ndarray, order: range) -> np.
     return found
 
 
-def _sweep_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["v", "r"], kind="stable").reset_index(drop=True)
-    v, r = pdf["v"].to_numpy(np.int64), pdf["r"].to_numpy(np.int64)
-    left, right = _nearest_known(v, r, range(len(v))), _nearest_known(v, r, range(len(v) - 1, -1, -1))
-    pdf["pred_v"] = pd.Series(np.where(left >= 0, v[left], 0)).astype("Int64").mask(left < 0)
-    pdf["succ_v"] = pd.Series(np.where(right >= 0, v[right], 0)).astype("Int64").mask(right < 0)
-    return pdf[["key", "slice", "v", "r", "pred_v", "succ_v"]]
+def _linked(frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows of whole slices, sorted by (key, slice, v, r), with the instants of their neighbours."""
+    v, r = frame["v"].to_numpy(np.int64), frame["r"].to_numpy(np.int64)
+    left, right = np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
+    starts = [*np.flatnonzero(_new_slice(frame)).tolist(), len(v)]
+    for a, b in zip(starts, starts[1:]):
+        if b - a > 1:
+            own = _nearest_known(v[a:b], r[a:b], range(b - a)), _nearest_known(v[a:b], r[a:b], range(b - a - 1, -1, -1))
+            left[a:b], right[a:b] = (np.where(x >= 0, x + a, -1) for x in own)
+    return frame[["key", "slice", "v", "r"]].assign(
+        pred_v=pd.Series(v[left], index=frame.index).astype("Int64").mask(left < 0), succ_v=pd.Series(v[right], index=frame.index).astype("Int64").mask(right < 0)
+    )
+
+
+def _new_slice(frame: pd.DataFrame) -> np.ndarray:
+    key, part = frame["key"], frame["slice"]
+    return ((key != key.shift()) | (part != part.shift())).to_numpy()
+
+
+def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams sorted rows; only the slice that is still open waits for the next batch."""
+    rest: pd.DataFrame | None = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        last = int(np.flatnonzero(_new_slice(frame))[-1])
+        done, rest = frame.iloc[:last], frame.iloc[last:]
+        if len(done):
+            yield _linked(done)
+    if rest is not None and len(rest):
+        yield _linked(rest)
 
 
 def _resolve_open(links: DataFrame, side: str) -> DataFrame:
@@ -103,7 +129,7 @@ def ledger(assertions: DataFrame, names: Assertions = Assertions(), slice_second
     sliced = base.select("key", "v", "r", F.floor(F.col("v") / F.lit(slice_seconds * 1_000_000)).alias("slice"))
     key_type = base.schema["key"].dataType
     out = T.StructType([T.StructField("key", key_type), *(T.StructField(c, T.LongType()) for c in ("slice", "v", "r", "pred_v", "succ_v"))])
-    links = durable(sliced.groupBy("key", "slice").applyInPandas(_sweep_slice, out))
+    links = durable(sliced.repartition("key", "slice").sortWithinPartitions("key", "slice", "v", "r").mapInPandas(_sweep, out))
     links = _resolve_open(_resolve_open(links, "succ"), "pred")
     # each assertion opens a row, and closes the one of its predecessor with a shorter successor
     opened = links.select("key", F.col("v").alias("at"), F.col("r").alias("recorded"), F.col("succ_v").alias("ends"))

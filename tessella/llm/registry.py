@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, provenance, secrets, tokenize, toxicity
+from tessella.llm import leakage, percentiles, provenance, secrets, tokenize, toxicity
+from tessella.functions.keys import fold_key
 from tessella.sources.tables import table
 
 
@@ -14,6 +15,29 @@ def _owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "runs").select(F.col("id").alias("run_id"), owner.alias("owner")).where("run_id is not null and owner is not null").dropDuplicates(["run_id"])
 
 
+RANKS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def _run_summary(spark: SparkSession, sf_dir: str, digits: int | None = None) -> DataFrame:
+    """(org_id, day, metric, value, n) of all runs, each counted once; days can be computed apart and merged."""
+    run = F.coalesce("id", F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    runs = table(spark, sf_dir, "runs").select(run.alias("run"), fold_key(F.col("org_id")).alias("org_id"), F.to_date("timestamp").alias("day"), "duration_ms", "total_issues").dropDuplicates(["run"])
+    groups = {"org_id": F.col("org_id"), "day": F.col("day")}
+    return percentiles.summarise(runs, groups, {"duration_ms": F.col("duration_ms"), "total_issues": F.col("total_issues")}, digits)
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles per organization (null: runs of none) from the merged summaries of all days."""
+    over_days = percentiles.roll_up(_run_summary(spark, sf_dir), ["org_id"])
+    return percentiles.percentiles(over_days, ["org_id"], RANKS)
+
+
+def p2_day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded mergeable form: values to 10 binary digits (relative error below 0.1 %) per organization and month."""
+    summary = _run_summary(spark, sf_dir, 10).withColumn("day", F.trunc("day", "month"))
+    return percentiles.roll_up(summary, ["org_id", "day"]).groupBy("org_id", "day", "metric").agg(F.sum("n").alias("rows"), F.count("*").alias("points"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.unwritten_files(table(spark, sf_dir, "file_diffs"), _owners(spark, sf_dir)).select("file_id")
 
@@ -67,7 +91,30 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_percentiles": p2_percentiles, "p2_day_summaries": p2_day_summaries,
     "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaked_items": p9_leaked_items,
     "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
-ORACLE: dict[str, str] = {}
+_ONCE = """
+WITH once AS (
+  SELECT id, any_value(nullif(lower(regexp_replace(org_id, '^\\s+|\\s+$', '', 'g')), '')) AS org_id, any_value(duration_ms) AS duration_ms, any_value(total_issues) AS total_issues FROM runs GROUP BY id
+), vals AS (
+  SELECT org_id, 'duration_ms' AS metric, CAST(duration_ms AS DOUBLE) AS value FROM once WHERE duration_ms IS NOT NULL
+  UNION ALL SELECT org_id, 'total_issues', CAST(total_issues AS DOUBLE) FROM once WHERE total_issues IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY org_id, metric ORDER BY value) AS i, count(*) OVER (PARTITION BY org_id, metric) AS n FROM vals
+)
+"""
+_P2 = _ONCE + """
+SELECT p.org_id, p.metric, CAST(r.rank AS DOUBLE) AS rank, p.value, p.n AS rows
+FROM placed p JOIN (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS rank) r ON p.i = greatest(CAST(ceil(CAST(r.rank AS DOUBLE) * p.n - 1e-9) AS BIGINT), 1)
+"""
+_P9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS run FROM d),
+iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS run FROM i)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)
+"""
+#: SQL can't express the other queries; they are tested against brute force, a reference tokenizer and held-out labels.
+ORACLE: dict[str, str] = {"p2_percentiles": _P2, "p9_found": _P9}

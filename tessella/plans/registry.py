@@ -1,7 +1,7 @@
 """All queries of the core and the SQL that they are checked against."""
 from __future__ import annotations
 
-from tessella.plans import histories, histories_sql
+from tessella.plans import histories, histories_sql, line_queries
 
-QUERIES = {**histories.QUERIES}
-ORACLE = {**histories_sql.ORACLE}
+QUERIES = {**histories.QUERIES, **line_queries.QUERIES}
+ORACLE = {**histories_sql.ORACLE, **line_queries.ORACLE}

@@ -254,13 +254,13 @@ def sticky_async(spark, sf_dir):
     return rows.where("inside and type = 'added'").groupBy("file_id", "hunk_no").agg(F.count("*").alias("lines"))
 
 
-@query(rf""", w AS (SELECT *, coalesce(last(CASE WHEN regexp_matches(content, '\b(catch|rescue|except)\b') THEN true WHEN regexp_matches(content, '^\s*(def|function|func) ') THEN false END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY hunk_no, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM every_line)
+@query(rf""", w AS (SELECT *, coalesce(last(CASE WHEN regexp_matches(content, '\b(throw|raise|panic)\b') THEN true WHEN regexp_matches(content, '^\s*(def|function|func|public) ') THEN false END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY hunk_no, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM every_line)
 SELECT file_id, count(*) AS lines FROM w WHERE inside GROUP BY ALL""")
 def sticky_across_hunks(spark, sf_dir):
     """The same with a flag that a file carries from hunk to hunk."""
     c = F.col("content")
     order = W.partitionBy("file_id").orderBy("hunk_no", "pos")
-    rows = lines_of(spark, sf_dir).withColumn("inside", L.sticky(c.rlike(r"\b(catch|rescue|except)\b"), c.rlike(r"^\s*(def|function|func) "), order))
+    rows = lines_of(spark, sf_dir).withColumn("inside", L.sticky(c.rlike(r"\b(throw|raise|panic)\b"), c.rlike(r"^\s*(def|function|func|public) "), order))
     return rows.where("inside").groupBy("file_id").agg(F.count("*").alias("lines"))
 
 

@@ -1,7 +1,7 @@
 """All queries of the core and the SQL that they are checked against."""
 from __future__ import annotations
 
-from tessella.plans import histories, histories_sql, join_queries, line_queries
+from tessella.plans import histories, histories_sql, join_queries, line_queries, report_queries, service_queries
 
-QUERIES = {**histories.QUERIES, **line_queries.QUERIES, **join_queries.QUERIES}
-ORACLE = {**histories_sql.ORACLE, **line_queries.ORACLE, **join_queries.ORACLE}
+QUERIES = {**histories.QUERIES, **line_queries.QUERIES, **join_queries.QUERIES, **service_queries.QUERIES, **report_queries.QUERIES}
+ORACLE = {**histories_sql.ORACLE, **line_queries.ORACLE, **join_queries.ORACLE, **service_queries.ORACLE, **report_queries.ORACLE}

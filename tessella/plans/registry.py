@@ -1,7 +1,8 @@
 """All queries of the core and the SQL that they are checked against."""
 from __future__ import annotations
 
-from tessella.plans import histories, histories_sql, join_queries, line_queries, report_queries, service_queries
+from tessella.plans import histories, histories_sql, join_queries, line_queries, report_queries, service_queries, stream_queries
 
-QUERIES = {**histories.QUERIES, **line_queries.QUERIES, **join_queries.QUERIES, **service_queries.QUERIES, **report_queries.QUERIES}
-ORACLE = {**histories_sql.ORACLE, **line_queries.ORACLE, **join_queries.ORACLE, **service_queries.ORACLE, **report_queries.ORACLE}
+_ALL = (histories, line_queries, join_queries, service_queries, report_queries, stream_queries)
+QUERIES = {name: f for module in _ALL for name, f in module.QUERIES.items()}
+ORACLE = {name: sql for module in (histories_sql, *_ALL[1:]) for name, sql in module.ORACLE.items()}

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.lineage import durable
+
 #: A shared subtree needs this many files, and owners of repositories that hold it: one file alone may be a plain redelivery.
 MIN_FILES, MIN_OWNERS = 2, 3
 #: Folders below this depth count as part of the file's name.
@@ -117,7 +119,8 @@ def rule_verdicts(files: DataFrame) -> DataFrame:
         for frame in frames:
             kinds = [judge(p, None if b is None or b != b else bool(b), list(t) if t is not None else []) for p, b, t in zip(frame["path"], frame["is_binary"], frame["texts"])]
             hit = [k is not None for k in kinds]
-            yield pd.DataFrame({"file_id": frame["file_id"][hit], "kind": [k for k in kinds if k]})
+            if any(hit):
+                yield pd.DataFrame({"file_id": frame["file_id"][hit], "kind": [k for k in kinds if k]})
 
     return texts.mapInPandas(look, "file_id bigint, kind string")
 
@@ -142,20 +145,22 @@ def shared_subtrees(files: DataFrame, owners: DataFrame, min_files: int = MIN_FI
             F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"),
         )
     )
+    leaf = durable(leaf)
     deepest = leaf.agg(F.max(F.size("dirs"))).first()[0] or 0
-    nodes = leaf.select("run_id", F.array_join("dirs", "/").alias("parent"), F.size("dirs").alias("depth"), "name", "a", "b", F.lit(1).alias("files"))
-    folders = None
+    own = leaf.select("run_id", F.array_join("dirs", "/").alias("parent"), F.size("dirs").alias("depth"), "name", "a", "b", F.lit(1).cast("long").alias("files"))
+    folders, from_below = None, None
     for depth in range(deepest, 0, -1):
-        level = (
-            nodes.where(F.col("depth") == depth).groupBy("run_id", "parent")
-            .agg(F.bit_xor(F.xxhash64("name", "a")).alias("a"), F.bit_xor(F.xxhash64("name", "b", F.lit(11))).alias("b"), F.sum("files").alias("files"))
-        )
+        children = own.where(F.col("depth") == depth)
+        if from_below is not None:
+            children = children.unionByName(from_below)
+        level = durable(  # each level is written, so the plan of a deep tree doesn't repeat the levels below
+            children.groupBy("run_id", "parent").agg(F.bit_xor(F.xxhash64("name", "a")).alias("a"), F.bit_xor(F.xxhash64("name", "b", F.lit(11))).alias("b"), F.sum("files").alias("files"))
+        )
         folders = level if folders is None else folders.unionByName(level)
-        up = level.select(
+        from_below = level.select(
             "run_id", F.when(F.lit(depth) > 1, F.substring_index("parent", "/", depth - 1)).otherwise(F.lit("")).alias("parent"), F.lit(depth - 1).alias("depth"),
             F.substring_index("parent", "/", -1).alias("name"), "a", "b", "files",
         )
-        nodes = nodes.where(F.col("depth") < depth).unionByName(up)
     if folders is None:
         return files.select("file_id").limit(0)
     held = folders.where(F.col("files") >= min_files).join(owners, "run_id")

@@ -111,6 +111,14 @@ def _literal(value: str) -> str:
     return "".join(p[1:-1] for p in re.findall(_QUOTED, value)) if value[:1] in "\"'`" else value
 
 
+def _insides(m: re.Match) -> list[tuple[int, int]]:
+    """Places of a value: the insides of its quoted strings, or the whole of a bare one."""
+    a, b = m.span("value")
+    if m["value"][0] not in "\"'`":
+        return [(a, b)]
+    return [(a + q.start() + 1, a + q.end() - 1) for q in re.finditer(_QUOTED, m["value"])]
+
+
 def _basic(value: str) -> bool:
     try:
         return b":" in base64.b64decode(value + "=" * (-len(value) % 4), validate=True)
@@ -139,8 +147,7 @@ def spans(line: str) -> list[tuple[int, int]]:
             if _folded(m["name"]) == "auth" and not _basic(value):
                 continue
             if level is not None and _usable(value, level):
-                a, b = m.span("value")
-                found.append((a + 1, b - 1) if m["value"][0] in "\"'`" else (a, b))
+                found += _insides(m)
     if (m := _BARE.match(line)) and _name_level(m["name"]) == NAMED and _usable(m["value"], NAMED) and not re.match(r"^[A-Za-z_]\w*(?:\.\w+)+$", m["value"]):
         found.append(m.span("value"))
     for m in _URL.finditer(line):
@@ -156,8 +163,7 @@ def spans(line: str) -> list[tuple[int, int]]:
         for m in form.finditer(line):
             value = _literal(m["value"])
             if _usable(value, NAMED) and re.search(r"\d|[a-z][A-Z]", value):
-                a, b = m.span("value")
-                found.append((a + 1, b - 1) if m["value"][0] in "\"'`" else (a, b))
+                found += _insides(m)
     return found
 
 

@@ -92,10 +92,17 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in (p.strip() for p in _SENTENCE.split(text)) if s] if text else []
 
 
+def _joined(m: re.Match) -> str:
+    """Spaced letters as a word; an article or pronoun that stands before the word is no part of it."""
+    word = re.sub(r"[ .\-*_]", "", m.group())
+    single = re.sub(r"(.)\1+", r"\1", word.lower())
+    return f"{word[0]} {word[1:]}" if single not in CLASS_OF and re.sub(r"(.)\1+", r"\1", word[1:].lower()) in CLASS_OF else word
+
+
 def tokens(sentence: str) -> tuple[str, ...]:
     """The words of a sentence with disguises undone; names become markers, numbers vanish."""
     s = unicodedata.normalize("NFKC", _ZERO.sub("", sentence))
-    s = _SPACED.sub(lambda m: re.sub(r"[ .\-*_]", "", m.group()) if len(re.sub(r"[ .\-*_]", "", m.group())) > 2 else m.group(), s)
+    s = _SPACED.sub(_joined, s)
     s = _USER.sub(" atuser ", _CODE.sub(" ident ", s))
     out = []
     for raw in s.split():

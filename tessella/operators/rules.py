@@ -66,17 +66,19 @@ def _issue(rule: Rule, group: Group) -> Column:
 def scan(lines: DataFrame, groups: Iterable[Group]) -> DataFrame:
     """Issues of all groups over the added lines of ``lines`` (diff_lines): file_id, hunk_no, pos, file, line, grp, id, ..."""
     content = F.col("content")
-    hits = []
+    hits, texts = [], []
     for g in groups:
         applies = F.lit(True) if not g.extensions else F.col("ext").isin(*g.extensions)
         if not g.comments:
             applies = applies & ~L.is_comment(content)
-        found = [F.when(applies & _fires(r, g, content), _issue(r, g)) for r in g.rules]
-        one = found if g.every else [F.coalesce(*found)]
-        hits += [F.when(x.isNotNull(), F.struct(F.lit(g.name).alias("grp"), x.alias("i"))) for x in one]
+        found = []
+        for r in g.rules:  # lines carry the rule's number; its texts are looked up afterwards
+            texts.append(F.struct(F.lit(g.name).alias("grp"), _issue(r, g).alias("i")))
+            found.append(F.when(applies & _fires(r, g, content), F.lit(len(texts))))
+        hits += found if g.every else [F.coalesce(*found)]
     rows = L.added(L.analyzable(lines)).where("content is not null")
-    each = rows.select("file_id", "hunk_no", "pos", "file", F.col("new_num").alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-    return each.select("file_id", "hunk_no", "pos", "file", "line", "hit.grp", "hit.i.*")
+    each = rows.select("file_id", "hunk_no", "pos", "file", F.col("new_num").alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("k"))
+    return each.select("file_id", "hunk_no", "pos", "file", "line", F.element_at(F.array(*texts), F.col("k")).alias("hit")).select("file_id", "hunk_no", "pos", "file", "line", "hit.grp", "hit.i.*")
 
 
 def scan_custom(lines: DataFrame, rules: Iterable[CustomRule]) -> DataFrame:

@@ -1,0 +1,63 @@
+"""Queries of the analyzers that need the neighbourhood of a line, and of complexity, each beside its SQL."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.operators import guards
+from tessella.operators import lines as L
+from tessella.plans import guard_packs
+from tessella.plans import line_queries as Q
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def _guarded(name: str, rules: tuple) -> None:
+    def run(spark, sf_dir):
+        return guards.guarded_issues(Q.lines_of(spark, sf_dir), rules).select("file_id", "hunk_no", "pos", "id", "severity")
+
+    QUERIES[name] = run
+    ORACLE[name] = f"WITH {Q.LINES_SQL} {guards.guarded_sql(rules)}"
+
+
+for _name, _rules in (("analyzer_resource", guard_packs.RESOURCE), ("analyzer_concurrency", guard_packs.CONCURRENCY), ("analyzer_errorhandling", guard_packs.ERRORS)):
+    _guarded(_name, _rules)
+
+# fixed values: thresholds (warning, error), all strict
+CYCLOMATIC, DEPTH, RETURNS = (10, 20), (4, 6), 8
+
+
+def level(value, bounds: tuple[int, int]):
+    return F.when(value > bounds[1], "error").when(value > bounds[0], "warning")
+
+
+def analyzer_complexity(spark, sf_dir):
+    """Functions that branch or return too often, and hunks nested too deeply."""
+    f = Q.function_regions(spark, sf_dir)
+    branching = f.select("file_id", "hunk_no", F.col("region").alias("pos"), F.lit("complexity/cyclomatic").alias("id"), level(F.col("complexity"), CYCLOMATIC).alias("severity")).where("severity is not null")
+    returning = f.where(F.col("returns") > RETURNS).select("file_id", "hunk_no", F.col("region").alias("pos"), F.lit("complexity/returns").alias("id"), F.lit("warning").alias("severity"))
+    deep = L.clamped_depth(L.added(Q.lines_of(spark, sf_dir))).groupBy("file_id", "hunk_no").agg(F.max("depth").alias("d"), F.max_by("pos", F.struct("depth", -F.col("pos"))).alias("pos"))
+    nested = deep.select("file_id", "hunk_no", "pos", F.lit("complexity/nesting").alias("id"), level(F.col("d"), DEPTH).alias("severity")).where("severity is not null")
+    return branching.unionByName(returning).unionByName(nested)
+
+
+QUERIES["analyzer_complexity"] = analyzer_complexity
+_REGIONS = Q.ORACLE["function_regions"]
+_DEPTHS = Q.ORACLE["clamped_depth"].replace("SELECT file_id, hunk_no, CAST(max(depth) AS INT) AS max_depth FROM u GROUP BY ALL", "SELECT file_id, hunk_no, max(depth) AS d, arg_max(pos, struct_pack(a := depth, b := -pos)) AS pos FROM u GROUP BY file_id, hunk_no")
+ORACLE["analyzer_complexity"] = f"""
+WITH reg AS ({_REGIONS}), dep AS ({_DEPTHS})
+SELECT file_id, hunk_no, region AS pos, 'complexity/cyclomatic' AS id, CASE WHEN complexity > 20 THEN 'error' ELSE 'warning' END AS severity FROM reg WHERE complexity > 10
+UNION ALL SELECT file_id, hunk_no, region, 'complexity/returns', 'warning' FROM reg WHERE returns > 8
+UNION ALL SELECT file_id, hunk_no, pos, 'complexity/nesting', CASE WHEN d > 6 THEN 'error' ELSE 'warning' END FROM dep WHERE d > 4"""
+
+
+def analyzers_overview(spark, sf_dir):
+    """Issues per analyzer, rule and severity of one analysis over all files, with every analyzer at work."""
+    from tessella.plans import pipeline
+    from tessella.sources.tables import table
+
+    ctx = pipeline.Context(table(spark, sf_dir, "file_diffs"), custom=Q.CUSTOM)
+    return pipeline.analyse(ctx).groupBy("category", "id", "severity").agg(F.count("*").alias("issues"))
+
+
+QUERIES["analyzers_overview"] = analyzers_overview

@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import guards
 from tessella.operators import issues as I
 from tessella.operators import lines as L
 from tessella.operators import rules as R
-from tessella.plans import packs
+from tessella.plans import guard_packs, packs, relational
 
 COLUMNS = ["file_id", "file", "line", "id", "severity", "category", "message"]
 
@@ -35,13 +36,21 @@ def _pack(*groups: R.Group) -> Callable[[Context], DataFrame]:
     return lambda ctx: R.scan(ctx.lines, groups).select(*COLUMNS)
 
 
+def _guards(*rules: guards.Guarded) -> Callable[[Context], DataFrame]:
+    return lambda ctx: guards.guarded_issues(ctx.lines, rules).select(*COLUMNS)
+
+
 #: Analyzers by category; each turns the context into issues. Unknown names in ``enabled`` are ignored.
 ANALYZERS: dict[str, Callable[[Context], DataFrame]] = {
-    "security": _pack(*packs.SECURITY), "migration": _pack(packs.SQL_MIGRATION), "patterns": _pack(packs.CONSOLE, packs.PLACEHOLDER), "errorhandling": _pack(packs.EMPTY_CATCH),
+    "security": _pack(*packs.SECURITY), "migration": _pack(packs.SQL_MIGRATION), "patterns": _pack(packs.CONSOLE, packs.PLACEHOLDER), "errorhandling": lambda ctx: _pack(packs.EMPTY_CATCH)(ctx).unionByName(_guards(*guard_packs.ERRORS)(ctx)),
+    "resource": _guards(*guard_packs.RESOURCE), "concurrency": _guards(*guard_packs.CONCURRENCY),
     "custom": lambda ctx: R.scan_custom(ctx.lines, ctx.custom).select(*COLUMNS),
 }
 
 
+ANALYZERS |= relational.ANALYZERS
+
+
 def analyse(ctx: Context, analyzers: Iterable[str] | None = None) -> DataFrame:
     """The issues of all enabled analyzers, after suppression and baseline, unordered (see issues.ordered)."""
     names = [n for n in (analyzers or ANALYZERS) if ctx.enabled is None or n in ctx.enabled]

@@ -37,7 +37,7 @@ NAME_WORDS = (
 # fixed values: endings of names that tell about a credential but hold none
 NOT_NAMES = ("name", "field", "id", "length", "count", "type", "path", "file", "prefix", "ttl", "header", "label", "hash", "publickey", "placeholder", "parser", "url")
 # fixed values: what stands for a value that isn't there
-PLACEHOLDERS = re.compile(r"(?i)^(?:changeme|change_me|example|placeholder|dummy|redacted|password|passwd|secret|token|none|null|true|false|todo|test|user|root|admin)$|x{4,}|\*{3,}|\.{3,}|your|<|>|\{\{|\$\{|%\(|^\$|^ENC\[|changeme|^env\.|process\.env|os\.environ|^vault:|^!|^arn:")
+PLACEHOLDERS = re.compile(r"(?i)^(?:changeme|change_me|example|placeholder|dummy|redacted|password|passwd|secret|token|none|null|true|false|todo|test|user|root|admin)$|x{4,}|\*{3,}|\.{3,}|\byour\b|your[_\- ]|<|>|\{\{|\$\{|%\(|^\$|^ENC\[|changeme|^env\.|process\.env|os\.environ|^vault:|^!|^arn:")
 
 _TOKEN = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(TOKEN_FORMS) + ")(?![A-Za-z0-9])")
 _HINT = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred|kennwort|clave|contrase|://|identified|mysql|curl|:\d+:|-----|akia|asia|gh[opsur]_|github_pat|glpat|_live_|SG\.|aiza|npm_|flt_|xox|eyJ")
@@ -63,7 +63,7 @@ _PHRASE = (
 )
 _BEGIN, _END = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"), re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"^[\s\"'+#*/\\]*[A-Za-z0-9+/=]{8,}(?:\\n)?[\s\"',;+]*$")
-_WORDS = re.compile(r"^(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[_\-. /]?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}))*$")
+_WORDS = re.compile(r"^(?:[A-Z]?[a-z]{2,}|[A-Z]{3,})(?:[_\-. /]?(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}))*$")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 
 
@@ -83,12 +83,20 @@ def relative_entropy(text: str) -> float:
 
 
 def _usable(value: str, least: float) -> bool:
+    if _TOKEN.fullmatch(value):
+        return not PLACEHOLDERS.search(value) and len(set(value)) > 8
     if len(value) < MIN_LENGTH or PLACEHOLDERS.search(value) or re.search(r"\s", value) or _UUID.match(value):
         return False
     varied = re.search(r"\d", value) or not _WORDS.match(value)
     return bool(varied) and len(set(value)) > 4 and relative_entropy(value) >= least
 
 
+def _attribute(value: str) -> bool:
+    """Whether a bare value is a dotted path of identifiers."""
+    parts = value.split(".")
+    return len(parts) > 1 and all(p.isidentifier() and (p.islower() or _WORDS.match(p)) for p in parts)
+
+
 def _folded(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", name.lower())
 
@@ -148,7 +156,7 @@ def spans(line: str) -> list[tuple[int, int]]:
                 continue
             if level is not None and _usable(value, level):
                 found += _insides(m)
-    if (m := _BARE.match(line)) and _name_level(m["name"]) == NAMED and _usable(m["value"], NAMED) and not re.match(r"^[A-Za-z_]\w*(?:\.\w+)+$", m["value"]):
+    if (m := _BARE.match(line)) and _name_level(m["name"]) == NAMED and _usable(m["value"], NAMED) and not _attribute(m["value"]):
         found.append(m.span("value"))
     for m in _URL.finditer(line):
         if _usable(m["value"], NAMED) and m["host"] not in ("localhost",):

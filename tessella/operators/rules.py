@@ -36,6 +36,10 @@ class Group:
     unless: tuple[str, ...] = ()
     comments: bool = False
     every: bool = False
+    #: the message ends with the line's text
+    quotes: bool = False
+    #: paths that the group leaves alone
+    skip: str = ""
 
 
 @dataclass(frozen=True)
@@ -71,14 +75,18 @@ def scan(lines: DataFrame, groups: Iterable[Group]) -> DataFrame:
         applies = F.lit(True) if not g.extensions else F.col("ext").isin(*g.extensions)
         if not g.comments:
             applies = applies & ~L.is_comment(content)
+        if g.skip:
+            applies = applies & ~F.col("file").rlike(g.skip)
         found = []
         for r in g.rules:  # lines carry the rule's number; its texts are looked up afterwards
-            texts.append(F.struct(F.lit(g.name).alias("grp"), _issue(r, g).alias("i")))
+            texts.append(F.struct(F.lit(g.name).alias("grp"), F.lit(g.quotes).alias("quotes"), _issue(r, g).alias("i")))
             found.append(F.when(applies & _fires(r, g, content), F.lit(len(texts))))
         hits += found if g.every else [F.coalesce(*found)]
     rows = L.added(L.analyzable(lines)).where("content is not null")
-    each = rows.select("file_id", "hunk_no", "pos", "file", F.col("new_num").alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("k"))
-    return each.select("file_id", "hunk_no", "pos", "file", "line", F.element_at(F.array(*texts), F.col("k")).alias("hit")).select("file_id", "hunk_no", "pos", "file", "line", "hit.grp", "hit.i.*")
+    each = rows.select("file_id", "hunk_no", "pos", "file", F.col("new_num").alias("line"), "content", F.explode(F.array_compact(F.array(*hits))).alias("k"))
+    told = each.select("file_id", "hunk_no", "pos", "file", "line", "content", F.element_at(F.array(*texts), F.col("k")).alias("hit"))
+    out = told.select("file_id", "hunk_no", "pos", "file", "line", "hit.grp", "hit.i.*", F.when(F.col("hit.quotes"), F.trim("content")).otherwise(F.lit("")).alias("__shown"))
+    return out.withColumn("message", F.concat("message", "__shown")).drop("__shown")
 
 
 def scan_custom(lines: DataFrame, rules: Iterable[CustomRule]) -> DataFrame:
@@ -114,6 +122,8 @@ def fires_sql(rule: Rule, group: Group) -> str:
     parts = [f"regexp_matches(content, {quoted(rule.pattern)})", *(f"NOT regexp_matches(content, {quoted(x)})" for x in (*rule.unless, *group.unless))]
     if not group.comments:
         parts.append("NOT regexp_matches(content, '^\\s*(//|#|/\\*|\\*)')")
+    if group.skip:
+        parts.append(f"NOT regexp_matches(file, {quoted(group.skip)})")
     if group.extensions:
         parts.append("ext IN (" + ", ".join(map(quoted, group.extensions)) + ")")
     return "(" + " AND ".join(parts) + ")"
@@ -128,4 +138,4 @@ def group_sql(group: Group, source: str = "lines") -> str:
         )
     case = lambda value: "CASE " + " ".join(f"WHEN {fires_sql(r, group)} THEN {quoted(value(r))}" for r in group.rules) + " END"
     any_of = " OR ".join(fires_sql(r, group) for r in group.rules)
-    return head.format(g=quoted(group.name), id=case(lambda r: r.id or group.id), severity=case(lambda r: r.severity), category=quoted(group.category), message=case(lambda r: r.message)) + f" WHERE {any_of}"
+    return head.format(g=quoted(group.name), id=case(lambda r: r.id or group.id), severity=case(lambda r: r.severity), category=quoted(group.category), message=case(lambda r: r.message) + (" || trim(content)" if group.quotes else "")) + f" WHERE {any_of}"

@@ -99,15 +99,22 @@ SQL_MIGRATION = Group(
     ),
 )
 
-# fixed values: leftovers of debugging
-_DEBUG = "Debug output left in the code"
+# fixed values: leftovers of debugging, in this order, with the fix that removes each
 CONSOLE = Group(
-    "console", "patterns", id="patterns/console-log",
+    "console", "patterns", id="patterns/console-debug", quotes=True, skip=r"^scripts/|cmd/.*?(^|/)main\.go$",
     rules=tuple(
-        Rule(p, _DEBUG, severity="warning", fix_id=f)
+        Rule(p, "Debug/console output left in code: ", severity="info", fix_id=f, suggestion="Remove debug output or replace with proper logging")
         for p, f in (
-            (r"\bconsole\.(log|warn|debug)\(", "anti-console-log"), (r"\bfmt\.Println\(", "anti-debug-print"), (r"\bprint\(", "anti-debug-print"), (r"\bSystem\.out\.println\(", "anti-sysout"), (r"\bSystem\.err\.println\(", "anti-sysout"),
-            (r"\.printStackTrace\(\)", "anti-printstacktrace"), (r"\bprintln!\(", "anti-debug-macro"), (r"\beprintln!\(", "anti-debug-macro"), (r"\bdbg!\(", "anti-debug-macro"), (r"\bputs\s+", "ruby-debug-print"),
+            (r"\bconsole\.log\(", "anti-console-log"), (r"\bfmt\.Println\(", "anti-debug-print"), (r"\bprint\(", "anti-debug-print"), (r"\bSystem\.out\.println\(", "anti-sysout"), (r"\bSystem\.err\.println\(", "anti-sysout"),
+            (r"\.printStackTrace\(\)", "anti-printstacktrace"), (r"\bprintln!\(", "anti-debug-macro"), (r"\beprintln!\(", "anti-debug-macro"), (r"\bdbg!\(", "anti-debug-macro"),
+            (r"\bputs\s+", "ruby-debug-print"), (r"\b(?:^|\s)p\s+[^=]", "ruby-debug-print"), (r"\bpp\s+", "ruby-debug-print"), (r"\bbinding\.pry\b", "ruby-debugger"), (r"\bbyebug\b", "ruby-debugger"), (r"\bdebugger\b", "ruby-debugger"),
+            (r"\bprintln\(", "kotlin-debug-print"), (r"\bConsole\.Write(Line)?\(", "csharp-debug-print"), (r"\bvar_dump\(", "php-debug-print"), (r"\bprint_r\(", "php-debug-print"), (r"\bdd\(", "php-debug-dd"), (r"\bdebugPrint\(", "swift-debug-verbose"),
+            (r"\bprintf\(", "c-debug-print"), (r"\bstd::cout\b", "cpp-debug-print"), (r"\bstd::cerr\b", "cpp-debug-print"), (r"\bfprintf\s*\(\s*stderr\s*,", "c-debug-print"), (r"\bIO\.puts\b", "elixir-debug-print"), (r"\bIO\.inspect\b", "elixir-debug-print"),
+            (r"\bio\.write\(", "lua-debug-print"), (r"\bNSLog\s*\(", "objc-debug-print"), (r"\bdebugPrint\s*\(", "dart-debug-print"), (r'\becho\s+"debug', "bash-debug-print"), (r"\bset\s+-x\b", "bash-debug-print"), (r"\bwarn\s+", "perl-debug-print"),
+            (r"\bWrite-Debug\b", "powershell-debug-print"), (r"\bcat\(", "r-debug-print"), (r"\bmessage\(", "r-debug-print"), (r"\bbrowser\(\)", "r-debug-print"), (r"\becho\s+", "nim-debug-print"), (r"\bdump\(", "vlang-debug-print"), (r"\bwriteln\(", "dlang-debug-print"),
+            (r"\bwritefln\(", "dlang-debug-print"), (r"\(prn\s", "clojure-debug-print"), (r"\bio:format\(", "erlang-debug-print"), (r"\bprint_endline\b", "ocaml-debug-print"), (r"\bPrintf\.printf\b", "ocaml-debug-print"), (r"\b@show\b", "julia-debug-print"),
+            (r"(?i)\bWRITE\s*\(\s*\*\s*,", "fortran-debug-print"), (r"(?i)\bPRINT\s*\*\s*,", "fortran-debug-print"), (r"(?i)\bConsole\.WriteLine\(", "vb-debug-print"), (r"(?i)\bDebug\.Print\b", "vb-debug-print"), (r"(?i)\bDISPLAY\s+", "cobol-debug-print"),
+            (r"\bPut_Line\s*\(", "ada-debug-print"), (r"(?i)\bWriteLn\s*\(", "pascal-debug-print"), (r"(?i)\bPRINT\s+", "sql-debug-print"), (r"(?i)\bRAISE\s+NOTICE\b", "sql-debug-print"),
         )
     ),
 )

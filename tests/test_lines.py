@@ -92,8 +92,8 @@ def test_pipeline_suppresses_and_subtracts(spark):
     diff = files(spark, ("a.py", ["+print(1)", "+print(2)  # lint:ignore patterns", "+print(3)"]))
     ctx = pipeline.Context(diff, custom=(R.CustomRule("own", r"print\(3", "", "error", "Three"),), enabled=frozenset({"patterns", "custom"}))
     kept = pipeline.analyse(ctx)
-    assert sorted((r.line, r.id) for r in kept.collect()) == [(1, "patterns/console-log"), (3, "own")]  # line 3 lies under the directive of line 2
+    assert sorted((r.line, r.id) for r in kept.collect()) == [(1, "patterns/console-debug"), (3, "own")]  # line 3 lies under the directive of line 2
     ctx.baseline = kept.select("category", "file", "message")
     assert pipeline.analyse(ctx).count() == 0
     summary = pipeline.result(pipeline.Context(diff), kept).collect()[0]
-    assert summary.summary == "Found 2 issues (1 errors, 1 warnings) in 1 files" and summary.blocks
+    assert summary.summary == "Found 2 issues (1 errors, 1 info) in 1 files" and summary.blocks

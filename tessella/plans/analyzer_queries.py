@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tessella.operators import guards
 from tessella.operators import lines as L
-from tessella.plans import guard_packs
+from tessella.operators import rules as R
+from tessella.plans import guard_packs, packs, security_packs
 from tessella.plans import line_queries as Q
 
 QUERIES: dict = {}
@@ -23,6 +24,14 @@ def _guarded(name: str, rules: tuple) -> None:
 for _name, _rules in (("analyzer_resource", guard_packs.RESOURCE), ("analyzer_concurrency", guard_packs.CONCURRENCY), ("analyzer_errorhandling", guard_packs.ERRORS)):
     _guarded(_name, _rules)
 
+def analyzer_security(spark, sf_dir):
+    """Issues of the general and the language-specific security rules."""
+    return R.scan(Q.lines_of(spark, sf_dir), (*packs.SECURITY, *security_packs.LANGUAGES)).select("file_id", "hunk_no", "pos", "id", "severity", "message")
+
+
+QUERIES["analyzer_security"] = analyzer_security
+ORACLE["analyzer_security"] = f"WITH {Q.LINES_SQL} SELECT file_id, hunk_no, pos, id, severity, message FROM (" + "\nUNION ALL\n".join(R.group_sql(g) for g in (*packs.SECURITY, *security_packs.LANGUAGES)) + ")"
+
 # fixed values: thresholds (warning, error), all strict
 CYCLOMATIC, DEPTH, RETURNS = (10, 20), (4, 6), 8
 

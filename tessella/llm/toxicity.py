@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Most labelled documents that the model is fitted on (a documented bound; all documents are scored).
 MAX_LABELLED = 6_000
-DIMENSIONS, ROUNDS, FOLDS, STEPS, THRESHOLD = 1 << 17, 4, 3, 120, 0.4
+DIMENSIONS, ROUNDS, FOLDS, STEPS, THRESHOLD = 1 << 17, 4, 3, 120, 0.25
 SEED_WEIGHT, RIDGE = 2.0, 0.1
 CHAIN = ("insult", "threat", "group", "sexual")
 _CACHED = 200_000
@@ -80,10 +80,10 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-*_]{1,2}){2,}[^\W_](?![^\W_])")
 _CODE = re.compile(r"`[^`\n]*`|https?://\S+")
 _USER = re.compile(r"@\w+")
 _NAME = re.compile(r"\S*[/\\_]\S*|\b\w*[a-z][A-Z]\w*|#\d+|\b[0-9a-f]{7,}\b|\bv?\d[\d.,:\-]*\w*")
-_MASKED = re.compile(r"\W*[^\W\d_]+\*{2,}[^\W\d_]*\W*")
+_MASKED = re.compile(r"[^\w*]*[^\W\d_]+\*{2,}[^\W\d_]+[^\w*]*")
 _EDGE = ".,;:!?()[]\"'"
 _LEET = str.maketrans("013457@$", "oieastas")
-_SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?;])\s+")
+_SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?])\s+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W_]+(?:[@$013457]+[^\W_]*)*")
 

@@ -50,6 +50,7 @@ def test_disguises_are_undone(text):
 
 def test_tokens_of_code_and_names():
     assert X.tokens("see src/a_b.py and `x y` @joe v1.2 DoThis") == ("se", "ident", "and", "ident", "atuser", "ident", "ident")
+    assert X.tokens("**Steps** of a c***n") == ("steps", "of", "a", "maskedword")
     assert X.tokens("") == () and X.sentences(None) == []
 
 

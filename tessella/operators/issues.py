@@ -3,6 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tessella.lineage import durable
 
 # fixed values: order of severities, and spellings of categories that mean the same
 SEVERITY_RANK = {"error": 0, "warning": 1, "info": 2}
@@ -51,6 +54,17 @@ def ordered(issues: DataFrame) -> DataFrame:
     return issues.orderBy(rank(F.col("severity")), "file", "line", "id", "message")
 
 
+def numbered(rows: DataFrame, keys: list, parts: int | None = None) -> DataFrame:
+    """Adds ``place``, the 1-based place of every row in the order of ``keys`` (which should be unique), without one task
+    that sees all rows: rows are laid out by ranges, written, counted per range and numbered inside."""
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = durable(rows.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()))
+    sizes = laid.groupBy("__part").count()
+    before = F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(*keys))
+    return laid.withColumn("__inside", inside).join(sizes.select("__part", before.alias("__before")), "__part").withColumn("place", F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__before")
+
+
 def counts(issues: DataFrame, *by: str) -> DataFrame:
     """errors, warnings, infos, total and whether a run that blocks on errors would stop."""
     n = lambda s: F.count_if(F.col("severity") == s)

@@ -297,14 +297,9 @@ def severity_counts(spark, sf_dir):
 
 @query(f", i AS ({_CUSTOM}) SELECT file_id, hunk_no, pos, id, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 3 END, file, line, id, message, file_id, hunk_no, pos) AS BIGINT) AS place FROM i")
 def issue_sort(spark, sf_dir):
-    """The place of every issue in the report's order: a range-sorted table, numbered by its partitions' sizes."""
-    key = [issues.rank(F.col("severity")), "file", "line", "id", "message", "file_id", "hunk_no", "pos"]
-    found = _issues(spark, sf_dir)
-    ranked = found.withColumn("r", issues.rank(F.col("severity")))
-    per_file = ranked.groupBy("r", "file").count()
-    first = per_file.withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("r", "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("r", "file", "before")
-    inside = F.row_number().over(W.partitionBy("r", "file").orderBy(*key[2:]))
-    return ranked.withColumn("inside", inside).join(first, ["r", "file"]).select("file_id", "hunk_no", "pos", "id", (F.col("before") + F.col("inside")).alias("place"))
+    """The place of every issue in the report's order."""
+    found = _issues(spark, sf_dir).withColumn("r", issues.rank(F.col("severity")))
+    return issues.numbered(found, ["r", "file", "line", "id", "message", "file_id", "hunk_no", "pos"]).select("file_id", "hunk_no", "pos", "id", "place")
 
 
 @query(f""", i AS ({_CUSTOM}), c AS (SELECT file_id, count_if(severity = 'error') AS e, count_if(severity = 'warning') AS w, count_if(severity = 'info') AS n, count(*) AS t FROM i GROUP BY file_id),

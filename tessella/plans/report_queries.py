@@ -100,3 +100,13 @@ def path_parts(spark, sf_dir):
     p = table(spark, sf_dir, "file_diffs").select("file_id", paths.unix(F.col("path")).alias("p"))
     c = F.col("p")
     return p.select("file_id", paths.dirname(c).alias("dir"), paths.basename(c).alias("base"), paths.extension(c).alias("ext"))
+
+
+@query(r"""WITH c AS (SELECT DISTINCT org_id, regexp_replace(config_yaml, '\r\n?', chr(10), 'g') || chr(10) AS y FROM org_configs WHERE config_yaml IS NOT NULL)
+SELECT DISTINCT org_id, regexp_extract(y, 'block_on: (\w+)', 1) AS block_on, CAST(len(regexp_extract_all(regexp_extract(y, 'languages:[ \t]*\n((?:  - [^\n]*\n)*)', 1), '  - ')) AS BIGINT) AS languages,
+  CAST(len(regexp_extract_all(regexp_extract(y, 'analyzers:[ \t]*\n((?:  \w+: [^\n]*\n)*)', 1), ': true')) AS BIGINT) AS analyzers_on, CAST(len(regexp_extract_all(regexp_extract(y, 'analyzers:[ \t]*\n((?:  \w+: [^\n]*\n)*)', 1), ': false')) AS BIGINT) AS analyzers_off FROM c""")
+def config_settings(spark, sf_dir):
+    """What the stored configurations of each organization set."""
+    from tessella.sources import config
+
+    return config.settings_table(table(spark, sf_dir, "org_configs").where("config_yaml is not null"), "org_id", "config_yaml").select("org_id", "block_on", "languages", "analyzers_on", "analyzers_off").distinct()

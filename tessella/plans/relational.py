@@ -137,26 +137,16 @@ def depgraph(ctx) -> DataFrame:
 
 
 def hallucination(ctx) -> DataFrame:
-    """Imports of packages that neither the language nor a manifest of the context knows; without manifests nothing is reported."""
-    import sys
-
-    empty = issue(ctx.lines.limit(0), "hallucination/phantom-import", "error", "hallucination", F.lit(""))
-    if "manifests" not in ctx.extra:
-        return empty
-    spark = ctx.lines.sparkSession
-    keys = specs.manifests(ctx.extra["manifests"]).select("key").union(specs.manifests(ctx.extra["manifests"]).select(F.translate("key", "-", "_")))
-    imp = parsers.imports(L.added(ctx.lines))
-    out = [empty]
-    python = imp.where((F.col("lang") == "python") & ~F.col("path").startswith("."))
+    """Imports of packages that neither the language, a manifest nor the tree knows (see phantoms)."""
+    from tessella.plans.phantoms import phantom_imports
+
+    packages = specs.manifests(ctx.extra["manifests"]).select("key") if "manifests" in ctx.extra else None
     own = files_of(ctx).select(F.regexp_extract("file", r"^([^/.]+)", 1).alias("key"))
-    std = spark.createDataFrame([(n,) for n in sorted(sys.stdlib_module_names)], "key string")
-    out.append(resolve.phantom(python, keys.union(own).union(std), F.col("path"), "top", "."))
-    go = imp.where(F.col("lang") == "go").where(F.contains(F.substring_index("path", "/", 1), F.lit(".")))
-    out.append(resolve.phantom(go, keys, F.col("path"), "prefix"))
-    rust = imp.where("lang = 'rust'").where(~F.substring_index("path", "::", 1).isin("std", "core", "alloc", "crate", "self", "super"))
-    out.append(resolve.phantom(rust, keys, F.col("path"), "top", "::"))
+    found = phantom_imports(parsers.imports(L.added(ctx.lines)), packages, own)
     text = F.concat(F.lit("Import references unknown package: "), F.col("path"))
-    return _union([out[0], *(issue(x, "hallucination/phantom-import", "error", "hallucination", text, F.col("line"), F.col("file_id")) for x in out[1:])])
+    return found.select(
+        "file_id", "file", "line", F.lit("hallucination/phantom-import").alias("id"), "severity", F.lit("hallucination").alias("category"), text.alias("message")
+    )
 
 
 def spec(ctx) -> DataFrame:

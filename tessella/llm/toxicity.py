@@ -24,7 +24,8 @@ MAX_LABELLED = 6_000
 DIMENSIONS, ROUNDS, FOLDS, STEPS, THRESHOLD = 1 << 17, 4, 3, 120, 0.25
 SEED_WEIGHT, RIDGE = 2.0, 0.1
 CHAIN = ("insult", "threat", "group", "sexual")
-_CACHED = 200_000
+#: Sentences and words that a task remembers; a bound of its memory, not of what it scores.
+_CACHED = 50_000
 
 # fixed values: word classes in English, German, French and Spanish, without accents and with doubled letters made single
 CLASSES = {

@@ -134,7 +134,7 @@ def group_sql(group: Group, source: str = "lines") -> str:
     head = "SELECT file_id, hunk_no, pos, file, new_num AS line, {g} AS grp, {id} AS id, {severity} AS severity, {category} AS category, {message} AS message FROM " + source
     if group.every:
         return "\nUNION ALL\n".join(
-            head.format(g=quoted(group.name), id=quoted(r.id or group.id), severity=quoted(r.severity), category=quoted(group.category), message=quoted(r.message)) + " WHERE " + fires_sql(r, group) for r in group.rules
+            head.format(g=quoted(group.name), id=quoted(r.id or group.id), severity=quoted(r.severity), category=quoted(group.category), message=quoted(r.message) + (" || trim(content)" if group.quotes else "")) + " WHERE " + fires_sql(r, group) for r in group.rules
         )
     case = lambda value: "CASE " + " ".join(f"WHEN {fires_sql(r, group)} THEN {quoted(value(r))}" for r in group.rules) + " END"
     any_of = " OR ".join(fires_sql(r, group) for r in group.rules)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessella.operators import guards
 from tessella.operators import lines as L
 from tessella.operators import rules as R
-from tessella.plans import guard_packs, packs, security_packs
+from tessella.plans import guard_packs, packs, pattern_packs, security_packs
 from tessella.plans import line_queries as Q
 
 QUERIES: dict = {}
@@ -32,6 +32,14 @@ def analyzer_security(spark, sf_dir):
 QUERIES["analyzer_security"] = analyzer_security
 ORACLE["analyzer_security"] = f"WITH {Q.LINES_SQL} SELECT file_id, hunk_no, pos, id, severity, message FROM (" + "\nUNION ALL\n".join(R.group_sql(g) for g in (*packs.SECURITY, *security_packs.LANGUAGES)) + ")"
 
+def analyzer_patterns(spark, sf_dir):
+    """Issues of the anti-pattern rules of all languages."""
+    return R.scan(Q.lines_of(spark, sf_dir), pattern_packs.ALL).select("file_id", "hunk_no", "pos", "id", "severity", "message")
+
+
+QUERIES["analyzer_patterns"] = analyzer_patterns
+ORACLE["analyzer_patterns"] = f"WITH {Q.LINES_SQL} SELECT file_id, hunk_no, pos, id, severity, message FROM (" + "\nUNION ALL\n".join(R.group_sql(g) for g in pattern_packs.ALL) + ")"
+
 # fixed values: thresholds (warning, error), all strict
 CYCLOMATIC, DEPTH, RETURNS = (10, 20), (4, 6), 8
 

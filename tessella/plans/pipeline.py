@@ -11,7 +11,7 @@ from tessella.operators import guards
 from tessella.operators import issues as I
 from tessella.operators import lines as L
 from tessella.operators import rules as R
-from tessella.plans import guard_packs, packs, relational, security_packs
+from tessella.plans import guard_packs, packs, pattern_packs, relational, security_packs
 
 COLUMNS = ["file_id", "file", "line", "id", "severity", "category", "message"]
 
@@ -42,7 +42,7 @@ def _guards(*rules: guards.Guarded) -> Callable[[Context], DataFrame]:
 
 #: Analyzers by category; each turns the context into issues. Unknown names in ``enabled`` are ignored.
 ANALYZERS: dict[str, Callable[[Context], DataFrame]] = {
-    "security": _pack(*packs.SECURITY, *security_packs.LANGUAGES), "migration": _pack(packs.SQL_MIGRATION), "patterns": _pack(packs.CONSOLE, packs.PLACEHOLDER), "errorhandling": lambda ctx: _pack(packs.EMPTY_CATCH)(ctx).unionByName(_guards(*guard_packs.ERRORS)(ctx)),
+    "security": _pack(*packs.SECURITY, *security_packs.LANGUAGES), "migration": _pack(packs.SQL_MIGRATION), "patterns": _pack(packs.CONSOLE, *pattern_packs.ALL), "errorhandling": lambda ctx: _pack(packs.EMPTY_CATCH)(ctx).unionByName(_guards(*guard_packs.ERRORS)(ctx)),
     "resource": _guards(*guard_packs.RESOURCE), "concurrency": _guards(*guard_packs.CONCURRENCY),
     "custom": lambda ctx: R.scan_custom(ctx.lines, ctx.custom).select(*COLUMNS),
 }

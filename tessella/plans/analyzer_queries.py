@@ -69,11 +69,20 @@ UNION ALL SELECT file_id, hunk_no, pos, 'complexity/nesting', CASE WHEN d > 6 TH
 
 
 def analyzers_overview(spark, sf_dir):
-    """Issues per analyzer, rule and severity of one analysis over all files, with every analyzer at work."""
-    from tessella.plans import pipeline
+    """Issues per analyzer, rule and severity of one analysis over all files, with every analyzer at work.
+
+    Manifests are those among the files, as far as hunks show them; requirements are those that spec_results name. The
+    tables hold no other files, so the tree is the diff itself. go.sum makes modules known but doesn't name the module
+    of the repository, so Go imports are asked only beside a go.mod.
+    """
+    from tessella.plans import histories, pipeline
+    from tessella.sources import specs
     from tessella.sources.tables import table
 
-    ctx = pipeline.Context(table(spark, sf_dir, "file_diffs"), custom=Q.CUSTOM)
+    files = table(spark, sf_dir, "file_diffs")
+    told = histories._nested(spark, sf_dir, "spec_results").select(F.explode("items").alias("x")).select(F.get_json_object("x.json", "$.id").alias("req_id"))
+    extra = {"manifests": specs.diff_manifests(files), "requirements": told.where("req_id is not null").distinct()}
+    ctx = pipeline.Context(files, custom=Q.CUSTOM, extra=extra)
     return pipeline.analyse(ctx).groupBy("category", "id", "severity").agg(F.count("*").alias("issues"))
 
 

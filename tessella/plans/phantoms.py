@@ -86,7 +86,8 @@ def _names(path: Column, naming: Naming) -> Column:
 def phantom_imports(imports: DataFrame, packages: DataFrame | None, own: DataFrame | None = None) -> DataFrame:
     """Rows of ``imports`` (lang, path, ...) that are known nowhere, with ``severity``.
 
-    ``packages`` (key) are those of the manifests, ``own`` (key) the repository's top folders and modules. Languages
+    ``packages`` (key, and langs where told) are those of the manifests: with ``langs`` a language is asked only if it has
+    a manifest of its own. ``own`` (key) the repository's top folders and modules. Languages
     without a rule are left alone; a null path is no import.
     """
     spark = imports.sparkSession
@@ -101,7 +102,9 @@ def phantom_imports(imports: DataFrame, packages: DataFrame | None, own: DataFra
         severity = F.when(here, F.lit(n.severity)).otherwise(severity)
         asks = F.when(here, F.lit(n.needs_manifest)).otherwise(asks)
     asked = rows.where(F.col("lang").isin(*NAMING)).withColumn("severity", severity).withColumn("__asks", asks).where(~relative)
-    if packages is None or packages.isEmpty():
+    if packages is not None and "langs" in packages.columns:
+        asked = asked.where(~F.col("__asks")).unionByName(asked.where("__asks").join(packages.select(F.explode("langs").alias("lang")).distinct(), "lang", "left_semi").select(*asked.columns))
+    elif packages is None or packages.isEmpty():
         asked = asked.where(~F.col("__asks"))
     each = asked.select("__id", F.col("lang"), F.explode(names).alias("key"))
     hits = each.join(known, (each["lang"] == known["k_lang"]) & (each["key"] == known["k_key"]), "left_semi").select("__id")

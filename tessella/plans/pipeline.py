@@ -11,7 +11,8 @@ from tessella.operators import guards
 from tessella.operators import issues as I
 from tessella.operators import lines as L
 from tessella.operators import rules as R
-from tessella.plans import guard_packs, packs, pattern_packs, relational, security_packs
+from tessella.lineage import durable
+from tessella.plans import complexity, guard_packs, packs, pattern_packs, relational, security_packs
 
 COLUMNS = ["file_id", "file", "line", "id", "severity", "category", "message"]
 
@@ -26,11 +27,18 @@ class Context:
     marker: str = "lint:ignore"
     baseline: DataFrame | None = None
     extra: dict = field(default_factory=dict)
+    made: dict = field(default_factory=dict, init=False, repr=False)
 
     @property
     def lines(self) -> DataFrame:
         return L.diff_lines(self.files)
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A relation that several analyzers read, computed and written once."""
+        if name not in self.made:
+            self.made[name] = durable(make())
+        return self.made[name]
+
 
 def _pack(*groups: R.Group) -> Callable[[Context], DataFrame]:
     return lambda ctx: R.scan(ctx.lines, groups).select(*COLUMNS)
@@ -44,6 +52,7 @@ def _guards(*rules: guards.Guarded) -> Callable[[Context], DataFrame]:
 ANALYZERS: dict[str, Callable[[Context], DataFrame]] = {
     "security": _pack(*packs.SECURITY, *security_packs.LANGUAGES), "migration": _pack(packs.SQL_MIGRATION), "patterns": _pack(packs.CONSOLE, *pattern_packs.ALL), "errorhandling": lambda ctx: _pack(packs.EMPTY_CATCH)(ctx).unionByName(_guards(*guard_packs.ERRORS)(ctx)),
     "resource": _guards(*guard_packs.RESOURCE), "concurrency": _guards(*guard_packs.CONCURRENCY),
+    "complexity": lambda ctx: complexity.issues(ctx.lines).select(*COLUMNS),
     "custom": lambda ctx: R.scan_custom(ctx.lines, ctx.custom).select(*COLUMNS),
 }
 
@@ -52,11 +61,14 @@ ANALYZERS |= relational.ANALYZERS
 
 
 def analyse(ctx: Context, analyzers: Iterable[str] | None = None) -> DataFrame:
-    """The issues of all enabled analyzers, after suppression and baseline, unordered (see issues.ordered)."""
+    """The issues of all enabled analyzers, after suppression and baseline, unordered (see issues.ordered).
+
+    The issues of each analyzer are written before they are merged: one plan of all would need more memory than a driver has.
+    """
     names = [n for n in (analyzers or ANALYZERS) if ctx.enabled is None or n in ctx.enabled]
     found: DataFrame | None = None
     for n in names:
-        part = ANALYZERS[n](ctx)
+        part = durable(ANALYZERS[n](ctx))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return ctx.lines.limit(0).select("file_id", "file", F.col("new_num").alias("line"), *(F.lit("").alias(c) for c in COLUMNS[3:]))

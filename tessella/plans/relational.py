@@ -19,6 +19,14 @@ def tree_of(ctx) -> DataFrame:
     return ctx.extra.get("tree", ctx.lines)
 
 
+def imports_of(ctx) -> DataFrame:
+    return ctx.once("imports", lambda: parsers.imports(tree_of(ctx)))
+
+
+def symbols_of(ctx) -> DataFrame:
+    return ctx.once("symbols", lambda: parsers.symbols(tree_of(ctx)))
+
+
 def files_of(ctx) -> DataFrame:
     gone = ctx.files.where("status = 'deleted'").select(paths.unix(F.col("path")).alias("file"))
     here = tree_of(ctx).select("file").union(ctx.files.where("status <> 'deleted'").select(paths.unix(F.col("path")).alias("file"))).distinct()
@@ -51,7 +59,7 @@ def imports(ctx) -> DataFrame:
     lost = found.where("target is null").drop("target")
     gone = ctx.files.where("status = 'deleted'").select(paths.unix(F.col("path")).alias("file"))
     deleted = resolve.resolve(lost, gone, resolve.script_base(F.col("file"), F.col("path")), resolve.SCRIPT_TAILS, keys)
-    exports = parsers.symbols(tree_of(ctx)).where("exported").select("file", "name")
+    exports = symbols_of(ctx).where("exported").select("file", "name")
     names = resolve.missing_exports(found.join(imp.select(*keys, "names"), keys), exports, keys)
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     p, n, i = q(F.col("path")), q(F.col("name")), F.col("file_id")
@@ -71,7 +79,7 @@ def _changed_signatures(ctx) -> DataFrame:
 def consistency(ctx) -> DataFrame:
     """Importers of a function whose signature changed; those that the diff touches as well are only informed."""
     moved = _changed_signatures(ctx).select(F.col("file").alias("defined"), "name").distinct()
-    users = parsers.imports(tree_of(ctx)).select("file", F.explode("names").alias("name"), "line").join(moved, "name").where("file <> defined")
+    users = imports_of(ctx).select("file", F.explode("names").alias("name"), "line").join(moved, "name").where("file <> defined")
     touched = ctx.files.select(paths.unix(F.col("path")).alias("file"), F.lit(True).alias("touched")).distinct()
     both = users.join(touched, "file", "left")
     text = F.concat(F.lit("Signature of '"), F.col("name"), F.lit("' changed in "), F.col("defined"))
@@ -83,7 +91,7 @@ def references(ctx) -> DataFrame:
     out = []
     for status, column, severity, rule in (("deleted", "path", "error", "ref-deleted"), ("renamed", "old_path", "warning", "ref-renamed")):
         away = ctx.files.where((F.col("status") == status) & (F.coalesce(column, F.lit("")) != "")).select(paths.unix(F.col(column)).alias("file"))
-        imp = parsers.imports(tree_of(ctx)).where((F.col("lang") == "typescript") & resolve.is_relative(F.col("path")))
+        imp = imports_of(ctx).where((F.col("lang") == "typescript") & resolve.is_relative(F.col("path")))
         hit = resolve.resolve(imp, away, resolve.script_base(F.col("file"), F.col("path")), resolve.SCRIPT_TAILS, ["file", "path", "line"]).where("target is not null")
         out.append(issue(hit, rule, severity, "references", F.concat(F.lit("Reference to " + status + " file "), F.col("target")), F.col("line")))
     return _union(out)
@@ -119,19 +127,21 @@ def deadcode(ctx) -> DataFrame:
     """Exports of changed files that nothing in the tree imports; entry points, tests and private names are left alone."""
     ex = parsers.symbols(L.added(ctx.lines)).where("exported and lang in ('typescript', 'python') and name not like '\\\\_%' and name <> 'main'")
     ex = ex.where(~langs.is_test(F.col("file"), F.col("lang")))
-    used = parsers.imports(tree_of(ctx)).select("lang", F.explode("names").alias("name")).distinct()
+    used = imports_of(ctx).select("lang", F.explode("names").alias("name")).distinct()
     return issue(ex.join(used, ["lang", "name"], "left_anti"), "deadcode-unused-export", "warning", "deadcode", F.concat(F.lit("Exported symbol '"), F.col("name"), F.lit("' appears unused in the codebase")), F.col("line"), F.col("file_id"))
 
 
 def depgraph(ctx) -> DataFrame:
     """Circular imports that reach the diff's files, and declared packages that nothing imports."""
-    imp = parsers.imports(tree_of(ctx)).where((F.col("lang") == "typescript") & resolve.is_relative(F.col("path")))
+    imp = imports_of(ctx).where((F.col("lang") == "typescript") & resolve.is_relative(F.col("path")))
     edges = resolve.resolve(imp, files_of(ctx), resolve.script_base(F.col("file"), F.col("path")), resolve.SCRIPT_TAILS, ["file", "path"]).where("target is not null").select(F.col("file").alias("src"), F.col("target").alias("dst"))
     circles = graph.cycles(edges).withColumn("file", F.element_at("cycle", 1))
     out = [issue(circles, "depgraph/circular-dependency", "warning", "depgraph", F.concat(F.lit("Circular dependency detected: "), F.col("key")))]
     if "manifests" in ctx.extra:
-        deps = specs.manifests(ctx.extra["manifests"])
-        unused = resolve.unused(deps, parsers.imports(tree_of(ctx)))
+        deps = specs.manifests(ctx.extra["manifests"]).where(~F.lower("file").endswith("go.sum"))  # which lists what others need as well
+        parts = F.regexp_replace("path", r"\.|::", "/")  # modules below a package, and the spellings of package names
+        spelled = imports_of(ctx).select(F.explode(F.array(F.col("path"), parts, F.translate(F.lower(parts), "_", "-"))).alias("path"))
+        unused = resolve.unused(deps, spelled)
         out.append(issue(unused, "depgraph/unused-dependency", "info", "depgraph", F.concat(F.lit("Dependency appears unused: "), F.col("key"))))
     return _union(out)
 
@@ -140,8 +150,13 @@ def hallucination(ctx) -> DataFrame:
     """Imports of packages that neither the language, a manifest nor the tree knows (see phantoms)."""
     from tessella.plans.phantoms import phantom_imports
 
-    packages = specs.manifests(ctx.extra["manifests"]).select("key") if "manifests" in ctx.extra else None
     own = files_of(ctx).select(F.regexp_extract("file", r"^([^/.]+)", 1).alias("key"))
+    packages = None
+    if "manifests" in ctx.extra:
+        told = ctx.extra["manifests"]
+        packages = specs.manifests(told).select(specs.manifest_languages(F.col("file")).alias("langs"), "key")
+        module = told.where(F.lower("file").endswith("go.mod")).select(F.regexp_extract("content", r"(?m)^\s*module\s+(\S+)", 1).alias("key"))
+        own = own.unionByName(module).where("key <> ''")
     found = phantom_imports(parsers.imports(L.added(ctx.lines)), packages, own)
     text = F.concat(F.lit("Import references unknown package: "), F.col("path"))
     return found.select(

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 ANCHOR = r"spec:\s*([A-Za-z]+-[\w\-]+)"
 MAX_DESCRIPTION = 300
+# fixed values: names of manifests (patterns, lower case) and the languages they speak for
+MANIFESTS = {
+    r"go\.mod": "go", r"package\.json": "typescript", r"requirements\.txt|pyproject\.toml": "python", r"cargo\.toml": "rust", r"composer\.json": "php", r"dub\.json": "dlang", r"project\.toml": "julia", r"gemfile": "ruby",
+    r"pom\.xml|build\.gradle(\.kts)?|build\.sbt": "java kotlin scala groovy", r"pubspec\.yaml": "dart", r"shard\.yml": "crystal", r"description": "r", r"mix\.exs": "elixir", r"build\.zig\.zon": "zig", r"project\.clj|deps\.edn": "clojure",
+    r"package\.swift|podfile": "swift objc", r"cpanfile": "perl", r"cmakelists\.txt": "c cpp objc", r".*\.cabal": "haskell", r".*\.nimble": "nim", r".*\.rockspec": "lua", r".*\.opam|dune-project": "ocaml", r"v\.mod": "vlang", r".*\.fsproj|paket\.dependencies": "fsharp",
+}
 
 
 def anchors(lines: DataFrame, pattern: str = ANCHOR) -> DataFrame:
@@ -66,6 +72,8 @@ def parse_manifest(name: str, text: str) -> list[str]:
     base = name.rsplit("/", 1)[-1].lower()
     if base == "go.mod":
         return re.findall(r"^\s*(?:require\s+)?([\w.\-]+(?:/[\w.\-]+)*)\s+v[\d.]+", text, re.M)
+    if base == "go.sum":
+        return re.findall(r"^\s*(\S+)\s+v\d\S*\s+h1:", text, re.M)
     if base in ("package.json", "composer.json", "dub.json"):
         try:
             data = json.loads(text)
@@ -101,6 +109,23 @@ def parse_manifest(name: str, text: str) -> list[str]:
     return re.findall(r"^\s*(?:requires|dependencies|build-depends)\s*[:=]?\s*[\"']?([\w\-]+)", text, re.M | re.I)
 
 
+def manifest_languages(file: Column) -> Column:
+    """Languages whose imports a manifest declares; none for go.sum, which doesn't name the module itself."""
+    base, out = F.lower(F.regexp_extract(file, r"([^/]*)$", 1)), F.array().cast("array<string>")
+    for pattern, languages in MANIFESTS.items():
+        out = F.when(base.rlike(f"^(?:{pattern})$"), F.array(*map(F.lit, languages.split()))).otherwise(out)
+    return out
+
+
+def diff_manifests(files: DataFrame) -> DataFrame:
+    """(file, content) of the manifests among the files of a diff, as far as its hunks show them."""
+    path = F.regexp_replace(F.regexp_replace("path", r"\\", "/"), r"^(\./|/)+", "")
+    base = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    shown = F.flatten(F.transform(F.filter("hunks", lambda h: h["lines"].isNotNull()), lambda h: F.transform(F.filter(h["lines"], lambda x: x["type"] != "removed"), lambda x: F.coalesce(x["content"], F.lit("")))))
+    kept = files.where("status <> 'deleted'").where(base.rlike("^(?:" + "|".join([*MANIFESTS, r"go\.sum"]) + ")$"))
+    return kept.select(path.alias("file"), F.array_join(shown, "\n").alias("content"))
+
+
 def manifests(files: DataFrame) -> DataFrame:
     """(file, key) of every package that a manifest among ``files`` (file, content) declares."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

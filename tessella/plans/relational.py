@@ -47,26 +47,47 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _scripts(ctx) -> tuple[DataFrame, DataFrame]:
-    imp = parsers.imports(ctx.lines).where((F.col("lang") == "typescript") & resolve.is_relative(F.col("path")))
-    found = resolve.resolve(imp, files_of(ctx), resolve.script_base(F.col("file"), F.col("path")), resolve.SCRIPT_TAILS, ["file_id", "file", "path", "line"])
-    return imp, found
+def _linked(imp: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` (with lang, file and path) and ``target`` of every relative import of scripts, Python and Ruby; null where none of ``files`` is meant."""
+    known = files.select("file").union(files.where("file not like '%/%'").select(F.concat(F.lit("./"), "file")))  # the top folder as a package
+    f, p = F.col("file"), F.col("path")
+    scripts = resolve.resolve(imp.where((F.col("lang") == "typescript") & resolve.is_relative(p)), known, resolve.script_base(f, p), resolve.SCRIPT_TAILS, by)
+    python = resolve.resolve(imp.where((F.col("lang") == "python") & p.startswith(".")), known, resolve.python_base(f, p), resolve.PYTHON_TAILS, by)
+    ruby = resolve.resolve(imp.where((F.col("lang") == "ruby") & resolve.is_relative(p)), known, resolve.script_base(f, p), ["", ".rb"], by)
+    return scripts.unionByName(python).unionByName(ruby).withColumn("target", F.regexp_replace("target", r"^\./", ""))
 
 
 def imports(ctx) -> DataFrame:
-    imp, found = _scripts(ctx)
-    keys = ["file_id", "file", "path", "line"]
+    """Imports of deleted or unknown files and names that their target doesn't export (any more).
+
+    Python's relative imports are judged more mildly: an unknown module is none of the diff's, and a name may be bound in
+    ways that line patterns don't see. A name may be a module of the package as well. Go's imports name no files or names.
+    """
+    keys = ["file_id", "lang", "file", "path", "line"]
+    imp = parsers.imports(ctx.lines)
+    files = files_of(ctx)
+    found = ctx.once("linked", lambda: _linked(imp, files, keys))
     lost = found.where("target is null").drop("target")
     gone = ctx.files.where("status = 'deleted'").select(paths.unix(F.col("path")).alias("file"))
-    deleted = resolve.resolve(lost, gone, resolve.script_base(F.col("file"), F.col("path")), resolve.SCRIPT_TAILS, keys)
+    deleted = _linked(lost, gone, keys)
     exports = symbols_of(ctx).where("exported").select("file", "name")
-    names = resolve.missing_exports(found.join(imp.select(*keys, "names"), keys), exports, keys)
+    used = found.where("target is not null").join(imp.select(*keys, "names"), keys)
+    submodules = files.where("file like '%.py'").select(F.regexp_replace("file", r"(/__init__)?\.py$", "").alias("m"))
+    modules = submodules.where("m like '%/%'").select(F.concat(paths.dirname(F.col("m")), F.lit("/__init__.py")).alias("target"), F.regexp_extract("m", r"([^/]*)$", 1).alias("name"))
+    modules = modules.unionByName(submodules.where("m not like '%/%'").select(F.lit("__init__.py").alias("target"), F.col("m").alias("name")))
+    names = resolve.missing_exports(used, exports, keys).join(modules, ["target", "name"], "left_anti")
+    removed = parsers.symbols(ctx.lines, "type = 'removed'").where("exported").select(F.col("file").alias("target"), "name").join(exports.withColumnRenamed("file", "target"), ["target", "name"], "left_anti").distinct()
+    once_there = used.select(*keys, "target", F.explode("names").alias("name")).join(removed, ["target", "name"], "left_semi").join(names, [*keys, "name"], "left_anti")
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     p, n, i = q(F.col("path")), q(F.col("name")), F.col("file_id")
+    text = lambda script, python: F.when(F.col("lang") == "python", python).otherwise(script)
+    is_script = F.col("lang") == "typescript"
     return _union([
-        issue(deleted.where("target is not null"), "import-deleted", "error", "imports", F.concat(F.lit("Import "), p, F.lit(" points to a deleted file")), F.col("line"), i),
-        issue(deleted.where("target is null"), "import-broken", "error", "imports", F.concat(F.lit("Import "), p, F.lit(" could not be resolved to any known file")), F.col("line"), i),
-        issue(names, "import-name", "error", "imports", F.concat(F.lit("Name "), n, F.lit(" is not exported from "), p), F.col("line"), i),
+        issue(deleted.where("target is not null"), "import-deleted", "error", "imports", text(F.concat(F.lit("Import "), p, F.lit(" points to a deleted file")), F.concat(F.lit("Import from "), p, F.lit(" points to a deleted module"))), F.col("line"), i),
+        issue(deleted.where(is_script & F.col("target").isNull()), "import-broken", "error", "imports", F.concat(F.lit("Import "), p, F.lit(" could not be resolved to any known file")), F.col("line"), i),
+        issue(names.where(is_script), "import-name", "error", "imports", F.concat(F.lit("Name "), n, F.lit(" is not exported from "), p), F.col("line"), i),
+        issue(names.where(~is_script), "import-name", "warning", "imports", F.concat(F.lit("Name "), n, F.lit(" may not be exported from "), p), F.col("line"), i),
+        issue(once_there, "export-removed", "warning", "imports", F.concat(F.lit("Import "), n, F.lit(" was removed from "), q(F.col("target")), F.lit(" but is still imported here")), F.col("line"), i),
     ])
 
 
@@ -91,8 +112,7 @@ def references(ctx) -> DataFrame:
     out = []
     for status, column, severity, rule in (("deleted", "path", "error", "ref-deleted"), ("renamed", "old_path", "warning", "ref-renamed")):
         away = ctx.files.where((F.col("status") == status) & (F.coalesce(column, F.lit("")) != "")).select(paths.unix(F.col(column)).alias("file"))
-        imp = imports_of(ctx).where((F.col("lang") == "typescript") & resolve.is_relative(F.col("path")))
-        hit = resolve.resolve(imp, away, resolve.script_base(F.col("file"), F.col("path")), resolve.SCRIPT_TAILS, ["file", "path", "line"]).where("target is not null")
+        hit = _linked(imports_of(ctx), away, ["lang", "file", "path", "line"]).where("target is not null")
         out.append(issue(hit, rule, severity, "references", F.concat(F.lit("Reference to " + status + " file "), F.col("target")), F.col("line")))
     return _union(out)
 
@@ -131,11 +151,35 @@ def deadcode(ctx) -> DataFrame:
     return issue(ex.join(used, ["lang", "name"], "left_anti"), "deadcode-unused-export", "warning", "deadcode", F.concat(F.lit("Exported symbol '"), F.col("name"), F.lit("' appears unused in the codebase")), F.col("line"), F.col("file_id"))
 
 
+# fixed values: first parts of Go's own packages, and folders whose imports are nobody's
+GO_OWN = "archive bufio builtin bytes C cmp compress container context crypto database debug embed encoding errors expvar flag fmt go hash html image index io iter log maps math mime net os path plugin reflect regexp runtime slices sort strconv strings structs sync syscall testing text time unicode unique unsafe weak".split()
+OUTSIDE = ["vendor", "node_modules", "testdata"]
+
+
+def _go_edges(ctx) -> DataFrame:
+    """(src, dst, at) of Go's packages, which are folders: the one that the longest trailing run of an import names, or else
+    one that ends with the whole import; ``at`` is the least file that imports it. Tests may import what imports them."""
+    own = lambda df: df.where(F.col("file").endswith(".go") & ~F.col("file").endswith("_test.go") & ~paths.has_part(F.col("file"), OUTSIDE))
+    imp = own(imports_of(ctx)).where(~F.substring_index("path", "/", 1).isin(*GO_OWN)).select("file", "path").distinct()
+    folders = own(files_of(ctx)).select(paths.dirname(F.col("file")).alias("folder")).where("folder <> '.'").distinct()
+    ends = imp.select("path", F.explode(paths.suffixes(F.col("path"))).alias("folder")).distinct().join(folders, "folder")
+    wholes = folders.select("folder", F.explode(paths.suffixes(F.col("folder"))).alias("path")).join(imp.select("path").distinct(), "path").select("path", "folder")
+    one = ends.unionByName(wholes).groupBy("path").agg(F.max_by("folder", F.struct(F.length("folder") <= F.length("path"), F.length("folder"), "folder")).alias("dst"))
+    return imp.join(one, "path").select(paths.dirname(F.col("file")).alias("src"), "dst", "file").where("src <> dst").groupBy("src", "dst").agg(F.min("file").alias("at"))
+
+
+def edges_of(ctx) -> DataFrame:
+    """(src, dst, at): what imports what; files of scripts, Python and Ruby, folders of Go."""
+    imp = imports_of(ctx).where(~paths.has_part(F.col("file"), OUTSIDE))
+    linked = _linked(imp, files_of(ctx), ["lang", "file", "path"]).where("target is not null and not (lang = 'python' and file = target)")  # a package that imports its own modules
+    return linked.select(F.col("file").alias("src"), F.col("target").alias("dst"), F.col("file").alias("at")).distinct().unionByName(_go_edges(ctx))
+
+
 def depgraph(ctx) -> DataFrame:
     """Circular imports that reach the diff's files, and declared packages that nothing imports."""
-    imp = imports_of(ctx).where((F.col("lang") == "typescript") & resolve.is_relative(F.col("path")))
-    edges = resolve.resolve(imp, files_of(ctx), resolve.script_base(F.col("file"), F.col("path")), resolve.SCRIPT_TAILS, ["file", "path"]).where("target is not null").select(F.col("file").alias("src"), F.col("target").alias("dst"))
-    circles = graph.cycles(edges).withColumn("file", F.element_at("cycle", 1))
+    edges = ctx.once("edges", lambda: edges_of(ctx))
+    circles = graph.cycles(edges).withColumn("src", F.element_at("cycle", 1)).withColumn("dst", F.try_element_at("cycle", F.lit(2))).withColumn("dst", F.coalesce("dst", "src"))
+    circles = circles.join(edges.withColumnRenamed("at", "file"), ["src", "dst"])
     out = [issue(circles, "depgraph/circular-dependency", "warning", "depgraph", F.concat(F.lit("Circular dependency detected: "), F.col("key")))]
     if "manifests" in ctx.extra:
         deps = specs.manifests(ctx.extra["manifests"]).where(~F.lower("file").endswith("go.sum"))  # which lists what others need as well

@@ -35,3 +35,44 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
         paths = grown.join(step, grown["head"] == step["last"]).where("next >= first").select("path", "first", F.col("next").alias("head"))
         paths = paths.where("head = first or not array_contains(path, head)")
     return found.select("cycle", F.array_join("cycle", "->").alias("key"))
+
+
+def core(edges: DataFrame) -> DataFrame:
+    """``edges`` (src, dst) without those that lie on no path between cycles: sources and sinks are dropped until none is left."""
+    e = durable(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    n = e.count()
+    while n:
+        e = durable(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        n, before = e.count(), n
+        if n == before:
+            break
+    return e
+
+
+def circles(edges: DataFrame, longest: int = 4) -> DataFrame:
+    """(cycle, key): all simple cycles of at most ``longest`` nodes, and for each other node that lies on a cycle of any
+    length a shortest one through it, so that no node of a cycle is missed.
+
+    Walks start at every node of the core that no short cycle covers and go on breadth first; a node is entered once per
+    start, by the least path, until a walk is back or has nowhere to go.
+    """
+    e = core(edges)
+    short = durable(cycles(e, longest))
+    covered = short.select(F.explode("cycle").alias("start")).distinct()
+    walks = e.select(F.col("src").alias("start")).distinct().join(covered, "start", "left_anti").withColumn("head", F.col("start")).withColumn("path", F.array("start"))
+    walks, seen, closed = durable(walks), None, []
+    while not walks.isEmpty():
+        grown = walks.join(e, walks["head"] == e["src"]).select("start", F.col("dst").alias("head"), "path")
+        back = durable(grown.where("head = start").groupBy("start").agg(F.min("path").alias("cycle")))
+        closed.append(back)
+        ahead = grown.groupBy("start", "head").agg(F.min("path").alias("path")).join(back, "start", "left_anti")
+        if seen is not None:
+            ahead = ahead.join(seen, ["start", "head"], "left_anti")
+        walks = durable(ahead.select("start", "head", F.concat("path", F.array("head")).alias("path")))
+        now = walks.select("start", "head")
+        seen = now if seen is None else durable(seen.unionByName(now))
+    long = [c.select(canonical(F.col("cycle")).alias("cycle")) for c in closed]
+    found = short.select("cycle")
+    for c in long:
+        found = found.unionByName(c)
+    return found.distinct().select("cycle", F.array_join("cycle", "->").alias("key"))

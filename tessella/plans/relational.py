@@ -176,9 +176,9 @@ def edges_of(ctx) -> DataFrame:
 
 
 def depgraph(ctx) -> DataFrame:
-    """Circular imports that reach the diff's files, and declared packages that nothing imports."""
+    """Circular imports of any length (see graph.circles), and declared packages that nothing imports."""
     edges = ctx.once("edges", lambda: edges_of(ctx))
-    circles = graph.cycles(edges).withColumn("src", F.element_at("cycle", 1)).withColumn("dst", F.try_element_at("cycle", F.lit(2))).withColumn("dst", F.coalesce("dst", "src"))
+    circles = graph.circles(edges).withColumn("src", F.element_at("cycle", 1)).withColumn("dst", F.try_element_at("cycle", F.lit(2))).withColumn("dst", F.coalesce("dst", "src"))
     circles = circles.join(edges.withColumnRenamed("at", "file"), ["src", "dst"])
     out = [issue(circles, "depgraph/circular-dependency", "warning", "depgraph", F.concat(F.lit("Circular dependency detected: "), F.col("key")))]
     if "manifests" in ctx.extra:

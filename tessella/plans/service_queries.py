@@ -132,6 +132,18 @@ def json_counts(spark, sf_dir):
     return c.withColumn("percent", service.progress(F.col("implemented"), F.col("requirements")))
 
 
+@query()
+def spec_counts(spark, sf_dir):
+    """json_counts over every stored shape: arrays, envelopes, single objects and arrays stored as text, read as p3_found
+    reads them; of an id delivered more than once the last result counts."""
+    from tessella.plans import histories
+
+    rows = histories._nested(spark, sf_dir, "spec_results").where("parent_id is not null")
+    last = rows.groupBy("parent_id").agg(F.max(F.struct("sent_at", "items")).alias("last")).select(F.col("parent_id").alias("id"), F.explode("last.items").alias("x"))
+    c = service.status_counts(last.where("x.json is not null").select("id", F.get_json_object("x.json", "$.status").alias("status")), "id")
+    return c.withColumn("percent", service.progress(F.col("implemented"), F.col("requirements")))
+
+
 @query("SELECT id, least(1.0, greatest(0.0, overall_score)) AS score, CAST(CASE WHEN total_requirements > 0 THEN floor(implemented_count * 100 / total_requirements) ELSE 0 END AS INT) AS percent FROM (SELECT DISTINCT id, overall_score, total_requirements, implemented_count FROM spec_results)")
 def spec_progress(spark, sf_dir):
     rows = table(spark, sf_dir, "spec_results").dropDuplicates(["id"])

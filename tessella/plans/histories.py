@@ -76,6 +76,29 @@ def p3_related_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category.join(counted, ["parent_id", "item_no"], "left").groupBy("category").agg(F.count("*").alias("issues"), F.coalesce(F.sum("n"), F.lit(0)).alias("related_files"))
 
 
+SOURCES = ("runs", "spec_results", "analysis_results")
+
+
+def _child_tables(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
+    """The items (0) or leaves (1) of all sources, each with its source and its parent's key; the last delivery of a parent counts."""
+    out = None
+    for name in SOURCES:
+        parents = _nested(spark, sf_dir, name).where("parent_id is not null").groupBy("parent_id").agg(F.max(F.struct("sent_at", "items")).alias("last")).select("parent_id", "last.items")
+        one = nested.child_tables(parents, "parent_id")[which].select(F.lit(name).alias("source_table"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p3_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of items: source_table, parent_id, item_no, json."""
+    return _child_tables(spark, sf_dir, 0)
+
+
+def p3_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of leaves: source_table, parent_id, item_no, leaf_no, leaf."""
+    return _child_tables(spark, sf_dir, 1)
+
+
 # problem 6: references without a record
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, parents = None, None
@@ -109,6 +132,6 @@ def p7_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_subscription_ledger": p1_subscription_ledger, "p3_found": p3_found, "p3_related_paths": p3_related_paths,
+    "p1_found": p1_found, "p1_subscription_ledger": p1_subscription_ledger, "p3_found": p3_found, "p3_related_paths": p3_related_paths, "p3_items": p3_items, "p3_leaves": p3_leaves,
     "p6_found": p6_found, "p6_orphans_per_month": p6_orphans_per_month, "p7_rolling": p7_rolling,
 }

@@ -37,6 +37,32 @@ def test_subtrees_shared_by_unrelated_owners(spark):
     assert P.shared_subtrees(spark.createDataFrame(rows, SHAPE), one_owner).count() == 0
 
 
+def test_equal_children_do_not_cancel(spark):
+    rows = []
+    for n in range(3):  # three owners, each with a file delivered twice beside it: nothing is shared
+        rows += [row(10 * n, f"r{n}", "lib/own.py", [f"own = {n}"]), row(10 * n + 1, f"r{n}", "lib/own.py", [f"own = {n}"])]
+    owners = spark.createDataFrame([(f"r{n}", f"o{n}") for n in range(4)], "run_id string, owner string")
+    assert P.unwritten_files(spark.createDataFrame(rows, SHAPE), owners).count() == 0
+
+
+def test_removed_lines_are_no_part_of_the_tree(spark):
+    rows = []
+    for n in range(3):
+        for k, name in enumerate(("a.py", "b.py")):
+            rows.append((10 * n + k, f"r{n}", f"lib/u/{name}", False, [([("x = 1", "added"), (f"old {n}", "removed")],)], "c", "c"))
+    owners = spark.createDataFrame([(f"r{n}", f"o{n}") for n in range(3)], "run_id string, owner string")
+    assert P.shared_subtrees(spark.createDataFrame(rows, SHAPE), owners).count() == 6
+
+
+def test_licence_line_needs_a_shared_file(spark):
+    header = ["// SPDX-License-Identifier: MIT", "// Copyright (c) 2024 The Kestrel Authors", *CODE]
+    assert P.judge("src/a.go", False, header) is None
+    rows = [row(1, "r0", "src/a.go", header), row(2, "r1", "lib/a.go", header), row(3, "r2", "x/b.go", [*header, "own"]), row(4, "r0", "p/c.go", CODE), row(5, "r1", "p/c.go", CODE)]
+    owners = spark.createDataFrame([(f"r{n}", f"o{n}") for n in range(3)], "run_id string, owner string")
+    got = {(r.file_id, r.kind, r.evidence) for r in P.weighed(spark.createDataFrame(rows, SHAPE), owners).collect()}
+    assert got == {(1, "third party", "shared file"), (2, "third party", "shared file")}
+
+
 def test_operator_repeats_and_empty(spark):
     owners = spark.createDataFrame([], "run_id string, owner string")
     rows = [row(1, "r", "node_modules/a.js", ["x"]), row(1, "r", "node_modules/a.js", ["x"]), row(None, "r", "go.sum", ["x"]), (2, None, None, None, None, None, None)]
@@ -45,5 +71,7 @@ def test_operator_repeats_and_empty(spark):
 
 
 def test_very_deep_paths(spark):
-    deep = "/".join(["d"] * 300) + "/f.py"
-    assert P.unwritten_files(spark.createDataFrame([row(1, "r", deep, CODE)], SHAPE), spark.createDataFrame([("r", "o")], "run_id string, owner string")).count() == 0
+    deep = "/".join(["d"] * 40)
+    rows = [row(10 * n + k, f"r{n}", f"top{n}/{deep}/{name}", CODE) for n in range(3) for k, name in enumerate(("f.py", "g.py"))]
+    owners = spark.createDataFrame([(f"r{n}", f"o{n}") for n in range(3)], "run_id string, owner string")
+    assert P.unwritten_files(spark.createDataFrame(rows, SHAPE), owners).count() == 6

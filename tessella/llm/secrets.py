@@ -1,9 +1,11 @@
 """Credentials embedded in source code: finding and redacting them.
 
-Candidates are quoted strings, long tokens and the values behind names, headers, URLs and command options. A
-candidate is a credential if it has the form of a provider's token, or stands where a credential stands and its
-Shannon entropy, relative to the most that its length and alphabet allow, passes a threshold; hashes, ids,
-references, masked, encrypted and placeholder values are left out. Private key blocks count line by line.
+Every quoted string and every long token of every line is a candidate. Its Shannon entropy, relative to the most
+that its length and alphabet allow, is held against a threshold that falls with the length. What stands around a
+candidate only moves that threshold: behind a credential's name, in a header, URL, call or command option it is
+lower, for pass phrases have little entropy; a neutral place asks for the most. A provider's token form counts by
+itself. Hashes, ids, references, identifiers, masked, encrypted and placeholder values, public keys, certificates and
+blobs of data are left out. Private key blocks count line by line.
 """
 from __future__ import annotations
 
@@ -22,6 +24,8 @@ MASK = "[REDACTED]"
 MIN_LENGTH = 8
 #: Least relative entropy by how much the surroundings say: a credential's name, a general key's name.
 NAMED, GENERAL = 0.6, 0.8
+#: In a neutral place: lengths that are judged (longer runs are data), and the threshold at either end.
+FREE_LENGTHS, FREE_LEAST = (16, 64), (0.86, 0.82)
 
 # fixed values: forms of providers' tokens
 TOKEN_FORMS = (
@@ -40,7 +44,7 @@ NOT_NAMES = ("name", "field", "id", "length", "count", "type", "path", "file", "
 PLACEHOLDERS = re.compile(r"(?i)^(?:changeme|change_me|example|placeholder|dummy|redacted|password|passwd|secret|token|none|null|true|false|todo|test|user|root|admin)$|x{4,}|\*{3,}|\.{3,}|\byour\b|your[_\- ]|<|>|\{\{|\$\{|%\(|^\$|^ENC\[|changeme|^env\.|process\.env|os\.environ|^vault:|^!|^arn:")
 
 _TOKEN = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(TOKEN_FORMS) + ")(?![A-Za-z0-9])")
-_HINT = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred|kennwort|clave|contrase|://|identified|mysql|curl|:\d+:|-----|akia|asia|gh[opsur]_|github_pat|glpat|_live_|SG\.|aiza|npm_|flt_|xox|eyJ")
+_HINT = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred|kennwort|clave|contrase|://|identified|mysql|curl|:\d+:|-----|akia|asia|gh[opsur]_|github_pat|glpat|_live_|SG\.|aiza|npm_|flt_|xox|eyJ|:\*:")
 _QUOTED = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`"
 _ASSIGN = re.compile(rf"(?P<q>[\"']?)(?P<name>[A-Za-z_][\w.\-]*)(?P=q)\s*(?::\s*[A-Za-z]\w*\s*)?(?:[:=]{{1,4}}|=>)\s*(?P<value>(?:{_QUOTED})(?:\s*\+\s*(?:{_QUOTED}))*)")
 _BARE = re.compile(r"^\s*(?:export\s+|//[\w.\-]+/:)?(?P<q>[\"']?)(?P<name>[A-Za-z_][\w.\-]*)(?P=q)\s*[:=]{1,3}\s*(?P<value>[^\s\"'`()<>{}\[\],;]+)\s*(?:\s#.*)?$")
@@ -63,6 +67,15 @@ _PHRASE = (
 )
 _BEGIN, _END = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"), re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"^[\s\"'+#*/\\]*[A-Za-z0-9+/=]{8,}(?:\\n)?[\s\"',;+]*$")
+_CHECKSUM = re.compile(r"^[\s\"'+#*/\\]*(?:=[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{1,6}={1,2})(?:\\n)?[\s\"',;+]*$")
+_DIGEST = re.compile(r"(?i)^(?:[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|\$2[aby]\$.*|\$argon2.*|\$[156]\$.*|\{ssha\}.*|pbkdf2.*)$")
+_PASSWORD = re.compile(r"pass(?!phrase)|pwd|kennwort|contrasena|clave")
+# neutral places: what a candidate looks like, what tells of something else, and words in identifiers
+_FREE = re.compile(r"(?P<q>[\"'`])(?P<quoted>[A-Za-z0-9+/=_\-]{16,64})(?P=q)|(?<![^\s=:(,\[])(?P<plain>[A-Za-z0-9+/_\-]{16,64}={0,2})(?=[\s,;)\]]|$)")
+_RUN = re.compile(r"[A-Za-z0-9+/=_\-]{16}")
+_OTHER = re.compile(r"(?i)\bssh-(?:rsa|dss|ed25519)|\becdsa-|ENC\[|;base64,|\bsha\d{1,3}[-:]|\bh1:|sourcemappingurl|signedsource|integrity|checksum|digest|fingerprint|\betag|\bcommit|\bmd5|\bhash|\bsha\d|uuid|guid|public|\btrace|\bspan|-----|\bnonce|://|certificate")
+_SYLLABLES = re.compile(r"[A-Z]?[a-z]{4,}|[A-Z]{5,}|[a-z]{3,}(?=[_\-/]|$)|(?<![A-Za-z0-9])[a-z]+(?![A-Za-z0-9])")
+_ALONE = re.compile(r"^\s*[\"'`]?[A-Za-z0-9+/_\-]+={0,2}[\"'`]?[\s,;+]*$")
 _WORDS = re.compile(r"^(?:[A-Z]?[a-z]{2,}|[A-Z]{3,})(?:[_\-. /]?(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}))*$")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 
@@ -134,10 +147,35 @@ def _basic(value: str) -> bool:
         return False
 
 
+def free_spans(line: str) -> list[tuple[int, int]]:
+    """Places of quoted strings and long tokens whose entropy alone tells a credential, wherever they stand."""
+    if not _RUN.search(line):
+        return []
+    found = []
+    for m in _FREE.finditer(line):
+        value = m["quoted"] or m["plain"]
+        n = len(value)
+        lower, upper, digit = (sum(map(f, value)) for f in (str.islower, str.isupper, str.isdigit))
+        if digit < 2 or lower + upper < 4 or not lower or not (upper or n >= 24) or re.fullmatch(r"[0-9a-fA-F\-]+", value):
+            continue
+        if value.count("/") + value.count("-") + value.count("_") > n // 6 or PLACEHOLDERS.search(value) or _UUID.match(value):
+            continue
+        if sum(len(w) for w in _SYLLABLES.findall(value)) > 0.4 * n or (m["plain"] and _ALONE.match(line)):
+            continue
+        least = FREE_LEAST[0] + (FREE_LEAST[1] - FREE_LEAST[0]) * (n - FREE_LENGTHS[0]) / (FREE_LENGTHS[1] - FREE_LENGTHS[0])
+        if relative_entropy(value) >= least:
+            found.append(m.span("quoted" if m["quoted"] else "plain"))
+    return [] if found and _OTHER.search(line) else found
+
+
 def spans(line: str) -> list[tuple[int, int]]:
     """Places (from, to) of the credentials in a line."""
-    if not _HINT.search(line):
-        return []
+    free = free_spans(line)
+    return free + named_spans(line) if _HINT.search(line) else free
+
+
+def named_spans(line: str) -> list[tuple[int, int]]:
+    """Places of values whose surroundings or form lower the threshold."""
     found = []
     for m in _TOKEN.finditer(line):
         if not PLACEHOLDERS.search(m.group()) and len(set(m.group())) > 8:
@@ -154,12 +192,12 @@ def spans(line: str) -> list[tuple[int, int]]:
                 level = NAMED
             if _folded(m["name"]) == "auth" and not _basic(value):
                 continue
-            if level is not None and _usable(value, level):
+            if level is not None and _usable(value, level) and not (_DIGEST.match(value) and _PASSWORD.search(_folded(m["name"]))):
                 found += _insides(m)
     if (m := _BARE.match(line)) and _name_level(m["name"]) == NAMED and _usable(m["value"], NAMED) and not _attribute(m["value"]):
         found.append(m.span("value"))
     for m in _URL.finditer(line):
-        if _usable(m["value"], NAMED) and m["host"] not in ("localhost",):
+        if _usable(m["value"], NAMED):
             found.append(m.span("value"))
     for m in _HEADER.finditer(line):
         if _basic(m["value"]) if m["scheme"].lower() == "basic" else _usable(m["value"], NAMED):
@@ -190,6 +228,11 @@ def redact(line: str, places: list[tuple[int, int]]) -> str:
     return "".join(out) + line[at:]
 
 
+def _blank(line: str) -> str:
+    """A line of a key block with its runs of key text masked; quotes, escapes and code around them stay."""
+    return re.sub(r"(\\[nrt])|=?[A-Za-z0-9+/]{4,}={0,2}|[A-Za-z0-9+/]+={1,2}", lambda m: m.group(1) or MASK, line)
+
+
 def scan_file(hunks: list[list[str | None]]) -> list[tuple[int, int, str, str]]:
     """(hunk_no, line_no, kind, redacted) of every line of a file that holds a credential."""
     found: dict[tuple[int, int], tuple[str, str]] = {}
@@ -199,11 +242,11 @@ def scan_file(hunks: list[list[str | None]]) -> list[tuple[int, int, str, str]]:
         marks = text.find("-----") >= 0
         if marks and _END.search(text) and not _BEGIN.search(text):
             if not inside:  # the block's head isn't shown
-                for hh, nn, body in reversed(flat[:k]):
-                    if not _BODY.match(body):
+                for at, (hh, nn, body) in enumerate(reversed(flat[:k])):
+                    if not (_BODY.match(body) or at == 0 and _CHECKSUM.match(body)):
                         break
-                    found[hh, nn] = ("private key", re.sub(r"[A-Za-z0-9+/=]{8,}", MASK, body))
-            found[h, n] = ("private key", re.sub(r"-----END.*", MASK, text))
+                    found[hh, nn] = ("private key", _blank(body))
+            found[h, n] = ("private key", re.sub(r"(?:[A-Za-z0-9+/=]{4,}(?:\\n)?)?-----END [A-Z0-9 ]*-----", MASK, text))
             inside = False
             continue
         if marks and _BEGIN.search(text):
@@ -211,11 +254,16 @@ def scan_file(hunks: list[list[str | None]]) -> list[tuple[int, int, str, str]]:
             inside = not _END.search(text)
             continue
         if inside:
-            if _BODY.match(text) or re.match(r"^\s*(?:Proc-Type|DEK-Info|Comment|Version):|^\s*$", text):
-                found[h, n] = ("private key", re.sub(r"\S+(?:.*\S)?", MASK, text))
+            if _BODY.match(text) or _CHECKSUM.match(text):
+                found[h, n] = ("private key", _blank(text))
+                continue
+            if re.match(r"^\s*(?:Proc-Type|DEK-Info|Comment|Version):|^\s*$", text):
+                found[h, n] = ("private key", re.sub(r"(:\s*)\S.*", lambda m: m.group(1) + MASK, text))
                 continue
             inside = False
         if text and (places := spans(text)):
+            if _ALONE.match(text) and any(_ALONE.match(t) and abs(len(t) - len(text)) < 3 for t in (flat[k - 1][2] if k else "", flat[k + 1][2] if k + 1 < len(flat) else "")) and not _HINT.search(text):
+                continue  # one of several such lines: a blob
             found[h, n] = ("value", redact(text, places))
     return [(h, n, kind, red) for (h, n), (kind, red) in sorted(found.items())]
 

@@ -206,7 +206,7 @@ def weighed(files: DataFrame, owners: DataFrame) -> DataFrame:
     file' (Merkle hash of a shared leaf, on a file that another evidence marks already or whose header names a licence).
     """
     shown = durable(shown_files(files))
-    ruled = rule_verdicts(files)
+    ruled = durable(rule_verdicts(files))  # read twice
     copied = shared_subtrees(files, owners, shown=shown).select("file_id", F.lit("third party").alias("kind"), F.lit("subtree").alias("evidence"))
     alike = ruled.join(shared_files(shown, owners), "file_id", "left_semi").select("file_id", F.coalesce("kind", F.lit("third party")).alias("kind"), F.lit("shared file").alias("evidence"))
     return ruled.where("kind is not null").unionByName(copied).unionByName(alike)

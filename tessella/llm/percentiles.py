@@ -5,10 +5,10 @@ pipeline are combined by adding counts; nothing is lost, so the rank error is ze
 kept to that many significant binary digits, which bounds a group's summary whatever its rows: the stated error
 is then a relative 2**-digits of the value.
 
-Selection: every partition proposes the weighted median of what it still holds of a range, the weighted median of
-the proposals becomes the range's pivot, one pass counts the weight below, at and above the pivot, and the side
-without the wanted rank is discarded. Ranges that have become small are finished by one sort. All percentiles of
-all groups advance in the same passes.
+Selection: every batch of a partition proposes the weighted median of what it still holds of a range, the weighted
+median of the proposals becomes the range's pivot, one pass counts the weight below, at and above the pivot, and the
+side without a wanted rank is discarded. A range splits in two where both sides hold wanted ranks. Ranges that have
+become small are finished by one sort. All percentiles of all groups advance in the same passes.
 """
 from __future__ import annotations
 
@@ -22,10 +22,10 @@ from pyspark.sql.window import Window as W
 
 from tessella.lineage import durable
 
-#: A range with at most this many distinct values left is finished by a sort.
-LEAF = 2048
-#: The values of a group are spread over so many slots.
-SLOTS = 16
+#: A range with at most this many distinct values left is finished by a sort; it bounds the passes, not what is found.
+LEAF = 64
+#: A range with more distinct values is spread over slots of about so many where it meets its pivot.
+PER_SLOT = 500_000
 
 
 def shorten(value: Column, digits: int | None) -> Column:
@@ -63,91 +63,89 @@ def roll_up(summary: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def _weighted_medians(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The weighted median of each range over one partition (range_id, value, n)."""
-    held = [f for f in frames if len(f)]
-    if not held:
-        return
-    frame = pd.concat(held, ignore_index=True).sort_values(["range_id", "value"], kind="stable")
-    ids, n = frame["range_id"].to_numpy(), frame["n"].to_numpy(np.float64)
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    total = np.add.reduceat(n, first)
-    running = np.cumsum(n) - np.repeat(np.cumsum(total) - total, np.diff(np.r_[first, len(ids)]))
-    reached = running * 2 >= np.repeat(total, np.diff(np.r_[first, len(ids)]))
-    at = np.array([first[k] + int(np.argmax(reached[a:b])) for k, (a, b) in enumerate(zip(first, np.r_[first[1:], len(ids)]))])
-    yield pd.DataFrame({"range_id": ids[first], "proposal": frame["value"].to_numpy()[at], "weight": total.astype(np.int64)})
+    """The weighted median of each range over one batch (range_id, value, n); nothing is kept from batch to batch."""
+    for frame in frames:
+        if not len(frame):
+            continue
+        frame = frame.sort_values(["range_id", "value"], kind="stable")
+        ids, n = frame["range_id"].to_numpy(), frame["n"].to_numpy(np.float64)
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        size = np.diff(np.r_[first, len(ids)])
+        total = np.add.reduceat(n, first)
+        running = np.cumsum(n) - np.repeat(np.cumsum(total) - total, size)
+        reached = np.flatnonzero(running * 2 >= np.repeat(total, size) - 1e-9)
+        at = reached[np.searchsorted(reached, first)]  # the first place of each range that reaches half its weight
+        yield pd.DataFrame({"range_id": ids[first], "proposal": frame["value"].to_numpy()[at], "weight": total.astype(np.int64)})
+
+
+def _slots(distinct: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(distinct / F.lit(PER_SLOT))).cast("int")
+
+
+def _finished(points: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The wanted ranks of small ranges, by one sort of their values."""
+    own = points.join(ranges.select("range_id", "wanted", *keys, "rows"), "range_id")
+    upto = own.withColumn("upto", F.sum("n").over(W.partitionBy("range_id").orderBy("value")))
+    here = F.filter("wanted", lambda w: (w["need"] <= F.col("upto")) & (w["need"] > F.col("upto") - F.col("n")))
+    return upto.select(*keys, F.explode(here).alias("w"), "value", "rows").select(*keys, F.col("w.rank").alias("rank"), "value", "rows")
 
 
 def percentiles(summary: DataFrame, groups: Sequence[str], ranks: Sequence[float], leaf: int = LEAF) -> DataFrame:
     """(groups..., metric, rank, value, rows): for every rank q the least value with at least q of the group's rows at or below it.
 
-    Groups with at most ``leaf`` distinct values are sorted as they are. The values of larger groups stay spread over
-    SLOTS slots, whatever the size of the group, until their ranges are small. An empty summary gives no rows.
+    Values stay where the summary's own shuffle has put them, spread over all tasks whatever the size of their group;
+    only pivots and counts travel. A range holds the ranks that are wanted from it, as places among its own rows.
+    An empty summary gives no rows.
     """
     keys = [*groups, "metric"]
-
-    def within(points: DataFrame, ranges: DataFrame) -> DataFrame:
-        """Points strictly inside the ranges of their group. Both sides meet by group and slot."""
-        a = ranges.select(*(F.col(k).alias(f"r_{k}") for k in keys), "range_id", "low", "high", "below", "need", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("r_slot"))
-        meet = [points[k].eqNullSafe(a[f"r_{k}"]) for k in keys] + [points["slot"] == a["r_slot"], points["value"] > a["low"], points["value"] < a["high"]]
-        return points.join(a, meet).select("range_id", "value", "n", "below", "need")
-
-    points = durable(summary.select(*keys, "value", "n", F.pmod(F.xxhash64("value"), F.lit(SLOTS)).cast("int").alias("slot")))
+    points = durable(summary.select(*keys, "value", "n"))
     sizes = points.groupBy(*keys).agg(F.sum("n").alias("rows"), F.count("*").alias("distinct"))
-    large = durable(sizes.where(F.col("distinct") > leaf))
-    a = large.select(*(F.col(k).alias(f"r_{k}") for k in keys), F.lit(True).alias("is_large"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("r_slot"))
-    tagged = points.join(a, [points[k].eqNullSafe(a[f"r_{k}"]) for k in keys] + [points["slot"] == a["r_slot"]], "left")
-
-    # small groups: one sort each
-    need_of = lambda q, rows: F.greatest(F.ceil(q * rows - F.lit(1e-9)), F.lit(1))
-    group = W.partitionBy(*keys)
-    running = (
-        tagged.where("is_large is null").select(*keys, "value", "n")
-        .withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("rows", F.sum("n").over(group))
-    )
-    listed = F.array(*(F.lit(float(q)) for q in ranks))
-    small = running.select(*keys, F.explode(F.filter(listed, lambda q: (need_of(q, F.col("rows")) <= F.col("upto")) & (need_of(q, F.col("rows")) > F.col("upto") - F.col("n")))).alias("rank"), "value", "rows")
-    if large.isEmpty():
-        return small
-
-    # large groups: pivots
-    hot = durable(tagged.where("is_large").select(*keys, "value", "n", "slot"))
-    ranges = durable(
-        large.select(*keys, "rows", "distinct", F.explode(listed).alias("rank")).select(
-            F.monotonically_increasing_id().alias("range_id"), *keys, "rank", need_of(F.col("rank"), F.col("rows")).cast("long").alias("need"), "rows",
-            F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("below"), F.col("distinct").alias("left"), F.lit(None).cast("double").alias("value"),
-        )
-    )
-    while True:
-        active = ranges.where(F.col("value").isNull() & (F.col("left") > leaf))
-        if active.isEmpty():
-            break
-        inside = within(hot, active)
-        proposals = inside.select("range_id", "value", "n").mapInPandas(_weighted_medians, "range_id bigint, proposal double, weight bigint")
+    wanted = F.array(*(F.struct(F.lit(float(q)).alias("rank"), F.greatest(F.ceil(F.lit(float(q)) * F.col("rows") - F.lit(1e-9)), F.lit(1)).cast("long").alias("need")) for q in ranks))
+    ranges = durable(sizes.select(F.monotonically_increasing_id().alias("range_id"), *keys, "rows", "distinct", wanted.alias("wanted")))
+    a = ranges.select("range_id", "distinct", *(F.col(k).alias(f"r_{k}") for k in keys))
+    points = points.join(a, [points[k].eqNullSafe(a[f"r_{k}"]) for k in keys]).select("range_id", "value", "n", F.pmod(F.xxhash64("value"), _slots(F.col("distinct"))).cast("int").alias("slot"))
+    large = F.col("distinct") > leaf
+    out = _finished(points, ranges.where(~large), keys)
+    ranges = ranges.where(large)
+    points = durable(points.join(ranges.select("range_id"), "range_id", "left_semi")) if not ranges.isEmpty() else None
+    while points is not None:
+        proposals = points.select("range_id", "value", "n").mapInPandas(_weighted_medians, "range_id bigint, proposal double, weight bigint")
+        proposals = proposals.groupBy("range_id", "proposal").agg(F.sum("weight").alias("weight"))
         of_range = W.partitionBy("range_id")
-        pivots = durable(
+        pivots = (
             proposals.withColumn("upto", F.sum("weight").over(of_range.orderBy("proposal"))).withColumn("total", F.sum("weight").over(of_range))
             .where(F.col("upto") * 2 >= F.col("total")).groupBy("range_id").agg(F.min("proposal").alias("pivot"))
         )
+        pivots = pivots.join(ranges.select("range_id", "distinct"), "range_id")
+        spread = lambda df: df.withColumn("slot", F.explode(F.sequence(F.lit(0), _slots(F.col("distinct")) - 1)))
         value, pivot, zero = F.col("value"), F.col("pivot"), F.lit(0).cast("long")
-        counted = within(hot, active.join(pivots.select("range_id"), "range_id", "left_semi")).join(pivots, "range_id").groupBy("range_id").agg(
+        counted = points.join(spread(pivots).drop("distinct"), ["range_id", "slot"]).groupBy("range_id").agg(
             F.sum(F.when(value < pivot, F.col("n")).otherwise(zero)).alias("less"), F.sum(F.when(value == pivot, F.col("n")).otherwise(zero)).alias("equal"),
             F.count_if(value < pivot).alias("lesser"), F.count_if(value > pivot).alias("greater"), F.first("pivot").alias("pivot"),
         )
-        inner = F.col("need") - F.col("below")
-        to_left, to_middle = inner <= F.col("less"), inner <= F.col("less") + F.col("equal")
-        moved = F.col("pivot").isNotNull()
-        ranges = durable(
-            ranges.join(counted, "range_id", "left").select(
-                "range_id", *keys, "rank", "need", "rows",
-                F.when(moved & ~to_middle, F.col("pivot")).otherwise(F.col("low")).alias("low"),
-                F.when(moved & to_left, F.col("pivot")).otherwise(F.col("high")).alias("high"),
-                F.when(moved & ~to_middle, F.col("below") + F.col("less") + F.col("equal")).otherwise(F.col("below")).alias("below"),
-                F.when(moved & to_left, F.col("lesser")).when(moved & ~to_middle, F.col("greater")).otherwise(F.col("left")).alias("left"),
-                F.when(moved & ~to_left & to_middle, F.col("pivot")).otherwise(F.col("value")).alias("value"),
+        less, upto = F.col("less"), F.col("less") + F.col("equal")
+        split = durable(
+            ranges.join(counted, "range_id").select(
+                "*", F.monotonically_increasing_id().alias("fresh"),
+                F.filter("wanted", lambda w: w["need"] <= less).alias("low"),
+                F.filter("wanted", lambda w: (w["need"] > less) & (w["need"] <= upto)).alias("hit"),
+                F.transform(F.filter("wanted", lambda w: w["need"] > upto), lambda w: F.struct(w["rank"].alias("rank"), (w["need"] - upto).alias("need"))).alias("high"),
             )
         )
-    done = ranges.where("value is not null").select(*keys, "rank", "value", "rows")
-    open_ranges = ranges.where("value is null")
-    rest = within(hot, open_ranges).withColumn("upto", F.col("below") + F.sum("n").over(W.partitionBy("range_id").orderBy("value")))
-    hit = rest.where(F.col("upto") >= F.col("need")).groupBy("range_id").agg(F.min("value").alias("found"))
-    return small.unionByName(done).unionByName(open_ranges.join(hit, "range_id").select(*keys, "rank", F.col("found").alias("value"), "rows"))
+        out = out.unionByName(split.select(*keys, F.explode("hit").alias("w"), F.col("pivot").alias("value"), "rows").select(*keys, F.col("w.rank").alias("rank"), "value", "rows"))
+        side = lambda name, count, k: F.struct((F.col("fresh") * 2 + k).alias("range_id"), F.col(count).alias("distinct"), F.col(name).alias("wanted"))
+        both = split.select(*keys, "rows", F.explode(F.array(side("low", "lesser", 0), side("high", "greater", 1))).alias("s")).select(*keys, "rows", "s.*")
+        kept = both.where(F.size("wanted") > 0)
+        turn = split.select("range_id", "distinct", "pivot", (F.col("fresh") * 2).alias("left_id"), (F.size("low") > 0).alias("left"), (F.size("high") > 0).alias("right"), "lesser", "greater")
+        moved = points.join(spread(turn).drop("distinct"), ["range_id", "slot"]).where(((value < pivot) & F.col("left")) | ((value > pivot) & F.col("right")))
+        moved = moved.select(
+            F.when(value < pivot, F.col("left_id")).otherwise(F.col("left_id") + 1).alias("range_id"), "value", "n",
+            F.pmod(F.xxhash64("value"), _slots(F.when(value < pivot, F.col("lesser")).otherwise(F.col("greater")))).cast("int").alias("slot"),
+        )
+        points = durable(moved)
+        out = out.unionByName(_finished(points, kept.where(~large), keys))
+        ranges = kept.where(large)
+        if ranges.isEmpty():
+            break
+        # the points of finished ranges meet no pivot any more and fall away with the next pass
+    return out

@@ -33,9 +33,16 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bounded mergeable form: values to 10 binary digits (relative error below 0.1 %) per organization and month."""
-    summary = _run_summary(spark, sf_dir, 10).withColumn("day", F.trunc("day", "month"))
-    return percentiles.roll_up(summary, ["org_id", "day"]).groupBy("org_id", "day", "metric").agg(F.sum("n").alias("rows"), F.count("*").alias("points"))
+    """The mergeable form: per organization and day each value, to 10 binary digits (relative error below 0.2 %), with its count."""
+    return _run_summary(spark, sf_dir, 10)
+
+
+def p2_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of two sets of days that are summarised apart and merged by their summaries alone: those of all days."""
+    summary = _run_summary(spark, sf_dir)
+    odd = F.coalesce(F.datediff("day", F.lit("1970-01-01").cast("date")) % 2 == 1, F.lit(False))
+    apart = [percentiles.roll_up(summary.where(c), ["org_id"]) for c in (odd, ~odd)]
+    return percentiles.percentiles(percentiles.merge(*apart), ["org_id"], RANKS)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +121,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_percentiles": p2_percentiles, "p2_day_summaries": p2_day_summaries,
+    "p2_percentiles": p2_percentiles, "p2_day_summaries": p2_day_summaries, "p2_merged_days": p2_merged_days,
     "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_evidence": p4_evidence, "p4_shared_files": p4_shared_files, "p4_shared_subtrees": p4_shared_subtrees, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_leaked_items": p9_leaked_items,
     "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
@@ -132,6 +139,34 @@ _P2 = _ONCE + """
 SELECT p.org_id, p.metric, CAST(r.rank AS DOUBLE) AS rank, p.value, p.n AS rows
 FROM placed p JOIN (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS rank) r ON p.i = greatest(CAST(ceil(CAST(r.rank AS DOUBLE) * p.n - 1e-9) AS BIGINT), 1)
 """
+_P2_DAYS = """
+WITH once AS (
+  SELECT id, any_value(nullif(lower(regexp_replace(org_id, '^\\s+|\\s+$', '', 'g')), '')) AS org_id, any_value(CAST(timestamp AS DATE)) AS day, any_value(duration_ms) AS duration_ms, any_value(total_issues) AS total_issues FROM runs GROUP BY id
+), vals AS (
+  SELECT org_id, day, 'duration_ms' AS metric, CAST(duration_ms AS DOUBLE) AS v FROM once WHERE duration_ms IS NOT NULL
+  UNION ALL SELECT org_id, day, 'total_issues', CAST(total_issues AS DOUBLE) FROM once WHERE total_issues IS NOT NULL
+), cut AS (
+  SELECT org_id, day, metric, CASE WHEN v = 0 THEN 0.0 ELSE sign(v) * floor(abs(v) / pow(2.0, floor(log2(abs(v))) - 9)) * pow(2.0, floor(log2(abs(v))) - 9) END AS value FROM vals
+)
+SELECT org_id, day, metric, value, count(*) AS n FROM cut GROUP BY ALL
+"""
+_SHOWN = r"""
+WITH owners AS (SELECT id AS run_id, any_value(nullif(regexp_extract(lower(repo_url), '([^/:]+)/[^/]+?(?:\.git)?/?$', 1), '')) AS owner FROM runs WHERE id IS NOT NULL AND repo_url IS NOT NULL GROUP BY id),
+shown AS (
+  SELECT file_id, run_id, regexp_replace(replace(path, '\', '/'), '^(\./|/)+', '') AS path,
+    array_to_string(list_transform(list_filter(flatten(list_transform(hunks, lambda h: h.lines)), lambda x: x.type IS DISTINCT FROM 'removed'), lambda x: coalesce(x.content, '')), chr(10)) AS text
+  FROM file_diffs WHERE file_id IS NOT NULL AND run_id IS NOT NULL AND path IS NOT NULL
+), told AS (SELECT * FROM shown WHERE length(text) > 0)
+"""
+_P4_FILES = _SHOWN + ", common AS (SELECT text FROM told JOIN owners USING (run_id) WHERE owner IS NOT NULL GROUP BY text HAVING count(DISTINCT owner) >= 2) SELECT DISTINCT file_id FROM told WHERE text IN (SELECT text FROM common)"
+_P4_TREES = _SHOWN + """, up AS (
+  SELECT file_id, run_id, path, text, unnest(range(1, len(string_split(path, '/')))) AS n FROM told
+), placed AS (
+  SELECT file_id, run_id, text, array_to_string(string_split(path, '/')[1:n], '/') AS folder, array_to_string(string_split(path, '/')[n + 1:], '/') AS rest FROM up
+), trees AS (
+  SELECT run_id, folder, list(DISTINCT struct_pack(rest, text) ORDER BY struct_pack(rest, text)) AS tree FROM placed GROUP BY ALL
+), common AS (SELECT tree FROM trees JOIN owners USING (run_id) WHERE owner IS NOT NULL GROUP BY tree HAVING count(DISTINCT owner) >= 2)
+SELECT DISTINCT p.file_id FROM placed p JOIN trees t USING (run_id, folder) JOIN owners o USING (run_id) WHERE o.owner IS NOT NULL AND p.folder <> '' AND t.tree IN (SELECT tree FROM common)"""
 _P9 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
@@ -144,4 +179,4 @@ _P9_ITEMS = _P9 + """, pairs AS (
 ) SELECT item_id, count(*) AS documents, max(windows) AS most_windows FROM pairs GROUP BY item_id"""
 _P9 += "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)"
 #: SQL can't express the other queries; they are tested against brute force, a reference tokenizer and held-out labels.
-ORACLE: dict[str, str] = {"p2_percentiles": _P2, "p8_round_trip": "SELECT lang, count(*) AS documents, count(*) AS same FROM documents GROUP BY lang", "p9_found": _P9, "p9_leaked_items": _P9_ITEMS}
+ORACLE: dict[str, str] = {"p2_percentiles": _P2, "p2_merged_days": _P2, "p2_day_summaries": _P2_DAYS, "p4_shared_files": _P4_FILES, "p4_shared_subtrees": _P4_TREES, "p8_round_trip": "SELECT lang, count(*) AS documents, count(*) AS same FROM documents GROUP BY lang", "p9_found": _P9, "p9_leaked_items": _P9_ITEMS}

@@ -19,7 +19,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("leaf", [4, 64, 5000])
+@pytest.mark.parametrize("leaf", [0, 4, 64, 5000])
 def test_exact_for_hot_skewed_and_null_groups(spark, leaf):
     rnd = random.Random(leaf)
     rows = [("hot", float(rnd.randint(0, 10**rnd.randint(1, 6)))) for _ in range(3000)]
@@ -44,6 +44,22 @@ def test_merged_days_equal_the_whole_and_error_is_bounded(spark):
         assert abs(r.value - exact[r["rank"]]) <= 2.0**-7 * abs(exact[r["rank"]])
 
 
+def test_hot_ranges_are_spread_over_slots(spark, monkeypatch):
+    monkeypatch.setattr(P, "PER_SLOT", 40)
+    rows = [("hot", float(k * 7919 % 5003)) for k in range(5003)] + [("small", float(k)) for k in range(30)]
+    facts = spark.createDataFrame(rows, "g string, v double")
+    got = P.percentiles(P.summarise(facts, {"g": F.col("g")}, {"v": F.col("v")}), ["g"], RANKS, leaf=16).collect()
+    assert {(r.g, r["rank"]): r.value for r in got} == brute(rows) and len(got) == 2 * len(RANKS)
+
+
+def test_medians_of_batches():
+    import pandas as pd
+
+    batch = pd.DataFrame({"range_id": [2, 1, 1, 1, 2], "value": [5.0, 3.0, 1.0, 2.0, 9.0], "n": [1, 1, 5, 1, 4]})
+    got = pd.concat(P._weighted_medians(iter([batch, batch.iloc[:0], batch.iloc[1:2]]))).values.tolist()
+    assert got == [[1, 1.0, 7], [2, 9.0, 5], [1, 3.0, 1]]
+
+
 def test_empty(spark):
     facts = spark.createDataFrame([], "g string, v double")
     assert P.percentiles(P.summarise(facts, {"g": F.col("g")}, {"v": F.col("v")}), ["g"], RANKS).count() == 0

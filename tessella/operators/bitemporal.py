@@ -7,8 +7,8 @@ the row it supersedes keeps its content and only receives the end of its recorde
 
 The sweep over each key's timeline is done in slices of valid time, so that no key has to fit into a task:
 inside a slice a stack finds for every assertion the nearest earlier and later one that was already known when
-it was recorded; what a slice leaves open is looked up in the nearest slice that can answer (known by the
-slice's earliest recording).
+it was recorded. What a slice leaves open is asked of the nearest slice that can answer (known by the slice's
+earliest recording), and answered there by a running extreme over the rows in order of recording: one sort, no pairs.
 """
 from __future__ import annotations
 
@@ -91,32 +91,42 @@ def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _linked(rest)
 
 
-def _resolve_open(links: DataFrame, side: str) -> DataFrame:
-    """Fill ``pred_v`` / ``succ_v`` that the own slice could not answer from the nearest slice that can."""
-    col, back = ("pred_v", True) if side == "pred" else ("succ_v", False)
-    slices = links.groupBy("key", "slice").agg(F.min("r").alias("min_r"))
+def _asked(links: DataFrame, slices: DataFrame, side: str) -> DataFrame:
+    """(key, slice, v, r, side) of open links: the slice that can answer. Links that no slice can answer are left out.
+
+    Most links are answered by the slice beside their own, or by none at all, which one row per slice tells; only the
+    rest, recorded before all of the neighbour's rows, looks for its slice among those of its key.
+    """
+    back = side == "pred"
+    order = W.partitionBy("key").orderBy(F.col("slice") if back else F.col("slice").desc())
+    beside = slices.select(
+        "key", "slice", F.lag("slice").over(order).alias("near"), F.lag("min_r").over(order).alias("near_r"), F.min("min_r").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("best_r")
+    ).where("near is not null")
+    unanswered = links.where(F.col(f"{side}_v").isNull()).select("key", "slice", "v", "r").join(beside, ["key", "slice"]).where(F.col("best_r") <= F.col("r"))
+    quick = unanswered.where("near_r <= r").select("key", F.col("near").alias("slice"), "v", "r")
     edge = slices.select(F.col("key").alias("s_key"), F.col("slice").alias("s_slice"), "min_r")
     nearer = (F.col("s_slice") < F.col("slice")) if back else (F.col("s_slice") > F.col("slice"))
-    pick = F.max if back else F.min
-    target = (
-        links.where(F.col(col).isNull())
-        .join(edge, (F.col("key") == F.col("s_key")) & nearer & (F.col("min_r") <= F.col("r")))
-        .groupBy("key", "v", "r")
-        .agg(pick("s_slice").alias("t_slice"))
-    )
-    there = links.select(F.col("key").alias("t_key"), F.col("slice").alias("in_slice"), F.col("v").alias("t_v"), F.col("r").alias("t_r"))
-    found = (
-        target.join(there, (F.col("key") == F.col("t_key")) & (F.col("t_slice") == F.col("in_slice")) & (F.col("t_r") <= F.col("r")))
-        .groupBy("key", "v", "r")
-        .agg(pick("t_v").alias("far_v"))
-    )
-    return links.join(found, ["key", "v", "r"], "left").withColumn(col, F.coalesce(col, "far_v")).drop("far_v")
+    far = unanswered.where("near_r > r").join(edge, (F.col("key") == F.col("s_key")) & nearer & (F.col("min_r") <= F.col("r")))
+    far = far.groupBy("key", "v", "r").agg((F.max if back else F.min)("s_slice").alias("slice")).select("key", "slice", "v", "r")
+    return quick.unionByName(far).withColumn("side", F.lit(side))
+
+
+def _resolve_open(links: DataFrame) -> DataFrame:
+    """Fill ``pred_v`` and ``succ_v`` that the own slice could not answer."""
+    slices = links.groupBy("key", "slice").agg(F.min("r").alias("min_r"))
+    asked = _asked(links, slices, "pred").unionByName(_asked(links, slices, "succ"))
+    told = links.select("key", "slice", "v", "r", F.lit(None).cast("string").alias("side"))
+    known = W.partitionBy("key", "slice").orderBy("r", F.col("side").isNotNull()).rowsBetween(W.unboundedPreceding, 0)  # rows of the slice stand before questions of the same time
+    own = F.when(F.col("side").isNull(), F.col("v"))
+    answered = told.unionByName(asked).withColumn("last_v", F.max(own).over(known)).withColumn("first_v", F.min(own).over(known)).where("side is not null")
+    far = answered.groupBy("key", "v", "r").agg(F.max(F.when(F.col("side") == "pred", F.col("last_v"))).alias("far_pred"), F.min(F.when(F.col("side") == "succ", F.col("first_v"))).alias("far_succ"))
+    return links.join(far, ["key", "v", "r"], "left").withColumn("pred_v", F.coalesce("pred_v", "far_pred")).withColumn("succ_v", F.coalesce("succ_v", "far_succ")).drop("far_pred", "far_succ")
 
 
 def ledger(assertions: DataFrame, names: Assertions = Assertions(), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """The bitemporal ledger: (key, valid_from, valid_to, recorded_from, recorded_to, state).
+    """The bitemporal ledger: (key, valid_from, valid_to, recorded_from, recorded_to, state, asserted).
 
-    Open ends are null. Assertions without key, valid or recorded time are left out. Exactly repeated assertions
+    ``asserted`` tells the rows that an assertion opened from those that another one's arrival split off. Open ends are null. Assertions without key, valid or recorded time are left out. Exactly repeated assertions
     count once; of several with one key, valid and recorded time the one with the greatest state holds.
     An empty input gives an empty ledger.
     """
@@ -130,7 +140,7 @@ def ledger(assertions: DataFrame, names: Assertions = Assertions(), slice_second
     key_type = base.schema["key"].dataType
     out = T.StructType([T.StructField("key", key_type), *(T.StructField(c, T.LongType()) for c in ("slice", "v", "r", "pred_v", "succ_v"))])
     links = durable(sliced.repartition("key", "slice").sortWithinPartitions("key", "slice", "v", "r").mapInPandas(_sweep, out))
-    links = _resolve_open(_resolve_open(links, "succ"), "pred")
+    links = _resolve_open(links)
     # each assertion opens a row, and closes the one of its predecessor with a shorter successor
     opened = links.select("key", F.col("v").alias("at"), F.col("r").alias("recorded"), F.col("succ_v").alias("ends"))
     split = links.where("pred_v is not null").select("key", F.col("pred_v").alias("at"), F.col("r").alias("recorded"), F.col("v").alias("ends"))
@@ -143,15 +153,27 @@ def ledger(assertions: DataFrame, names: Assertions = Assertions(), slice_second
     w = W.partitionBy("key", "at").orderBy("recorded")
     held = rows.select(
         "key", "at", "recorded", "ends",
-        F.last(F.when(F.col("own"), F.struct("state")), ignorenulls=True).over(w).alias("held"),
+        F.last(F.when(F.col("own"), F.struct("state")), ignorenulls=True).over(w).alias("held"), F.coalesce("own", F.lit(False)).alias("asserted"),
         F.lead("recorded").over(w).alias("superseded"),
     )
     ts = lambda c: F.timestamp_micros(F.col(c))
     return held.where("held is not null").select(
-        "key", ts("at").alias("valid_from"), ts("ends").alias("valid_to"), ts("recorded").alias("recorded_from"), ts("superseded").alias("recorded_to"), F.col("held.state").alias("state")
+        "key", ts("at").alias("valid_from"), ts("ends").alias("valid_to"), ts("recorded").alias("recorded_from"), ts("superseded").alias("recorded_to"), F.col("held.state").alias("state"), "asserted"
     )
 
 
+def merge(book: DataFrame, late: DataFrame, names: Assertions = Assertions(), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """A stored ledger with further assertions: the ledger of all of them, whatever the order or number of deliveries.
+
+    Only keys that ``late`` tells about are swept again, from their own assertions in the book; all other rows are
+    passed on as they are. Superseded rows keep their content; write the result beside the book, not over it.
+    """
+    told = late.select(F.col(names.key).alias("entity_id"), F.col(names.valid_at).alias("valid_at"), F.col(names.recorded_at).alias("recorded_at"), F.col(names.state).alias("state"))
+    touched = told.where("entity_id is not null and valid_at is not null and recorded_at is not null").select(F.col("entity_id").alias("key")).distinct()
+    before = book.where("asserted").join(touched, "key", "left_semi").select(F.col("key").alias("entity_id"), F.col("valid_from").alias("valid_at"), F.col("recorded_from").alias("recorded_at"), "state")
+    return book.join(touched, "key", "left_anti").unionByName(ledger(before.unionByName(told), slice_seconds=slice_seconds))
+
+
 def as_of(book: DataFrame, recorded_at: Column | None = None) -> DataFrame:
     """The history as it was known at ``recorded_at``, by default as it is known now."""
     if recorded_at is None:

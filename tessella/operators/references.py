@@ -1,8 +1,10 @@
 """References to records that do not exist.
 
-Keys are laid out in ranges of their 64-bit hash. A task receives the parents of a range, holds them as sorted
-arrays, and probes the batches of references that follow by binary search. Keys that occur in a large share of
-all references never move: their few parents (at most ``1 / HOT_SHARE`` keys) go to the references instead.
+Keys become two 64-bit hashes; the first lays them out in ranges, and the pair of both stands for the key, so two
+keys are taken for one with a chance of 2^-128. A task receives the parents of a range, holds them as sorted arrays of
+integers, and probes the batches of references that follow by binary search. How many references lie in each range
+is counted first: a range with more than its share is split by record into parts, each with the range's parents, so
+neither a hot key nor a hot range makes a long task.
 """
 from __future__ import annotations
 
@@ -10,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANGES = 4096
-HOT_SHARE = 1 / 64
+#: A range is split where it holds more references than this, or than twice the mean of all ranges.
+MOST_PER_PART = 20_000
 
 PARENT_COLUMNS = "kind, key, created_at, deleted_at"
 REFERENCE_COLUMNS = "table_name, record_id, ref_field, kind, key, at"
@@ -22,37 +25,66 @@ _OUT = "table_name string, record_id string, ref_field string, at timestamp, rea
 
 
 class _Parents:
-    """Sorted arrays of one range of parents, probed by binary search."""
-
-    def __init__(self, frame: pd.DataFrame):
-        frame = frame.assign(k=frame["kind"] + "\x00" + frame["key"]).sort_values("k", kind="stable").drop_duplicates("k", keep="last")
-        self.keys = frame["k"].to_numpy(object)
-        self.created = frame["created_at"].to_numpy("datetime64[us]")
-        self.deleted = frame["deleted_at"].to_numpy("datetime64[us]")
-
-    def reasons(self, kind: pd.Series, key: pd.Series, at: pd.Series) -> np.ndarray:
-        wanted = (kind + "\x00" + key).to_numpy(object)
-        out = np.full(len(wanted), None, object)
-        if not len(self.keys):
+    """Sorted arrays of one range of parents (h, g, created_at, deleted_at), probed by binary search."""
+
+    def __init__(self, frames: list[pd.DataFrame]):
+        take = lambda c, t: np.concatenate([f[c].to_numpy(t) for f in frames]) if frames else np.zeros(0, t)
+        h, g = take("h", np.int64), take("g", np.int64)
+        order = np.lexsort((g, h))
+        self.h, self.g = h[order], g[order]
+        self.created, self.deleted = take("created_at", "datetime64[us]")[order], take("deleted_at", "datetime64[us]")[order]
+
+    def reasons(self, h: np.ndarray, g: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """'missing', 'deleted', 'not yet there' or None for each probe."""
+        out = np.full(len(h), None, object)
+        if not len(self.h):
             out[:] = "missing"
             return out
-        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        known = self.keys[place] == wanted
-        when = at.to_numpy("datetime64[us]")
-        created, deleted = self.created[place], self.deleted[place]
-        out[created > when] = "not yet there"
-        out[deleted <= when] = "deleted"
+        place = np.searchsorted(self.h, h)
+        while True:  # keys with the same first hash stand side by side, in the order of the second
+            other = (place < len(self.h)) & (self.h[np.minimum(place, len(self.h) - 1)] == h) & (self.g[np.minimum(place, len(self.h) - 1)] < g)
+            if not other.any():
+                break
+            place = place + other
+        place = np.minimum(place, len(self.h) - 1)
+        known = (self.h[place] == h) & (self.g[place] == g)
+        out[self.created[place] > at] = "not yet there"
+        out[self.deleted[place] <= at] = "deleted"
         out[~known] = "missing"
         return out
 
 
-def _misses(frame: pd.DataFrame, parents: _Parents) -> pd.DataFrame:
-    reason = parents.reasons(frame["kind"], frame["key"], frame["at"])
-    bad = reason != None  # noqa: E711
-    return frame.loc[bad, ["table_name", "record_id", "ref_field", "at"]].assign(reason=reason[bad])
+def _hashes(kind: Column, key: Column) -> tuple[Column, Column]:
+    return F.xxhash64(kind, key), F.xxhash64(key, F.lit(17), kind)
 
 
-def orphans(references: DataFrame, parents: DataFrame, ranges: int = RANGES, hot_share: float = HOT_SHARE) -> DataFrame:
+def _range_of(h: Column, ranges: int) -> Column:
+    return F.floor((h.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * ranges).cast("int")
+
+
+def _probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (part of a range, parents first): the arrays of the part that is open are all that is held."""
+    held: list[pd.DataFrame] = []
+    current: tuple | None = None
+    index: _Parents | None = None
+    for frame in frames:
+        for span, part in frame.groupby(["range", "part"], sort=False):
+            if span != current:
+                current, held, index = span, [], None
+            parents = part["role"].to_numpy() == 0
+            if parents.any():
+                held.append(part.loc[parents, ["h", "g", "created_at", "deleted_at"]])
+                index = None
+            asked = part.loc[~parents]
+            if len(asked):
+                index = index or _Parents(held)
+                reason = index.reasons(asked["h"].to_numpy(np.int64), asked["g"].to_numpy(np.int64), asked["created_at"].to_numpy("datetime64[us]"))
+                bad = np.flatnonzero(reason != None)  # noqa: E711
+                if len(bad):
+                    yield asked.iloc[bad][["table_name", "record_id", "ref_field", "created_at"]].rename(columns={"created_at": "at"}).assign(reason=reason[bad])
+
+
+def orphans(references: DataFrame, parents: DataFrame, ranges: int = RANGES, most: int = MOST_PER_PART) -> DataFrame:
     """(table_name, record_id, ref_field, at, reason) of references that do not hold at their time ``at``.
 
     references: table_name, record_id, ref_field, kind (which parent table), key, at; null keys are no references.
@@ -60,57 +92,26 @@ def orphans(references: DataFrame, parents: DataFrame, ranges: int = RANGES, hot
     A reference fails if the key is missing, was deleted at or before ``at`` or created after it; a null time on
     either side proves nothing. Repeated failing references are given once. Without parents all are missing.
     """
+    h, g = _hashes(F.col("kind"), F.col("key"))
     refs = references.selectExpr(*REFERENCE_COLUMNS.split(", ")).where("key is not null and record_id is not null")
-    kept = parents.selectExpr(*PARENT_COLUMNS.split(", ")).where("key is not null").groupBy("kind", "key").agg(F.max(F.struct("created_at", "deleted_at")).alias("p")).select("kind", "key", "p.created_at", "p.deleted_at")
-    counted = refs.groupBy("kind", "key").count()
-    total = counted.agg(F.sum("count").alias("n"))
-    floor = F.greatest(total.scalar() * F.lit(hot_share), F.lit(1000.0))
-    hot = counted.where(F.col("count") >= floor).select("kind", "key").limit(int(1 / hot_share)).collect()  # no more keys than that can have such a share
-    hot_keys = [f"{r.kind}\x00{r.key}" for r in hot]
-    tag = F.concat_ws("\x00", "kind", "key")
-    parts = []
-    if hot_keys:
-        mine = kept.where(tag.isin(hot_keys)).toPandas()
-
-        def probe_hot(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            few = _Parents(mine)
-            for frame in frames:
-                yield _misses(frame, few)
-
-        parts.append(refs.where(tag.isin(hot_keys)).mapInPandas(probe_hot, _OUT))
-        refs = refs.where(~tag.isin(hot_keys))
-
-    def lay(df: DataFrame, role: int) -> DataFrame:
-        columns = {"created_at": "timestamp", "deleted_at": "timestamp", "at": "timestamp", "table_name": "string", "record_id": "string", "ref_field": "string"}
-        have = df.columns
-        return df.select(
-            F.floor((F.xxhash64("kind", "key").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * ranges).cast("int").alias("range"), F.lit(role).alias("role"), "kind", "key",
-            *(F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in columns.items()),
-        )
-
-    both = lay(kept, 0).unionByName(lay(refs, 1)).repartition("range").sortWithinPartitions("range", "role")
-
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        current, index = -1, _Parents(pd.DataFrame({"kind": pd.Series(dtype=object), "key": pd.Series(dtype=object), "created_at": pd.Series(dtype="datetime64[us]"), "deleted_at": pd.Series(dtype="datetime64[us]")}))
-        for frame in frames:
-            for span, part in frame.groupby("range", sort=False):
-                if span != current:
-                    current, held, index = span, [], None
-                fresh = part[part["role"] == 0]
-                if len(fresh):
-                    held.append(fresh)
-                    index = None
-                asked = part[part["role"] == 1]
-                if len(asked):
-                    if index is None:
-                        index = _Parents(pd.concat(held) if held else part.iloc[:0])
-                    yield _misses(asked, index)
-
-    parts.append(both.mapInPandas(probe, _OUT))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    refs = refs.select(
+        h.alias("h"), g.alias("g"), F.lit(1).alias("role"), F.col("at").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("deleted_at"),
+        F.col("table_name").cast("string").alias("table_name"), F.col("record_id").cast("string").alias("record_id"), F.col("ref_field").cast("string").alias("ref_field"),
+    ).withColumn("range", _range_of(F.col("h"), ranges))
+    kept = (
+        parents.selectExpr(*PARENT_COLUMNS.split(", ")).where("key is not null").groupBy(h.alias("h"), g.alias("g")).agg(F.max(F.struct("created_at", "deleted_at")).alias("p"))
+        .select("h", "g", F.lit(0).alias("role"), F.col("p.created_at").cast("timestamp").alias("created_at"), F.col("p.deleted_at").cast("timestamp").alias("deleted_at"))
+        .withColumn("range", _range_of(F.col("h"), ranges))
+    )
+    loads = refs.groupBy("range").count()
+    mean = loads.agg(F.avg("count").alias("m")).scalar()
+    parts = loads.select("range", F.ceil(F.col("count") / F.greatest(F.lit(most), 2 * mean)).cast("int").alias("parts")).where("parts > 1")
+    parts = F.broadcast(parts)  # at most one row of two integers per range
+    one = F.coalesce("parts", F.lit(1))
+    asked = refs.join(parts, "range", "left").withColumn("part", F.pmod(F.xxhash64("record_id"), one).cast("int")).drop("parts")
+    held = kept.join(parts, "range", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    both = held.unionByName(asked, allowMissingColumns=True).repartition("range", "part").sortWithinPartitions("range", "part", "role")
+    found = both.mapInPandas(_probe, _OUT)
     return found.groupBy("table_name", "record_id", "ref_field").agg(F.min("at").alias("at"), F.min("reason").alias("reason"))
 
 

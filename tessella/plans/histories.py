@@ -4,38 +4,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.lineage import durable
 from tessella.functions.keys import fold_key, fold_layout
 from tessella.operators import bitemporal, nested, references, rolling
 from tessella.sources.tables import table
 
 
 # problem 1: history of changing attributes
-def _config_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.struct(fold_layout(F.col("config_yaml")).alias("config_yaml"), F.col("version").alias("version"))
-    told = bitemporal.snapshot_assertions(table(spark, sf_dir, "org_configs"), "org_id", "snapshot_at", "exported_at", state)
-    return bitemporal.ledger(told)
-
-
-def _subscription_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assertions about both entities: entity_id (entity, id), valid_at, recorded_at, state (present, value (a, b)).
+
+    The value of a config is its text and version, that of a subscription its plan and status.
+    """
+    pair = lambda a, b: F.struct(a.cast("string").alias("a"), b.cast("string").alias("b"))
+    entity = lambda name, c: F.when(c.isNotNull(), F.struct(F.lit(name).alias("entity"), c.alias("id")))
+    configs = bitemporal.snapshot_assertions(table(spark, sf_dir, "org_configs"), "org_id", "snapshot_at", "exported_at", pair(fold_layout(F.col("config_yaml")), F.col("version")))
     folded = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    told = table(spark, sf_dir, "subscriptions").select(
-        F.col("id").alias("entity_id"), F.col("updated_at").alias("valid_at"), F.col("received_at").alias("recorded_at"),
-        F.struct(F.lit(True).alias("present"), F.struct(folded("plan").alias("plan"), folded("status").alias("status")).alias("value")).alias("state"),
+    updates = table(spark, sf_dir, "subscriptions").select(
+        entity("subscription", F.col("id")).alias("entity_id"), F.col("updated_at").alias("valid_at"), F.col("received_at").alias("recorded_at"),
+        F.struct(F.lit(True).alias("present"), pair(folded("plan"), folded("status")).alias("value")).alias("state"),
     )
-    return bitemporal.ledger(told)
+    return configs.withColumn("entity_id", entity("org_config", F.col("entity_id"))).unionByName(updates)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for entity, book in (("org_config", _config_ledger(spark, sf_dir)), ("subscription", _subscription_ledger(spark, sf_dir))):
-        changes = bitemporal.versions(bitemporal.as_of(book)).where("state.present")
-        parts.append(changes.select(F.lit(entity).alias("entity"), F.col("key").alias("entity_id"), F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss").alias("valid_from")))
-    return parts[0].unionByName(parts[1])
+    changes = bitemporal.versions(bitemporal.as_of(bitemporal.ledger(_told(spark, sf_dir)))).where("state.present")
+    return changes.select("key.entity", F.col("key.id").alias("entity_id"), F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
+
+
+def _subscription_book(book: DataFrame) -> DataFrame:
+    return book.select(F.col("key.id").alias("id"), "valid_from", "valid_to", "recorded_from", "recorded_to", F.col("state.value.a").alias("plan"), F.col("state.value.b").alias("status"))
 
 
 def p1_subscription_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every belief about every subscription: valid and recorded periods."""
-    return _subscription_ledger(spark, sf_dir).select(F.col("key").alias("id"), "valid_from", "valid_to", "recorded_from", "recorded_to", F.col("state.value.plan").alias("plan"), F.col("state.value.status").alias("status"))
+    return _subscription_book(bitemporal.ledger(_told(spark, sf_dir).where("entity_id.entity = 'subscription'")))
+
+
+def p1_merged_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger from a stored one of what was recorded by the middle of the year, and the rest merged into it."""
+    told = _told(spark, sf_dir).where("entity_id.entity = 'subscription'")
+    early = F.col("recorded_at") < F.lit("2025-07-01").cast("timestamp")
+    return _subscription_book(bitemporal.merge(durable(bitemporal.ledger(told.where(early))), told.where(~early)))
 
 
 # problem 3: nested records
@@ -132,6 +142,6 @@ def p7_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_subscription_ledger": p1_subscription_ledger, "p3_found": p3_found, "p3_related_paths": p3_related_paths, "p3_items": p3_items, "p3_leaves": p3_leaves,
+    "p1_found": p1_found, "p1_subscription_ledger": p1_subscription_ledger, "p1_merged_ledger": p1_merged_ledger, "p3_found": p3_found, "p3_related_paths": p3_related_paths, "p3_items": p3_items, "p3_leaves": p3_leaves,
     "p6_found": p6_found, "p6_orphans_per_month": p6_orphans_per_month, "p7_rolling": p7_rolling,
 }

@@ -29,6 +29,23 @@ SELECT 'subscription', id, strftime(updated_at, '%Y-%m-%d %H:%M:%S') FROM sub
 WHERE before IS NULL OR s.p IS DISTINCT FROM prior.p OR s.s IS DISTINCT FROM prior.s
 """
 
+#: Beliefs of the ledger: every assertion opens a period, and closes that of its predecessor, as known when it was recorded.
+P1_LEDGER = """
+WITH a AS (
+  SELECT id, updated_at AS v, received_at AS r, max(struct_pack(p := lower(trim(plan)), s := lower(trim(status)))) AS st
+  FROM subscriptions WHERE id IS NOT NULL AND updated_at IS NOT NULL AND received_at IS NOT NULL GROUP BY ALL
+), links AS (
+  SELECT x.id, x.v, x.r, max(y.v) FILTER (y.v < x.v) AS pred, min(y.v) FILTER (y.v > x.v) AS succ
+  FROM a x LEFT JOIN a y ON y.id = x.id AND y.r <= x.r GROUP BY ALL
+), pieces AS (
+  SELECT id, place, recorded, min(ends) AS ends FROM (
+    SELECT id, v AS place, r AS recorded, succ AS ends FROM links UNION ALL SELECT id, pred, r, v FROM links WHERE pred IS NOT NULL
+  ) GROUP BY ALL
+)
+SELECT p.id, p.place AS valid_from, p.ends AS valid_to, p.recorded AS recorded_from, lead(p.recorded) OVER (PARTITION BY p.id, p.place ORDER BY p.recorded) AS recorded_to, h.st.p AS plan, h.st.s AS status
+FROM pieces p ASOF JOIN a h ON h.id = p.id AND h.v = p.place AND p.recorded >= h.r
+"""
+
 _REFS = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, id AS record_id, '{f}' AS ref_field, '{k}' AS kind, {fold(f)} AS key, created_at AS at_time FROM {t}"
     for t, f, k in (("runs", "user_id", "user"), ("runs", "org_id", "org"), ("audit_log", "user_id", "user"), ("spec_results", "user_id", "user"))
@@ -64,4 +81,4 @@ SELECT user_id, d AS day, CAST(runs AS BIGINT) AS runs, CAST(errors AS BIGINT) A
 FROM totals
 """
 
-ORACLE = {"p1_found": P1, "p6_found": P6, "p6_orphans_per_month": P6_MONTH, "p7_rolling": P7}
+ORACLE = {"p1_found": P1, "p1_subscription_ledger": P1_LEDGER, "p1_merged_ledger": P1_LEDGER, "p6_found": P6, "p6_orphans_per_month": P6_MONTH, "p7_rolling": P7}

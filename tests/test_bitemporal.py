@@ -43,6 +43,24 @@ def test_late_update_splits_and_supersedes(spark):
     assert {(r.valid_from, r.valid_to, r.state) for r in before.collect()} == {(day(0), day(20), "x"), (day(20), None, "z")}
 
 
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 60), st.integers(0, 60), st.sampled_from("xyz")), max_size=20), st.integers(0, 20))
+def test_merge_of_late_rows_equals_the_ledger_of_all(spark, told, cut):
+    rows = [(k, day(v), day(r), s, "clash") for k, v, r, s in told]
+    make = lambda part: spark.createDataFrame(part, SCHEMA)
+    stored = B.ledger(make(rows[:cut]), slice_seconds=10 * 86_400)
+    assert sorted(map(str, B.merge(stored, make(rows[cut:]), slice_seconds=10 * 86_400).collect())) == sorted(map(str, B.ledger(make(rows), slice_seconds=10 * 86_400).collect()))
+
+
+def test_a_very_late_row_finds_its_neighbours_slices_away(spark):
+    told = [("a", day(10 * k), day(10 * k), str(k), "") for k in range(12)] + [("a", day(95), day(25), "early", ""), ("a", day(5), day(300), "late", "")]
+    book = B.ledger(spark.createDataFrame(told, SCHEMA), slice_seconds=10 * 86_400)
+    now = {(r.valid_from, r.valid_to): r.state for r in B.as_of(book).collect()}
+    assert now[day(0), day(5)] == "0" and now[day(5), day(10)] == "late" and now[day(90), day(95)] == "9" and now[day(95), day(100)] == "early"
+    then = {(r.valid_from, r.valid_to): r.state for r in B.as_of(book, F.lit(day(26))).collect()}
+    assert then == {(day(0), day(10)): "0", (day(10), day(20)): "1", (day(20), day(95)): "2", (day(95), None): "early"}
+
+
 def test_empty_and_null_states(spark):
     assert B.ledger(spark.createDataFrame([], SCHEMA)).count() == 0
     told = [("a", day(0), day(0), None, ""), ("a", day(1), day(1), None, ""), ("a", day(40), day(40), "x", "")]

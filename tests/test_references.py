@@ -2,6 +2,9 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
+
 from tessella.operators import references as R
 
 T0 = datetime(2025, 1, 1)
@@ -40,6 +43,13 @@ def test_hot_key_and_many_ranges(spark):
     known = {k: (c, d) for _, k, c, d in parents}
     want = {("runs", r[1], "user_id") for r in refs if r[4] not in known or known[r[4]][0] > r[5] or (known[r[4]][1] and known[r[4]][1] <= r[5])}
     assert set(run(spark, refs, parents, ranges=64)) == want
+    assert set(run(spark, refs, parents, ranges=4, most=50)) == want  # ranges and the hot key in many parts
+
+
+def test_keys_with_the_same_first_hash():
+    frame = pd.DataFrame({"h": [5, 5, 5, 9], "g": [3, 1, 2, 0], "created_at": pd.to_datetime([None] * 4), "deleted_at": pd.to_datetime(["2025-01-01", None, "2025-01-01", None])})
+    got = R._Parents([frame]).reasons(np.array([5, 5, 5, 5, 9, 9, 1, 10]), np.array([1, 2, 3, 4, 0, 1, 1, 1]), np.array(["2025-02-01"] * 8, "datetime64[us]"))
+    assert got.tolist() == [None, "deleted", "deleted", "missing", None, "missing", "missing", "missing"]
 
 
 def test_per_period(spark):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import paths
+from tessella.functions.patterns import literals
 from tessella.operators import lines as L
 
 
@@ -38,8 +39,13 @@ class Group:
     every: bool = False
     #: the message ends with the line's text
     quotes: bool = False
-    #: paths that the group leaves alone
+    #: paths that the group leaves alone, and those that it is for (empty: all)
     skip: str = ""
+    only: str = ""
+    #: what a comment begins with, where it isn't one of the usual marks
+    marks: str = ""
+    #: an issue's id goes on with its file and line
+    located: bool = False
 
 
 @dataclass(frozen=True)
@@ -53,40 +59,58 @@ class CustomRule:
     message: str = ""
 
 
-def _fires(rule: Rule, group: Group, content: Column) -> Column:
-    fires = content.rlike(rule.pattern)
-    for x in (*rule.unless, *group.unless):
-        fires = fires & ~content.rlike(x)
-    return fires
+def text(value: str) -> str:
+    """A literal of Spark's SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _issue(rule: Rule, group: Group) -> Column:
-    return F.struct(
-        F.lit(rule.id or group.id).alias("id"), F.lit(rule.fix_id).alias("fix_id"), F.lit(rule.severity).alias("severity"), F.lit(group.category).alias("category"),
-        F.lit(rule.message).alias("message"), F.lit(rule.suggestion).alias("suggestion"),
-    )
+def _matches(pattern: str) -> str:
+    """A line matches ``pattern``; one without the pattern's literals isn't tried."""
+    held = " OR ".join(f"contains(__lower, {text(x)})" for x in literals(pattern))
+    tried = f"content RLIKE {text(pattern)}"
+    return f"(({held}) AND {tried})" if held else f"({tried})"
+
+
+def _fires(rule: Rule, group: Group) -> str:
+    return " AND ".join([_matches(rule.pattern), *(f"NOT {_matches(x)}" for x in (*rule.unless, *group.unless))])
+
+
+def _applies(g: Group) -> str:
+    parts = [f"ext IN ({', '.join(map(text, g.extensions))})"] if g.extensions else []
+    if not g.comments:
+        parts.append(f"NOT content RLIKE {text(g.marks)}" if g.marks else "NOT __comment")
+    if g.skip:
+        parts.append(f"NOT file RLIKE {text(g.skip)}")
+    if g.only:
+        parts.append(f"file RLIKE {text(g.only)}")
+    return " AND ".join(parts) or "true"
+
+
+def _told(rule: Rule, group: Group) -> str:
+    fields = {"grp": group.name, "id": rule.id or group.id, "fix_id": rule.fix_id, "severity": rule.severity, "category": group.category, "message": rule.message, "suggestion": rule.suggestion}
+    return "named_struct(" + ", ".join(f"'{k}', {text(v)}" for k, v in fields.items()) + f", 'quotes', {str(group.quotes).lower()}, 'located', {str(group.located).lower()})"
 
 
 def scan(lines: DataFrame, groups: Iterable[Group]) -> DataFrame:
-    """Issues of all groups over the added lines of ``lines`` (diff_lines): file_id, hunk_no, pos, file, line, grp, id, ..."""
-    content = F.col("content")
+    """Issues of all groups over the added lines of ``lines`` (diff_lines): file_id, hunk_no, pos, file, line, grp, id, ...
+
+    Rules become one SQL expression per group. A group's extensions are asked first, then whether the line holds a
+    literal that the pattern needs; only then is the pattern tried. Lines carry a rule's number, and its texts are looked
+    up for those that fire.
+    """
     hits, texts = [], []
     for g in groups:
-        applies = F.lit(True) if not g.extensions else F.col("ext").isin(*g.extensions)
-        if not g.comments:
-            applies = applies & ~L.is_comment(content)
-        if g.skip:
-            applies = applies & ~F.col("file").rlike(g.skip)
-        found = []
-        for r in g.rules:  # lines carry the rule's number; its texts are looked up afterwards
-            texts.append(F.struct(F.lit(g.name).alias("grp"), F.lit(g.quotes).alias("quotes"), _issue(r, g).alias("i")))
-            found.append(F.when(applies & _fires(r, g, content), F.lit(len(texts))))
-        hits += found if g.every else [F.coalesce(*found)]
-    rows = L.added(L.analyzable(lines)).where("content is not null")
-    each = rows.select("file_id", "hunk_no", "pos", "file", F.col("new_num").alias("line"), "content", F.explode(F.array_compact(F.array(*hits))).alias("k"))
-    told = each.select("file_id", "hunk_no", "pos", "file", "line", "content", F.element_at(F.array(*texts), F.col("k")).alias("hit"))
-    out = told.select("file_id", "hunk_no", "pos", "file", "line", "hit.grp", "hit.i.*", F.when(F.col("hit.quotes"), F.trim("content")).otherwise(F.lit("")).alias("__shown"))
-    return out.withColumn("message", F.concat("message", "__shown")).drop("__shown")
+        cases = []
+        for r in g.rules:
+            texts.append(_told(r, g))
+            cases.append(f"WHEN {_fires(r, g)} THEN {len(texts)}")
+        hits += [f"CASE WHEN {_applies(g)} THEN (CASE {c} END) END" for c in (cases if g.every else [" ".join(cases)])]
+    rows = L.added(L.analyzable(lines)).where("content is not null").withColumn("__comment", L.is_comment(F.col("content"))).withColumn("__lower", F.lower("content"))
+    each = rows.select("file_id", "hunk_no", "pos", "file", F.col("new_num").alias("line"), "content", F.explode(F.expr(f"array_compact(array({', '.join(hits)}))")).alias("k"))
+    told = each.select("file_id", "hunk_no", "pos", "file", "line", "content", F.expr(f"element_at(array({', '.join(texts)}), k)").alias("hit"))
+    message = F.concat("hit.message", F.when(F.col("hit.quotes"), F.trim("content")).otherwise(F.lit("")))
+    ident = F.when(F.col("hit.located"), F.concat_ws("-", "hit.id", "file", "line")).otherwise(F.col("hit.id"))
+    return told.select("file_id", "hunk_no", "pos", "file", "line", "hit.grp", ident.alias("id"), "hit.fix_id", "hit.severity", "hit.category", message.alias("message"), "hit.suggestion")
 
 
 def scan_custom(lines: DataFrame, rules: Iterable[CustomRule]) -> DataFrame:
@@ -121,9 +145,11 @@ def quoted(text: str) -> str:
 def fires_sql(rule: Rule, group: Group) -> str:
     parts = [f"regexp_matches(content, {quoted(rule.pattern)})", *(f"NOT regexp_matches(content, {quoted(x)})" for x in (*rule.unless, *group.unless))]
     if not group.comments:
-        parts.append("NOT regexp_matches(content, '^\\s*(//|#|/\\*|\\*)')")
+        parts.append(f"NOT regexp_matches(content, {quoted(group.marks or L.COMMENT)})")
     if group.skip:
         parts.append(f"NOT regexp_matches(file, {quoted(group.skip)})")
+    if group.only:
+        parts.append(f"regexp_matches(file, {quoted(group.only)})")
     if group.extensions:
         parts.append("ext IN (" + ", ".join(map(quoted, group.extensions)) + ")")
     return "(" + " AND ".join(parts) + ")"
@@ -132,10 +158,11 @@ def fires_sql(rule: Rule, group: Group) -> str:
 def group_sql(group: Group, source: str = "lines") -> str:
     """SELECT of a group's issues over the CTE ``source`` of analyzable added lines."""
     head = "SELECT file_id, hunk_no, pos, file, new_num AS line, {g} AS grp, {id} AS id, {severity} AS severity, {category} AS category, {message} AS message FROM " + source
+    place = " || '-' || file || '-' || new_num" if group.located else ""
     if group.every:
         return "\nUNION ALL\n".join(
-            head.format(g=quoted(group.name), id=quoted(r.id or group.id), severity=quoted(r.severity), category=quoted(group.category), message=quoted(r.message) + (" || trim(content)" if group.quotes else "")) + " WHERE " + fires_sql(r, group) for r in group.rules
+            head.format(g=quoted(group.name), id=quoted(r.id or group.id) + place, severity=quoted(r.severity), category=quoted(group.category), message=quoted(r.message) + (" || trim(content)" if group.quotes else "")) + " WHERE " + fires_sql(r, group) for r in group.rules
         )
     case = lambda value: "CASE " + " ".join(f"WHEN {fires_sql(r, group)} THEN {quoted(value(r))}" for r in group.rules) + " END"
     any_of = " OR ".join(fires_sql(r, group) for r in group.rules)
-    return head.format(g=quoted(group.name), id=case(lambda r: r.id or group.id), severity=case(lambda r: r.severity), category=quoted(group.category), message=case(lambda r: r.message) + (" || trim(content)" if group.quotes else "")) + f" WHERE {any_of}"
+    return head.format(g=quoted(group.name), id=case(lambda r: r.id or group.id) + place, severity=case(lambda r: r.severity), category=quoted(group.category), message=case(lambda r: r.message) + (" || trim(content)" if group.quotes else "")) + f" WHERE {any_of}"

@@ -1,12 +1,14 @@
-"""Complexity of changed functions: branching, returns, nesting and parameters, by language.
+"""Complexity of changed functions: length, branching, returns, nesting and parameters, by language.
 
-A function region runs from one added header to the next in its hunk; the header itself isn't counted. The length of
-functions isn't judged, for lines of a diff don't tell where a function ends.
+A function region runs from one added header to the next in its hunk; the header itself isn't counted. A function's
+length is known where its hunk shows its end: the closing line at the header's indentation, or for Python the last line
+before one that is indented no deeper.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tessella.functions import lang as langs
 from tessella.functions import paths
@@ -14,7 +16,7 @@ from tessella.operators import lines as L
 from tessella.sources import parsers
 
 # fixed values: thresholds (warning, error), all strict
-CYCLOMATIC, DEPTH, PARAMETERS, RETURNS = (10, 20), (4, 6), (5, 8), 8
+CYCLOMATIC, DEPTH, PARAMETERS, RETURNS, LENGTH = (10, 20), (4, 6), (5, 8), 8, (80, 150)
 _FAMILY = r"^[^(]*?([^\s(]+)\s*\("
 # fixed values: pattern of a function's header whose group is its name
 HEADERS = {
@@ -55,6 +57,20 @@ def parameters(signature: Column) -> Column:
     return F.when(c.contains(")"), F.when(body == "", 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit(","), F.lit(""))) + 1))
 
 
+def function_ends(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``end_line``: the line number where a function that begins on the line ends, null if its hunk doesn't show it."""
+    shown = lines.where("type <> 'removed' and content is not null").withColumn("indent", L.indent_level(F.col("content"))).withColumn("filled", F.trim("content") != "")
+    here = F.struct("pos", "new_num")
+    closes = F.col("content").rlike(r"^\s*(\}|end\b)")
+    level = W.partitionBy("file_id", "hunk_no", "indent").orderBy("pos").rowsBetween(1, W.unboundedFollowing)
+    ahead = L.in_hunk().rowsBetween(1, W.unboundedFollowing)
+    closed = F.min(F.when(closes, here)).over(level)["new_num"]
+    dedent = F.lit(None)
+    for k in (12, 8, 4, 2, 1, 0):  # the widths that Python's blocks are indented by
+        dedent = F.when(F.col("indent") <= k, F.min(F.when(F.col("filled") & (F.col("indent") <= k), here)).over(ahead)["new_num"] - 1).otherwise(dedent)
+    return shown.withColumn("end_line", F.when(F.col("lang") == "python", dedent).otherwise(closed))
+
+
 def issues(lines: DataFrame) -> DataFrame:
     """(file_id, file, line, id, severity, category, message) of ``lines`` (diff_lines); tests and vendored files are left alone."""
     own = L.analyzable(lines).withColumn("lang", langs.language(F.col("file")))
@@ -71,14 +87,25 @@ def issues(lines: DataFrame) -> DataFrame:
     )
     deep = L.clamped_depth(rows.where(F.col("lang").isin(*BRACES))).select("file_id", "file", F.col("new_num").alias("line"), "depth")
     deep = deep.unionByName(rows.where("lang = 'python' and trim(content) <> ''").select("file_id", "file", F.col("new_num").alias("line"), L.indent_depth(F.col("content")).alias("depth")))
-    wide = parsers.symbols(own).where("kind in ('function', 'method')").withColumn("n", parameters(F.col("signature")))
-    function = F.concat(F.lit("Function '"), F.col("name"), F.lit("' has "))
+    symbols = parsers.symbols(own).where("kind in ('function', 'method')").withColumn("n", parameters(F.col("signature")))
+    ends = function_ends(own).where("end_line is not null and type = 'added'").select("file_id", F.col("new_num").alias("line"), (F.col("end_line") - F.col("new_num")).alias("length"))
+    long = symbols.join(ends, ["file_id", "line"])
+    quoted = F.concat(F.lit('Function "'), F.col("name"), F.lit('" '))
 
-    def found(df: DataFrame, rule: str, severity: Column, *text: Column) -> DataFrame:
-        return df.select("file_id", "file", F.col("line").cast("int").alias("line"), F.lit(rule).alias("id"), severity.alias("severity"), F.lit("complexity").alias("category"), F.concat(*text).alias("message")).where("severity is not null")
+    def found(df: DataFrame, rule: str, value: Column, bounds: tuple[int, int] | int, before: Column, what: str, further: str) -> DataFrame:
+        """Issues of rows whose ``value`` passes a bound; the text names the value and the bound that it passes."""
+        number = value.cast("string")
+        one = bounds if isinstance(bounds, int) else bounds[0]
+        told = lambda tail: F.concat(before, F.lit(what.split("#")[0]), number, F.lit(what.split("#")[1]), F.lit(tail))
+        soft = told(f" (consider {further} at {one}+)")
+        severity = F.when(value > one, "warning") if isinstance(bounds, int) else level(value, bounds)
+        message = soft if isinstance(bounds, int) else F.when(value > bounds[1], told(f" (max recommended: {bounds[1]})")).otherwise(soft)
+        ident = F.concat(F.lit(f"complexity-{rule}-"), F.col("file"), F.lit("-"), F.col("line").cast("string"))
+        return df.select("file_id", "file", F.col("line").cast("int").alias("line"), ident.alias("id"), severity.alias("severity"), F.lit("complexity").alias("category"), message.alias("message")).where("severity is not null")
 
-    n = F.col("n").cast("string")
-    out = found(f, "complexity/cyclomatic", level(F.col("n"), CYCLOMATIC), function, F.lit("cyclomatic complexity "), n)
-    out = out.unionByName(found(f, "complexity/returns", F.when(F.col("returns") > RETURNS, "warning"), function, F.col("returns").cast("string"), F.lit(" return statements")))
-    out = out.unionByName(found(deep, "complexity/nesting", level(F.col("depth"), DEPTH), F.lit("Code is nested "), F.col("depth").cast("string"), F.lit(" levels deep")))
-    return out.unionByName(found(wide, "complexity/params", level(F.col("n"), PARAMETERS), function, n, F.lit(" parameters")))
+    none, n = F.lit(""), F.col("n")
+    out = found(f, "cyclomatic", n, CYCLOMATIC, quoted, "has cyclomatic complexity #", "simplifying")
+    out = out.unionByName(found(f, "returns", F.col("returns"), RETURNS, quoted, "has # return statements", "reducing"))
+    out = out.unionByName(found(deep, "nesting", F.col("depth"), DEPTH, none, "Code is nested # levels deep", "flattening"))
+    out = out.unionByName(found(long, "func-length", F.col("length"), LENGTH, quoted, "is # lines long", "splitting"))
+    return out.unionByName(found(symbols, "params", n, PARAMETERS, quoted, "has # parameters", "reducing"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from tessella.operators.guards import Guarded
 
 GO, TS, PY, RS, RB, CS, PHP, SW, KT = (".go",), (".ts", ".tsx", ".js", ".jsx", ".mjs"), (".py",), (".rs",), (".rb", ".rake"), (".cs",), (".php",), (".swift",), (".kt", ".kts")
+SLASH, HASH, DASHES = r"^\s*//", r"^\s*#", r"^\s*--"
 JAVA, C, SCALA, EX, DART = (".java",), (".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hxx"), (".scala",), (".ex", ".exs"), (".dart",)
 
 
@@ -15,6 +16,7 @@ def _res(lang: str, name: str, exts: tuple, when: str, message: str, guard: str,
 RESOURCE = (
     _res("go", "unclosed-file", GO, r"\b(os\.Open|os\.Create|os\.OpenFile)\s*\(", "File opened without defer Close() in nearby lines", r"\bdefer\b", 5, "unclosed-file"),
     _res("go", "unclosed-body", GO, r"\b(http\.Get|http\.Post|http\.Head|http\.PostForm|client\.Do|client\.Get|client\.Post|client\.Head)\s*\(", "HTTP response body not closed; this leaks connections", r"\.Body\.Close\(\)", 5, "unclosed-body"),
+    _res("go", "unclosed-rows", GO, r"\b(\.Query|\.QueryContext|\.QueryRow|\.QueryRowContext)\s*\(", "Database rows not closed; this leaks database connections", r"defer\b.*\.(Close|Scan)\(\)|\.Close\(\)", 5, "unclosed-rows", unless=r"QueryRow"),
     _res("go", "unclosed-listener", GO, r"\b(net\.Listen|tls\.Listen|net\.ListenPacket)\s*\(", "Network listener opened without defer Close()", r"\bdefer\b", 5, "missing-defer"),
     _res("go", "unclosed-grpc", GO, r"\b(grpc\.Dial|grpc\.DialContext|grpc\.NewClient)\s*\(", "gRPC connection opened without defer Close()", r"\bdefer\b", 5, "missing-defer"),
     _res("go", "unclosed-db", GO, r"\b(sql\.Open|sqlx\.Open|sqlx\.Connect)\s*\(", "Database connection opened without defer Close()", r"\bdefer\b", 5, "missing-defer"),
@@ -33,6 +35,7 @@ RESOURCE = (
     _res("", "c-unclosed-file", C, r"\bfopen\s*\(", "fopen() without fclose() in same scope", r"\bfclose\s*\(", 10, "unclosed-file"),
     _res("", "c-malloc-no-free", C, r"\b(malloc|calloc|realloc)\s*\(", "Memory allocated with malloc/calloc without visible free() in nearby code", r"\bfree\s*\(|\breturn\b", 10, "malloc-no-free"),
     _res("", "c-unclosed-socket", C, r"\bsocket\s*\(", "socket() opened without close()/closesocket() in same scope", r"\b(close|closesocket)\s*\(", 10, "unclosed-socket"),
+    Guarded("resource/cpp-new-no-delete", (".cpp", ".cc", ".hpp"), r"\bnew\s+\w+", "Raw 'new' without delete or smart pointer", r"\bdelete\b|\b(unique_ptr|shared_ptr|make_unique|make_shared)\b", hunk=True, category="resource-c", fix_id="malloc-no-free"),
     _res("csharp", "missing-using", CS, r"new\s+(FileStream|StreamReader|StreamWriter|SqlConnection|HttpClient|TcpClient|NetworkStream|BinaryReader|BinaryWriter|MemoryStream)\s*\(", "Disposable resource created without 'using' statement or Dispose()", r"\.Dispose\s*\(", 8, "missing-using", unless=r"\busing\s*[\(\s]|\bawait\s+using\b"),
     _res("ruby", "no-block-form", RB, r"\bFile\.open\s*\(", "File.open() without block form (file handle may leak)", r"\.close|do\s*\|", 2, "no-block-form", unless=r"File\.open\s*\([^)]*\)\s*(do\s*\||\{)"),
     Guarded("resource/php-unclosed-handle", PHP, r"\bfopen\s*\(", "fopen() without fclose() in nearby code", r"\bfclose\s*\(", hunk=True, category="resource-php", fix_id="unclosed-handle"),
@@ -53,9 +56,12 @@ CONCURRENCY = (
     _con("go", "missing-lock", GO, r"\w+\s*\[[^\]]+\]\s*=", "Map/slice write in scope with goroutine but no visible mutex — potential data race", r"\.\s*(Lock|RLock|Unlock|RUnlock)\s*\(|sync\.(Mutex|RWMutex)", hunk=True, requires=r"\bgo\s+func\s*\("),
     _con("ts", "unhandled-concurrent", TS, r"Promise\.(all|allSettled)\s*\(\s*\[", "Promise.all/allSettled without error handling — if any promise rejects, the error is unhandled", r"\.catch\s*\(|\btry\s*\{", -15, 5),
     _con("ts", "missing-cleanup", TS, r"\bsetInterval\s*\(", "setInterval() without clearInterval() — timer will run indefinitely and may cause memory leaks", r"\bclearInterval\s*\(", hunk=True),
-    _con("ts", "missing-cleanup-timeout", TS, r"\bsetTimeout\s*\(", "setTimeout() without clearTimeout() — may fire after component unmount causing state updates on unmounted components", r"\bclearTimeout\s*\(", hunk=True, severity="info"),
+    _con("ts", "missing-cleanup", TS, r"\bsetTimeout\s*\(", "setTimeout() without clearTimeout() — may fire after component unmount causing state updates on unmounted components", r"\bclearTimeout\s*\(", hunk=True, severity="info"),
     _con("python", "missing-join", PY, r"\.start\s*\(\s*\)", "Thread started without .join() — thread may outlive the calling scope", r"\.join\s*\(", hunk=True, requires=r"\bThread\s*\("),
     _con("python", "thread-unsafe-global", PY, r"^[a-zA-Z_]\w*\s*=", "Global variable modified in threaded context without threading.Lock", r"\b(threading\.Lock|Lock)\s*\(", hunk=True, requires=r"target\s*="),
+    _con("python", "async-blocking", PY, r"\btime\.sleep\s*\(", "time.sleep() inside async function blocks the event loop", scope=(r"\basync\s+def\b", r"^\s*def ")),
+    _con("python", "async-blocking", PY, r"\brequests\.(get|post|put|delete|patch|head)\s*\(", "Blocking HTTP call (requests) inside async function blocks the event loop", scope=(r"\basync\s+def\b", r"^\s*def ")),
+    _con("ts", "race-condition", TS, r"\bsetState\s*\(", "Multiple setState calls in async function — may cause race conditions or intermediate renders", needs=((r"\basync\s+", -30, -1, False), (r"\bsetState\s*\(", 1, 10, True))),
     _con("rust", "unsafe-send", RS, r"\bunsafe\s+impl\s+(Send|Sync)\b", "unsafe impl Send/Sync bypasses Rust's thread safety guarantees — extremely dangerous", severity="error"),
     _con("rust", "arc-without-mutex", RS, r"\bArc::new\s*\(", "Arc::new() without Mutex/RwLock — shared ownership without interior mutability protection", r"\b(Mutex|RwLock)::new\s*\(", 0, 2),
     _con("java", "unsynchronized-collection", JAVA, r"\bnew\s+(HashMap|ArrayList|HashSet|LinkedList|TreeMap)\s*[<(]", "Collection is not thread-safe — concurrent access will cause data corruption", r"\bsynchronized\b|\bCollections\.synchronized|\bnew\s+ConcurrentHashMap\s*[<(]", hunk=True, requires=r"\bnew\s+Thread\s*\(|\.(submit|execute)\s*\("),
@@ -79,8 +85,10 @@ def _err(lang: str, name: str, exts: tuple, when: str, message: str, guard: str
 # fixed values: errors that are dropped
 ERRORS = (
     _err("go", "go-discarded-error", GO, r"_\s*=\s*\w+[\w.]*\(|_\s*,\s*_\s*=\s*\w+[\w.]*\(", "Discarded error return value"),
+    _err("ts", "ts-unhandled-promise", TS, r"\.then\s*\(", "Promise chain with .then() but no .catch() handler", unless=r"\.catch\s*\(", chain=(r"\.catch\s*\(", r"^\s*[^\s.)]", 5)),
     _err("ts", "ts-unhandled-await", TS, r"\bawait\s+", "await expression without try-catch block", r"try.*\{|^\s*try\s*$", -20, -1),
     _err("python", "python-bare-except", PY, r"^\s*except\s*:", "Bare except clause catches all exceptions including KeyboardInterrupt and SystemExit"),
+    _err("python", "python-except-pass", PY, r"^\s*except\s+(Exception|BaseException)\s*(as\s+\w+)?\s*:", "Broad exception caught and silently ignored with pass", needs=((r"^\s*pass\s*$", 1, 1, True),)),
     _err("java", "java-empty-catch", JAVA, r"catch\s*\([^)]+\)\s*\{\s*\}", "Empty catch block silently swallows exception"),
     _err("java", "java-broad-catch", JAVA, r"catch\s*\(\s*Exception\s+\w+\s*\)", "Catching overly broad Exception type", severity="info"),
     _err("java", "java-broad-throws", JAVA, r"throws\s+Exception\b", "Method declares overly broad 'throws Exception'", severity="info"),
@@ -91,5 +99,30 @@ ERRORS = (
     _err("", "empty-catch", DART, r"\bcatch\s*\([^)]*\)\s*\{\s*\}", "Empty catch block swallows errors silently"),
     _err("", "broad-catch", DART, r"\bon\s+Exception\s+catch", "Catching broad 'Exception' type hides specific errors"),
     _err("", "bare-rescue", EX, r"\brescue\s*$|\brescue\s+_\s*->", "Bare rescue hides specific errors"),
+    _err("", "empty-catch", SCALA, r"\bcatch\s*\{\s*\}", "Empty catch block swallows exceptions", marks=SLASH),
+    _err("", "catch-all", SCALA, r"case\s+_\s*:\s*Throwable\s*=>|case\s+_\s*=>", "Catching all exceptions with wildcard pattern", scope=(r"catch[^}]*\{[^}]*$", r"\}"), marks=SLASH),
+    _err("", "catch-unreachable", (".zig",), r"\bcatch\s+unreachable\b", "catch unreachable will crash if the error actually occurs", marks=SLASH),
+    _err("", "panic", (".zig",), r"@panic\s*\(", "@panic() will crash the program — use error returns instead", marks=SLASH),
+    _err("", "bare-except", (".nim",), r"\bexcept\s*:", "Bare except: catches all exceptions including system exceptions", marks=HASH),
+    _err("", "empty-rescue", (".cr",), r"rescue\s*$", "Empty rescue block catches all exceptions silently", marks=HASH),
+    _err("", "broad-rescue", (".cr",), r"rescue\s+Exception\b", "Rescuing Exception is too broad — catches system exceptions too", marks=HASH),
+    _err("", "or-panic", (".v",), r"or\s*\{\s*panic\s*\(", "or { panic(err) } crashes on error instead of handling it", marks=SLASH),
+    _err("", "empty-or-block", (".v",), r"or\s*\{\s*\}", "Empty or {} block silently swallows errors", marks=SLASH),
+    _err("", "empty-catch", (".d",), r"\bcatch\s*\([^)]*\)\s*\{\s*\}", "Empty catch block swallows exceptions silently", marks=r"^\s*(//|/\*|/\+)"),
+    _err("", "haskell-fromjust", (".hs", ".lhs"), r"\bfromJust\b", "fromJust crashes on Nothing", marks=DASHES),
+    _err("", "haskell-error", (".hs", ".lhs"), r"\berror\s+\"", "error throws an exception that terminates the program", marks=DASHES),
+    _err("", "haskell-undefined", (".hs", ".lhs"), r"\bundefined\b", "undefined will crash at runtime", marks=DASHES, severity="error"),
+    _err("", "clojure-catch-all", (".clj", ".cljs", ".cljc"), r"\(catch\s+Exception\s", "Catching broad Exception type hides specific errors", marks=r"^\s*;"),
+    _err("", "erlang-catch-all", (".erl", ".hrl"), r"catch\s+_\s*->", "Catch-all clause swallows all errors", marks=r"^\s*%"),
+    _err("", "fsharp-failwith", (".fs", ".fsx"), r"\bfailwith\b", "failwith throws an exception", marks=SLASH),
+    _err("", "ocaml-catch-all", (".ml", ".mli"), r"with\s+_\s*->", "Wildcard exception handler catches all exceptions", marks=r"^\s*\(\*"),
+    _err("", "perl-die-no-message", (".pl", ".pm"), r"\bdie\s*;", "die without message provides no diagnostic info", marks=HASH),
+    _err("", "powershell-silently-continue", (".ps1", ".psm1"), r"(?i)-ErrorAction\s+SilentlyContinue", "SilentlyContinue suppresses errors", marks=HASH),
+    _err("", "groovy-catch-all", (".groovy", ".gvy"), r"catch\s*\(\s*Exception\s", "Catching broad Exception type hides specific errors", marks=SLASH),
+    _err("", "julia-catch-all", (".jl",), r"\bcatch\s+\w+\s*$", "Broad catch clause may hide errors", marks=HASH),
+    _err("", "solidity-require-no-message", (".sol",), r"\brequire\s*\([^,)]+\)\s*;", "require() without error message provides poor debugging", marks=SLASH, severity="info"),
+    _err("", "vb-empty-catch", (".vb", ".vbs"), r"(?i)^\s*Catch\b", "Catch without exception type catches all exceptions", unless=r"(?i) as | when ", marks=r"^\s*'"),
+    _err("", "ada-when-others", (".adb", ".ads"), r"(?i)\bwhen\s+others\s*=>", "'when others' catches all exceptions", marks=DASHES, severity="info"),
+    _err("", "pascal-bare-except", (".pas", ".pp"), r"(?i)^\s*except\s*$", "Bare 'except' catches all exceptions", marks=r"^\s*(//|\{)"),
 )
 ALL = (*RESOURCE, *CONCURRENCY, *ERRORS)

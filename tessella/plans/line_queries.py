@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.lineage import spread
 from tessella.operators import lines as L
 from tessella.operators import rules as R
 from tessella.plans import packs
@@ -40,7 +41,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.diff_lines(table(spark, sf_dir, "file_diffs"))
+    return L.diff_lines(spread(table(spark, sf_dir, "file_diffs")))
 
 
 _ISSUES = "\nUNION ALL\n".join(R.group_sql(g) for g in packs.ALL)

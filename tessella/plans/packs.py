@@ -75,29 +75,51 @@ HARDCODED_IP = Group(
     rules=(Rule(rf"[\"']{_OCTET}(?:\.{_OCTET}){{3}}[\"']", "Hardcoded IP address", severity="info"),),
 )
 
-# fixed values: migrations; several checks may fire on a line
-SQL_MIGRATION = Group(
-    "sql-migration", "migration", extensions=(".sql",), comments=True, every=True,
-    rules=tuple(
-        Rule(p, m, id="migration/" + i, severity=s, fix_id="migration-" + i)
-        for i, p, s, m in (
-            ("drop-table", r"(?i)\bDROP\s+TABLE\b", "error", "DROP TABLE causes irreversible data loss"),
-            ("drop-database", r"(?i)\bDROP\s+DATABASE\b", "error", "DROP DATABASE is catastrophic and irreversible"),
-            ("truncate-table", r"(?i)\bTRUNCATE\s+TABLE\b", "error", "TRUNCATE TABLE causes irreversible data loss"),
-            ("drop-column", r"(?i)\bALTER\s+TABLE\b.*\bDROP\s+COLUMN\b", "error", "DROP COLUMN causes irreversible data loss"),
-            ("drop-index", r"(?i)\bDROP\s+INDEX\b", "info", "DROP INDEX may cause performance degradation"),
-            ("rename-column", r"(?i)\bALTER\s+TABLE\b.*\bRENAME\s+COLUMN\b", "warning", "Renaming a column breaks dependent application code"),
-            ("change-type", r"(?i)\bALTER\s+TABLE\b.*\bALTER\s+COLUMN\b.*\bTYPE\b", "warning", "Changing column type may cause data truncation or conversion errors"),
-            ("change-type-modify", r"(?i)\bALTER\s+TABLE\b.*\bMODIFY\s+COLUMN\b", "warning", "MODIFY COLUMN may cause data truncation or conversion errors"),
-            ("drop-not-null", r"(?i)\bALTER\s+TABLE\b.*\bDROP\s+NOT\s+NULL\b", "warning", "Removing NOT NULL constraint weakens data integrity"),
-            ("set-null", r"(?i)\bALTER\s+TABLE\b.*\bSET\s+NULL\b", "warning", "SET NULL weakens data integrity by allowing NULL values"),
-            ("add-not-null", r"(?i)\bALTER\s+TABLE\b.*\bSET\s+NOT\s+NULL\b", "warning", "Adding NOT NULL constraint fails if existing rows contain NULL values"),
-            ("drop-constraint", r"(?i)\bALTER\s+TABLE\b.*\bDROP\s+CONSTRAINT\b", "warning", "Dropping a constraint weakens data integrity"),
-            ("drop-foreign-key", r"(?i)\bALTER\s+TABLE\b.*\bDROP\s+FOREIGN\s+KEY\b", "warning", "Dropping a foreign key removes referential integrity"),
-            ("add-column-not-null", r"(?i)\bADD\s+COLUMN\b.*\bNOT\s+NULL\b", "info", "Adding a NOT NULL column rewrites or locks large tables"),
-        )
-    ),
-)
+# fixed values: paths of migration files
+MIGRATION_FILES = r"(?i)\.(up|down)\.sql$|migration.*\.sql$|migrations/|migrate/|db/migrate/|alembic/versions/|prisma/migrations/|flyway/|liquibase/|knex/migrations/"
+
+
+def _migration(name: str, extensions: tuple[str, ...], rows: tuple) -> Group:
+    """Rows: check, pattern, severity, message; several checks may fire on a line, and comments count."""
+    return Group(
+        f"{name}-migration", "migration", extensions=extensions, comments=True, every=True, only=MIGRATION_FILES, located=True,
+        rules=tuple(Rule(p, m, id="migration-" + i, severity=s, fix_id="migration-" + i) for i, p, s, m in rows),
+    )
+
+
+# fixed values: migrations by framework; an issue's full id goes on with its file and line (``issue_key``)
+SQL_MIGRATION = _migration("sql", (".sql",), (
+    ("drop-table", r"(?i)\bDROP\s+TABLE\b", "error", "DROP TABLE causes irreversible data loss"),
+    ("drop-database", r"(?i)\bDROP\s+DATABASE\b", "error", "DROP DATABASE is catastrophic and irreversible"),
+    ("truncate-table", r"(?i)\bTRUNCATE\s+TABLE\b", "error", "TRUNCATE TABLE causes irreversible data loss"),
+    ("drop-column", r"(?i)\bALTER\s+TABLE\b.*\bDROP\s+COLUMN\b", "error", "DROP COLUMN causes irreversible data loss"),
+    ("drop-index", r"(?i)\bDROP\s+INDEX\b", "info", "DROP INDEX may cause performance degradation"),
+    ("rename-column", r"(?i)\bALTER\s+TABLE\b.*\bRENAME\s+COLUMN\b", "warning", "Renaming a column breaks dependent application code"),
+    ("change-type", r"(?i)\bALTER\s+TABLE\b.*\bALTER\s+COLUMN\b.*\bTYPE\b", "warning", "Changing column type may cause data truncation or conversion errors"),
+    ("change-type-modify", r"(?i)\bALTER\s+TABLE\b.*\bMODIFY\s+COLUMN\b", "warning", "MODIFY COLUMN may cause data truncation or conversion errors"),
+    ("drop-not-null", r"(?i)\bALTER\s+TABLE\b.*\bDROP\s+NOT\s+NULL\b", "warning", "Removing NOT NULL constraint weakens data integrity"),
+    ("set-null", r"(?i)\bALTER\s+TABLE\b.*\bSET\s+NULL\b", "warning", "SET NULL weakens data integrity by allowing NULL values"),
+    ("add-not-null", r"(?i)\bALTER\s+TABLE\b.*\bSET\s+NOT\s+NULL\b", "warning", "Adding NOT NULL constraint fails if existing rows contain NULL values"),
+    ("drop-constraint", r"(?i)\bALTER\s+TABLE\b.*\bDROP\s+CONSTRAINT\b", "warning", "Dropping a constraint weakens data integrity"),
+    ("drop-foreign-key", r"(?i)\bALTER\s+TABLE\b.*\bDROP\s+FOREIGN\s+KEY\b", "warning", "Dropping a foreign key removes referential integrity"),
+))
+RAILS_MIGRATION = _migration("rails", (".rb",), (
+    ("remove-column", r"\bremove_column\b", "error", "remove_column causes irreversible data loss"),
+    ("drop-table", r"\bdrop_table\b", "error", "drop_table causes irreversible data loss"),
+    ("rename-column", r"\brename_column\b", "warning", "rename_column breaks dependent application code"),
+    ("change-column", r"\bchange_column\b", "warning", "change_column may cause data truncation or conversion errors"),
+))
+ALEMBIC_MIGRATION = _migration("alembic", (".py",), (
+    ("drop-column", r"\bop\.drop_column\s*\(", "error", "op.drop_column causes irreversible data loss"),
+    ("drop-table", r"\bop\.drop_table\s*\(", "error", "op.drop_table causes irreversible data loss"),
+    ("alter-column-type", r"\bop\.alter_column\s*\(.*type_=", "warning", "op.alter_column with type change may cause data truncation"),
+))
+KNEX_MIGRATION = _migration("knex", (".js", ".ts"), (
+    ("drop-table", r"\.dropTable\s*\(", "error", "dropTable causes irreversible data loss"),
+    ("drop-column", r"\.dropColumn\s*\(", "error", "dropColumn causes irreversible data loss"),
+    ("rename-column", r"\.renameColumn\s*\(", "warning", "renameColumn breaks dependent application code"),
+))
+MIGRATIONS = (SQL_MIGRATION, RAILS_MIGRATION, ALEMBIC_MIGRATION, KNEX_MIGRATION)
 
 # fixed values: leftovers of debugging, in this order, with the fix that removes each
 CONSOLE = Group(
@@ -118,33 +140,46 @@ CONSOLE = Group(
         )
     ),
 )
-PLACEHOLDER = Group(
-    "placeholder", "patterns", id="patterns/todo-placeholder", comments=True,
-    rules=(
-        Rule(r"\bFIXME\b", "FIXME left in added code", severity="warning"), Rule(r"\bTODO\b", "TODO left in added code", severity="info"), Rule(r"\b(HACK|XXX)\b", "Marker of unfinished work", severity="info"),
-        Rule(r"(?i)\bnot\s+(yet\s+)?implemented\b", "Placeholder implementation", severity="warning"),
-    ),
-)
-EMPTY_CATCH = Group(
-    "swallowed-error", "errorhandling", id="errorhandling/swallowed",
-    rules=(
-        Rule(r"\bcatch\s*(\([^)]*\))?\s*\{\s*\}", "Empty catch block swallows errors", severity="warning"), Rule(r"^\s*except(\s+\w+)?\s*:\s*pass\b", "Exception silently ignored", severity="warning"),
-        Rule(r"^\s*except\s*:", "Bare except catches everything", severity="warning"), Rule(r"\b_\s*=\s*err\b", "Error assigned to blank identifier", severity="warning"), Rule(r"\.unwrap\(\)", "unwrap() panics on error", severity="info", unless=(r"(?i)test",)),
-    ),
-)
-
 SECURITY = (SQL_INJECTION, XSS, PATH_TRAVERSAL, SECRETS, CRYPTO, RANDOM_JS, HARDCODED_IP)
-ALL = (*SECURITY, SQL_MIGRATION, CONSOLE, PLACEHOLDER, EMPTY_CATCH)
+ALL = (*SECURITY, *MIGRATIONS, CONSOLE)
 
 # fixed values: which weakness an issue id stands for, and the weaknesses of each compliance pack
 ISSUE_CWE = {
-    "security-sql-injection": "CWE-89", "security-xss": "CWE-79", "security-path-traversal": "CWE-22", "security-hardcoded-credentials": "CWE-798", "security-hardcoded-secret": "CWE-798", "security-weak-crypto": "CWE-327", "security-insecure-crypto": "CWE-327",
-    "security-command-injection": "CWE-78", "security-code-injection": "CWE-94", "security-xxe": "CWE-611", "security-deserialization": "CWE-502", "security-ssrf": "CWE-918", "security-open-redirect": "CWE-601", "security-weak-random": "CWE-330",
-    "security-insecure-tls": "CWE-295", "security-sensitive-log": "CWE-532", "security-eval": "CWE-95", "security-prototype-pollution": "CWE-1321", "security-regex-dos": "CWE-1333", "security-unsafe-reflection": "CWE-470",
-    "concurrency-race": "CWE-362", "concurrency-deadlock": "CWE-833", "resource-leak": "CWE-404", "resource-unclosed": "CWE-404", "error-handling-unchecked": "CWE-252", "error-handling-swallowed": "CWE-390", "errorhandling-swallowed": "CWE-390",
-    "import-nonexistent": "CWE-829", "complexity-high": "CWE-1121", "hallucination-nonexistent-api": "CWE-476",
-}
+    "security-sql-injection": "CWE-89",
+    "security-xss": "CWE-79",
+    "security-path-traversal": "CWE-22",
+    "security-hardcoded-credentials": "CWE-798",
+    "security-weak-crypto": "CWE-327",
+    "security-command-injection": "CWE-78",
+    "security-code-injection": "CWE-94",
+    "security-xxe": "CWE-611",
+    "security-deserialization": "CWE-502",
+    "security-ssrf": "CWE-918",
+    "security-open-redirect": "CWE-601",
+    "security-weak-random": "CWE-330",
+    "security-insecure-tls": "CWE-295",
+    "security-sensitive-log": "CWE-532",
+    "security-eval": "CWE-95",
+    "security-prototype-pollution": "CWE-1321",
+    "security-regex-dos": "CWE-1333",
+    "security-unsafe-reflection": "CWE-470",
+    "concurrency-race": "CWE-362",
+    "concurrency-deadlock": "CWE-833",
+    "resource-leak": "CWE-404",
+    "resource-unclosed": "CWE-404",
+    "error-handling-unchecked": "CWE-252",
+    "error-handling-swallowed": "CWE-390",
+    "import-nonexistent": "CWE-829",
+    "complexity-high": "CWE-1121",
+    "hallucination-nonexistent-api": "CWE-476",
+}
 COMPLIANCE_PACKS = {
-    "cwe-top-25": "CWE-787 CWE-79 CWE-89 CWE-416 CWE-78 CWE-20 CWE-125 CWE-22 CWE-352 CWE-434 CWE-862 CWE-476 CWE-287 CWE-190 CWE-502 CWE-77 CWE-119 CWE-798 CWE-918 CWE-306 CWE-362 CWE-269 CWE-94 CWE-863 CWE-276",
-    "owasp-top-10": "CWE-22 CWE-79 CWE-89 CWE-78 CWE-94 CWE-327 CWE-330 CWE-295 CWE-611 CWE-502 CWE-798 CWE-532 CWE-918 CWE-601",
+    "owasp-top-10-2021": [
+        "CWE-79", "CWE-89", "CWE-22", "CWE-78", "CWE-94", "CWE-611", "CWE-502", "CWE-918", "CWE-601", "CWE-798", "CWE-327", "CWE-295", "CWE-330", "CWE-862", "CWE-863",
+    ],
+    "cwe-top-25-2023": [
+        "CWE-79", "CWE-89", "CWE-22", "CWE-78", "CWE-787", "CWE-416", "CWE-476", "CWE-20", "CWE-125", "CWE-190", "CWE-502", "CWE-798", "CWE-862", "CWE-863", "CWE-306",
+        "CWE-434", "CWE-611", "CWE-918", "CWE-77", "CWE-362", "CWE-269", "CWE-94", "CWE-119", "CWE-276", "CWE-732",
+    ],
 }
+PACK_NAMES = {"owasp-top-10-2021": "OWASP Top 10 (2021)", "cwe-top-25-2023": "CWE Top 25 (2023)"}

@@ -9,14 +9,18 @@ def _group(name: str, extensions: str, rows: tuple, quotes: bool = False, every:
     return Group(f"{name}-patterns", "patterns", extensions=tuple(extensions.split()), quotes=quotes, every=every, rules=tuple(Rule(p, m, id="patterns/" + i, severity=s, fix_id=f, unless=tuple(x)) for p, i, s, m, f, *x in rows))
 
 
-# fixed values: placeholders of all languages; comments count
-_TODO = "Placeholder left in the code"
+# fixed values: paths whose files aren't source, and placeholders of all languages; comments count, and the message ends with the line
+NOT_SOURCE = r"(?i)\.(md|markdown|txt|rst|yaml|yml|json|toml|xml|html|css|scss|less|svg|csv|lock|sum|mod|cfg|ini|env)$"
 PLACEHOLDER = Group(
-    "placeholder", "patterns", id="patterns/todo-placeholder", comments=True,
-    rules=tuple(Rule(p, _TODO, severity="warning") for p in (
+    "placeholder", "patterns", id="patterns/todo-placeholder", comments=True, quotes=True, skip=NOT_SOURCE,
+    rules=tuple(Rule(p, "TODO or placeholder left in code: ", severity="warning", suggestion="Implement the functionality or remove the placeholder before committing") for p in (
         r"(?i)//\s*TODO\b", r"(?i)#\s*TODO\b", r"(?i)raise\s+NotImplementedError", r"(?i)throw\s+new\s+Error\(\s*['\"]not\s+implemented", r"panic\(\s*\"not implemented\"", r"\btodo!\(", r"\bunimplemented!\(",
     )),
 )
+PYTHON_PASS = Group(
+    "python-pass", "patterns", id="patterns/todo-placeholder", extensions=(".py",), comments=True,
+    rules=(Rule(r"^\s*pass\s*$", "Standalone 'pass' statement may be a placeholder", severity="warning"),),
+)
 CREDENTIAL = Group(
     "credential", "patterns", id="patterns/hardcoded-credential",
     unless=(r"(?i)password\s*=\s*\"\"\s*$", r"(?i)secret\s*=\s*\"\"\s*$", r"(?i)os\.Getenv\(.*password", r"(?i)os\.Getenv\(.*secret", r"(?i)password\s*=\s*\"\$\{", r"(?i)secret\s*=\s*\"\$\{", r"(?i)password\s*=\s*\"<[^>]*>\"", r"(?i)secret\s*=\s*\"<[^>]*>\"", r"(?i)(password|secret)\s*=\s*\"(test|example|dummy)\""),
@@ -38,7 +42,7 @@ CSHARP = _group("csharp", ".cs", (
 ), quotes=True, every=False)
 CSHARP = Group(**(CSHARP.__dict__ | {"comments": True}))
 PHP = _group("php", ".php", ((r"\berror_reporting\s*\(\s*0\s*\)", "php-error-suppression", "warning", "Error reporting disabled with error_reporting(0): ", ""), (r"@\$", "php-error-suppression", "warning", "Error suppression operator (@) hides errors: ", "")), quotes=True, every=False)
-SWIFT = _group("swift", ".swift", ((r"\bfatalError\(", "swift-fatal-error", "warning", "fatalError() will crash the application at runtime: ", ""),), quotes=True, every=False)
+SWIFT = _group("swift", ".swift", ((r"\bfatalError\(", "swift-fatal-error", "warning", "fatalError() will crash the application at runtime: ", ""), (r"#if\s+DEBUG", "swift-debug-block", "warning", "#if DEBUG block may contain code not intended for production: ", "")), quotes=True, every=False)
 C = _group("c", ".c .h .cpp .cc .cxx .hpp .hxx", ((r"\bgoto\s+", "c-goto", "warning", "goto statement detected — reduces code readability and maintainability: ", ""),), quotes=True)
 ZIG = _group("zig", ".zig", (
     (r"\bcatch\s+unreachable\b", "zig-catch-unreachable", "warning", "catch unreachable will panic on error — handle errors explicitly", ""), (r"_\s*=.*catch\b", "zig-ignored-error", "warning", "Error union result assigned to _ — error silently ignored", ""), (r"std\.debug\.print\b", "zig-debug-print", "warning", "std.debug.print left in code — likely a debugging artifact", "zig-debug-print"),
@@ -50,6 +54,10 @@ CRYSTAL = _group("crystal", ".cr", (
 VLANG = _group("vlang", ".v", (
     (r"\bunsafe\s*\{", "vlang-unsafe", "warning", "unsafe block bypasses V's safety guarantees", ""), (r"or\s*\{\s*panic\s*\(", "vlang-or-panic", "warning", "or { panic(err) } pattern crashes on error instead of handling it", ""), (r"\[manualfree\]", "vlang-manualfree", "warning", "[manualfree] attribute disables automatic memory management", ""),
 ))
+DLANG = _group("dlang", ".d", (
+    (r"\bgoto\s+\w+", "dlang-goto", "warning", "goto statement makes control flow harder to follow", ""), (r"\bdelete\s+", "dlang-delete", "warning", "delete is deprecated in D — use destroy() or let the GC handle it", ""),
+    (r"GC\.disable\b", "dlang-gc-disable", "warning", "GC.disable() disables garbage collection — potential for memory leaks", ""),
+))
 FUNCTIONAL = (
     _group("haskell", ".hs .lhs", ((r"\b(head|tail)\s", "haskell-partial-function", "warning", "head/tail are partial functions", ""), (r"\bDebug\.Trace\b|trace\s", "haskell-debug-trace", "warning", "Debug.Trace left in code", "haskell-debug-trace"), (r"\bString\b", "haskell-string-type", "info", "Using String type", ""))),
     _group("clojure", ".clj .cljs .cljc", ((r"^\s+\(def\s", "clojure-nested-def", "warning", "def inside function creates mutable global state", ""), (r"Thread/sleep", "clojure-thread-sleep", "warning", "Thread/sleep blocks the current thread", ""))),
@@ -64,12 +72,12 @@ SCRIPTING = (
 )
 DOMAIN = (
     _group("julia", ".jl", ((r"\bglobal\s+\w+", "julia-global-var", "warning", "Global variable reduces performance", ""),)), _group("fortran", ".f90 .f95 .f .for", ((r"(?i)\bgoto\b", "fortran-goto", "warning", "GOTO makes control flow hard to follow", ""),)),
-    _group("solidity", ".sol", ((r"\.call\s*[\({]", "solidity-unchecked-call", "warning", "Low-level .call() without checking return value", "", r"\(\s*bool\s+\w+\s*,"), (r"(?:=|return|==|!=|>=|<=|>|<)\s*\d{2,}", "solidity-magic-number", "info", "Magic number without named constant", ""))),
+    _group("solidity", ".sol", ((r"\.call\s*[\({]", "solidity-unchecked-call", "warning", "Low-level .call() without checking return value", "", r"\(\s*bool\s+\w+\s*,"), (r"(?:=|return|==|!=|>=|<=|>|<)\s*\d{2,}", "solidity-magic-number", "info", "Magic number without named constant", "", r"constant|immutable"), (r"^\s*function\s+\w+", "solidity-missing-event", "info", "State-changing function without event emission", "", r"view|pure|\bemit\s+\w+"))),
     _group("terraform", ".tf", ((r"ami\s*=\s*\"ami-[a-f0-9]+\"", "terraform-hardcoded-ami", "info", "Hardcoded AMI ID may be region-specific", ""),)),
     _group("protobuf", ".proto", ((r"\[deprecated\s*=\s*true\]", "protobuf-deprecated-field", "info", "Field marked as deprecated", ""), (r"^\s*repeated\s+.*=\s*(?:1[6-9]|[2-9]\d|\d{3,})\s*;", "protobuf-high-field-number", "info", "Repeated field with number > 15 uses less efficient encoding", ""))),
     _group("vb", ".vb .vbs", ((r"(?i)\bOn\s+Error\s+Resume\s+Next\b", "vb-on-error-resume-next", "warning", "On Error Resume Next silently ignores all errors", ""),)), _group("cobol", ".cob .cbl", ((r"(?i)\bGO\s*TO\b", "cobol-goto", "warning", "GO TO makes control flow hard to follow", ""),)),
     _group("ada", ".adb .ads", ((r"(?i)\bgoto\b", "ada-goto", "warning", "goto makes control flow hard to follow", ""),)), _group("pascal", ".pas .pp", ((r"(?i)\bgoto\b", "pascal-goto", "warning", "goto makes control flow hard to follow", ""),)),
 )
 
-LANGUAGES = (TYPESCRIPT, JAVA, JAVA_EQUALS, RUST, CSHARP, PHP, SWIFT, C, ZIG, NIM, CRYSTAL, VLANG, *FUNCTIONAL, *SCRIPTING, *DOMAIN)
-ALL = (PLACEHOLDER, CREDENTIAL, *LANGUAGES)
+LANGUAGES = (TYPESCRIPT, JAVA, JAVA_EQUALS, RUST, CSHARP, PHP, SWIFT, C, ZIG, NIM, CRYSTAL, VLANG, DLANG, *FUNCTIONAL, *SCRIPTING, *DOMAIN)
+ALL = (PLACEHOLDER, PYTHON_PASS, CREDENTIAL, *LANGUAGES)

@@ -11,8 +11,8 @@ from tessella.operators import guards
 from tessella.operators import issues as I
 from tessella.operators import lines as L
 from tessella.operators import rules as R
-from tessella.lineage import durable
-from tessella.plans import complexity, guard_packs, packs, pattern_packs, relational, security_packs
+from tessella.lineage import durable, spread
+from tessella.plans import complexity, guard_packs, hunk_checks, packs, pattern_packs, relational, security_packs
 
 COLUMNS = ["file_id", "file", "line", "id", "severity", "category", "message"]
 
@@ -31,7 +31,8 @@ class Context:
 
     @property
     def lines(self) -> DataFrame:
-        return L.diff_lines(self.files)
+        """The lines of the diff, exploded and written once."""
+        return self.once("lines", lambda: L.diff_lines(spread(self.files)))
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A relation that several analyzers read, computed and written once."""
@@ -40,36 +41,45 @@ class Context:
         return self.made[name]
 
 
-def _pack(*groups: R.Group) -> Callable[[Context], DataFrame]:
-    return lambda ctx: R.scan(ctx.lines, groups).select(*COLUMNS)
-
-
-def _guards(*rules: guards.Guarded) -> Callable[[Context], DataFrame]:
-    return lambda ctx: guards.guarded_issues(ctx.lines, rules).select(*COLUMNS)
-
-
-#: Analyzers by category; each turns the context into issues. Unknown names in ``enabled`` are ignored.
-ANALYZERS: dict[str, Callable[[Context], DataFrame]] = {
-    "security": _pack(*packs.SECURITY, *security_packs.LANGUAGES), "migration": _pack(packs.SQL_MIGRATION), "patterns": _pack(packs.CONSOLE, *pattern_packs.ALL), "errorhandling": lambda ctx: _pack(packs.EMPTY_CATCH)(ctx).unionByName(_guards(*guard_packs.ERRORS)(ctx)),
-    "resource": _guards(*guard_packs.RESOURCE), "concurrency": _guards(*guard_packs.CONCURRENCY),
-    "complexity": lambda ctx: complexity.issues(ctx.lines).select(*COLUMNS),
-    "custom": lambda ctx: R.scan_custom(ctx.lines, ctx.custom).select(*COLUMNS),
+#: Rule groups and guarded rules by analyzer: all of an analysis run in one scan and in one pass of windows.
+GROUPS: dict[str, tuple[R.Group, ...]] = {
+    "security": (*packs.SECURITY, *security_packs.LANGUAGES), "migration": packs.MIGRATIONS, "patterns": (packs.CONSOLE, *pattern_packs.ALL),
 }
+GUARDS: dict[str, tuple[guards.Guarded, ...]] = {"errorhandling": guard_packs.ERRORS, "resource": guard_packs.RESOURCE, "concurrency": guard_packs.CONCURRENCY}
+#: What else analyzers look for.
+CHECKS: dict[str, tuple[Callable[[Context], DataFrame], ...]] = {
+    "patterns": tuple((lambda ctx, f=f: f(ctx.lines)) for f in (hunk_checks.commented_code, hunk_checks.unreachable_code, hunk_checks.shell_without_set_e, hunk_checks.scope_without_failure)),
+    "migration": (lambda ctx: hunk_checks.migration_files(ctx.lines),), "complexity": (lambda ctx: complexity.issues(ctx.lines),),
+    "custom": (lambda ctx: R.scan_custom(ctx.lines, ctx.custom),),
+    **{name: (check,) for name, check in relational.ANALYZERS.items()},
+}
+CHECKS["hallucination"] = (*CHECKS["hallucination"], lambda ctx: hunk_checks.stubs(ctx.lines))
+#: Names of all analyzers. Unknown names in ``enabled`` are ignored.
+ANALYZERS: tuple[str, ...] = tuple(dict.fromkeys((*GROUPS, *GUARDS, *CHECKS)))
 
 
-ANALYZERS |= relational.ANALYZERS
-
+def found_by(ctx: Context, names: Iterable[str]) -> DataFrame | None:
+    """The issues of the named analyzers: one scan of the lines for all rules, one pass for all guarded rules, and the checks.
 
-def analyse(ctx: Context, analyzers: Iterable[str] | None = None) -> DataFrame:
-    """The issues of all enabled analyzers, after suppression and baseline, unordered (see issues.ordered).
-
-    The issues of each analyzer are written before they are merged: one plan of all would need more memory than a driver has.
+    The lines are exploded and written once, and so are the issues of each part: one plan of all would need more memory
+    than a driver has.
     """
-    names = [n for n in (analyzers or ANALYZERS) if ctx.enabled is None or n in ctx.enabled]
+    names = [n for n in names if n in ANALYZERS]
+    groups, guarded = [g for n in names for g in GROUPS.get(n, ())], [g for n in names for g in GUARDS.get(n, ())]
+    parts = [R.scan(ctx.lines, groups)] if groups else []
+    if guarded:
+        parts.append(guards.guarded_issues(ctx.lines, guarded))
     found: DataFrame | None = None
-    for n in names:
-        part = durable(ANALYZERS[n](ctx))
+    for part in (*parts, *(check(ctx) for n in names for check in CHECKS.get(n, ()))):
+        part = durable(part.select(*COLUMNS))
         found = part if found is None else found.unionByName(part)
+    return found
+
+
+def analyse(ctx: Context, analyzers: Iterable[str] | None = None) -> DataFrame:
+    """The issues of all enabled analyzers, after suppression and baseline, unordered (see issues.ordered)."""
+    names = [n for n in (analyzers or ANALYZERS) if ctx.enabled is None or n in ctx.enabled]
+    found = found_by(ctx, names)
     if found is None:
         return ctx.lines.limit(0).select("file_id", "file", F.col("new_num").alias("line"), *(F.lit("").alias(c) for c in COLUMNS[3:]))
     marks = I.directives(ctx.lines.select("file", F.col("new_num").alias("line"), "content"), ctx.marker)

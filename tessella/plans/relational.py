@@ -33,13 +33,19 @@ def files_of(ctx) -> DataFrame:
     return here.join(gone, "file", "left_anti")
 
 
-def issue(df: DataFrame, rule: str, severity: str, category: str, message: Column, line: Column | None = None, file_id: Column | None = None) -> DataFrame:
+def issue(df: DataFrame, rule: str, severity: str, category: str, message: Column, line: Column | None = None, file_id: Column | None = None, place: tuple = ()) -> DataFrame:
+    """Issues of all rows; ``place``: what the rule's id goes on with (columns), as the id of an issue names where it stands."""
+    ident = F.concat_ws("-", F.lit(rule), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in place)) if place else F.lit(rule)
     return df.select(
-        (F.lit(None).cast("long") if file_id is None else file_id).alias("file_id"), "file", (F.lit(0) if line is None else line).cast("int").alias("line"), F.lit(rule).alias("id"),
+        (F.lit(None).cast("long") if file_id is None else file_id).alias("file_id"), "file", (F.lit(0) if line is None else line).cast("int").alias("line"), ident.alias("id"),
         F.lit(severity).alias("severity"), F.lit(category).alias("category"), message.alias("message"),
     )
 
 
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -78,16 +84,15 @@ def imports(ctx) -> DataFrame:
     names = resolve.missing_exports(used, exports, keys).join(modules, ["target", "name"], "left_anti")
     removed = parsers.symbols(ctx.lines, "type = 'removed'").where("exported").select(F.col("file").alias("target"), "name").join(exports.withColumnRenamed("file", "target"), ["target", "name"], "left_anti").distinct()
     once_there = used.select(*keys, "target", F.explode("names").alias("name")).join(removed, ["target", "name"], "left_semi").join(names, [*keys, "name"], "left_anti")
-    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    p, n, i = q(F.col("path")), q(F.col("name")), F.col("file_id")
+    p, n, i, at = _quoted(F.col("path")), _quoted(F.col("name")), F.col("file_id"), ("file", "line")
     text = lambda script, python: F.when(F.col("lang") == "python", python).otherwise(script)
     is_script = F.col("lang") == "typescript"
     return _union([
-        issue(deleted.where("target is not null"), "import-deleted", "error", "imports", text(F.concat(F.lit("Import "), p, F.lit(" points to a deleted file")), F.concat(F.lit("Import from "), p, F.lit(" points to a deleted module"))), F.col("line"), i),
-        issue(deleted.where(is_script & F.col("target").isNull()), "import-broken", "error", "imports", F.concat(F.lit("Import "), p, F.lit(" could not be resolved to any known file")), F.col("line"), i),
-        issue(names.where(is_script), "import-name", "error", "imports", F.concat(F.lit("Name "), n, F.lit(" is not exported from "), p), F.col("line"), i),
-        issue(names.where(~is_script), "import-name", "warning", "imports", F.concat(F.lit("Name "), n, F.lit(" may not be exported from "), p), F.col("line"), i),
-        issue(once_there, "export-removed", "warning", "imports", F.concat(F.lit("Import "), n, F.lit(" was removed from "), q(F.col("target")), F.lit(" but is still imported here")), F.col("line"), i),
+        issue(deleted.where("target is not null"), "import-deleted", "error", "imports", text(F.concat(F.lit("Import "), p, F.lit(" points to a deleted file")), F.concat(F.lit("Import from "), p, F.lit(" points to a deleted module"))), F.col("line"), i, at),
+        issue(deleted.where(is_script & F.col("target").isNull()), "import-broken", "error", "imports", F.concat(F.lit("Import "), p, F.lit(" could not be resolved to any known file")), F.col("line"), i, at),
+        issue(names.where(is_script), "import-name", "error", "imports", F.concat(F.lit("Name "), n, F.lit(" is not exported from "), p), F.col("line"), i, (*at, "name")),
+        issue(names.where(~is_script), "import-name", "warning", "imports", F.concat(F.lit("Name "), n, F.lit(" may not be exported from "), p), F.col("line"), i, (*at, "name")),
+        issue(once_there, "export-removed", "warning", "imports", F.concat(F.lit("Import "), n, F.lit(" was removed from "), _quoted(F.col("target")), F.lit(" but is still imported here")), F.col("line"), i, ("target", "file", "name")),
     ])
 
 
@@ -97,23 +102,67 @@ def _changed_signatures(ctx) -> DataFrame:
     return side("removed", "before").join(side("added", "after").drop("file"), ["file_id", "hunk_no", "name"]).where("before <> after")
 
 
+def _touched(ctx) -> DataFrame:
+    return ctx.files.select(paths.unix(F.col("path")).alias("file"), F.lit(True).alias("touched")).distinct()
+
+
 def consistency(ctx) -> DataFrame:
-    """Importers of a function whose signature changed; those that the diff touches as well are only informed."""
+    """Users of a function whose signature changed, of a type that was rewritten, and methods of an interface that gained some.
+
+    Importers use what they import by name; the files of a Go package use what their words name. Files that the diff
+    touches as well are only informed about signatures, and left alone otherwise.
+    """
+    touched = _touched(ctx)
     moved = _changed_signatures(ctx).select(F.col("file").alias("defined"), "name").distinct()
-    users = imports_of(ctx).select("file", F.explode("names").alias("name"), "line").join(moved, "name").where("file <> defined")
-    touched = ctx.files.select(paths.unix(F.col("path")).alias("file"), F.lit(True).alias("touched")).distinct()
-    both = users.join(touched, "file", "left")
-    text = F.concat(F.lit("Signature of '"), F.col("name"), F.lit("' changed in "), F.col("defined"))
-    return _union([issue(both.where("touched is null"), "sig-change", "warning", "consistency", text, F.col("line")), issue(both.where("touched"), "sig-change-partial", "info", "consistency", text, F.col("line"))])
+    users = lambda of: imports_of(ctx).select("file", F.explode("names").alias("name"), "line").join(of, "name").where("file <> defined")
+    go = tree_of(ctx).where("ext = '.go' and type <> 'removed' and content is not null").select("file", F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z_]\w*"), F.lit(0))).alias("name"))
+    words = go.join(moved.where("defined like '%.go'").select("name").distinct(), "name", "left_semi").distinct()
+    near = words.join(moved.where("defined like '%.go'"), "name").where((F.col("file") != F.col("defined")) & (paths.dirname(F.col("file")) == paths.dirname(F.col("defined")))).select("name", "file", F.lit(0).alias("line"), "defined")
+    both = users(moved).unionByName(near).join(touched, "file", "left")
+    n, d, at = _quoted(F.col("name")), F.col("defined"), ("defined", "file", "name")
+    text = F.concat(F.lit("Function "), n, F.lit(" signature changed in "), d)
+    types = parsers.symbols(ctx.lines, "type <> 'context'").where("exported and kind in ('type', 'interface', 'struct', 'class', 'enum')").select(F.col("file").alias("defined"), "name").distinct()
+    stale = users(types).join(touched, "file", "left_anti")
+    gained = _interface_methods(ctx)
+    methods = parsers.symbols(tree_of(ctx)).where("lang = 'go' and signature like 'func (%'").join(touched, "file", "left_anti").join(gained, "name")
+    return _union([
+        issue(both.where("touched is null"), "sig-change", "warning", "consistency", F.concat(text, F.lit(" but this file was not updated")), F.col("line"), place=at),
+        issue(both.where("touched"), "sig-change-partial", "info", "consistency", F.concat(text, F.lit("; verify call sites in this file are updated")), F.col("line"), place=at),
+        issue(stale, "type-change", "warning", "consistency", F.concat(F.lit("Type "), n, F.lit(" was modified in "), d, F.lit(" but this file using it was not updated")), place=at),
+        issue(methods, "iface-gap", "warning", "consistency", F.concat(F.lit("Interface "), _quoted(F.col("interface")), F.lit(" method "), n, F.lit(" was changed but this implementation was not updated")), F.col("line"), place=("interface", "file", "name")),
+    ])
+
+
+def _interface_methods(ctx) -> DataFrame:
+    """(interface, name): methods that added lines give to an exported Go interface whose header its hunk shows."""
+    rows = ctx.lines.where("ext = '.go' and type <> 'removed' and content is not null").withColumn("interface", F.regexp_extract("content", r"^type\s+([A-Z]\w*)\s+interface\s*\{", 1))
+    inside = L.regions(rows.withColumn("header", F.col("interface") != ""), F.col("header") | F.col("content").rlike(r"^\}"))
+    heads = rows.where("interface <> ''").select("file_id", "hunk_no", F.col("pos").alias("region"), "interface")
+    method = F.regexp_extract("content", r"^\s+([A-Z]\w*)\s*\(", 1)
+    return inside.where("type = 'added'").select("file_id", "hunk_no", "region", method.alias("name")).where("name <> ''").join(heads, ["file_id", "hunk_no", "region"]).select("interface", "name").distinct()
 
 
 def references(ctx) -> DataFrame:
-    """Imports that still lead to deleted or renamed files."""
+    """Imports that still lead to deleted or renamed files, and imports of symbols that a file doesn't define any more."""
     out = []
-    for status, column, severity, rule in (("deleted", "path", "error", "ref-deleted"), ("renamed", "old_path", "warning", "ref-renamed")):
-        away = ctx.files.where((F.col("status") == status) & (F.coalesce(column, F.lit("")) != "")).select(paths.unix(F.col(column)).alias("file"))
-        hit = _linked(imports_of(ctx), away, ["lang", "file", "path", "line"]).where("target is not null")
-        out.append(issue(hit, rule, severity, "references", F.concat(F.lit("Reference to " + status + " file "), F.col("target")), F.col("line")))
+    for status, column, severity, rule, says in (("deleted", "path", "error", "ref-deleted", " references deleted file "), ("renamed", "old_path", "warning", "ref-renamed", " references old path ")):
+        away = ctx.files.where((F.col("status") == status) & (F.coalesce(column, F.lit("")) != "")).select(paths.unix(F.col(column)).alias("file"), paths.unix(F.col("path")).alias("now"))
+        hit = _linked(imports_of(ctx), away.select("file"), ["lang", "file", "path", "line"]).where("target is not null")
+        text = F.concat(F.lit("Import "), _quoted(F.col("path")), F.lit(says), _quoted(F.col("target")))
+        if status == "renamed":
+            hit = hit.join(away.select(F.col("file").alias("target"), "now").distinct(), "target")
+            text = F.concat(text, F.lit(" which was renamed to "), _quoted(F.col("now")))
+        out.append(issue(hit, rule, severity, "references", text, F.col("line"), place=("file", "line", "target")))
+    lost = parsers.symbols(ctx.lines, "type = 'removed'").select(F.col("file").alias("defined"), "name").distinct()
+    lost = lost.join(symbols_of(ctx).select(F.col("file").alias("defined"), "name"), ["defined", "name"], "left_anti")
+    users = imports_of(ctx).select("file", "line", F.explode("names").alias("name")).join(lost, "name").where("file <> defined")
+    text = lambda says: F.concat(F.lit("Symbol "), _quoted(F.col("name")), F.lit(" was removed from "), _quoted(F.col("defined")), F.lit(says))
+    out.append(issue(users, "ref-symbol-deleted", "warning", "references", text(" but is still imported here"), F.col("line"), place=("defined", "file", "name")))
+    words = tree_of(ctx).where("type <> 'removed' and content is not null").select("file", "new_num", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("name"))
+    used = words.join(lost.select("name").distinct(), "name", "left_semi").groupBy("file", "name").agg(F.min("new_num").alias("line"))  # a word counts once per file
+    here = used.join(lost, "name").where((F.col("file") != F.col("defined")) & (paths.dirname(F.col("file")) == paths.dirname(F.col("defined"))) & (paths.extension(F.col("file")) == paths.extension(F.col("defined"))))
+    here = here.join(users.select("file", "name").distinct(), ["file", "name"], "left_anti")
+    out.append(issue(here, "ref-symbol-usage", "warning", "references", text(" but may still be used in this file"), F.col("line"), place=("defined", "file", "name")))
     return _union(out)
 
 
@@ -136,11 +185,28 @@ def tests(ctx) -> DataFrame:
 
 
 def docdrift(ctx) -> DataFrame:
-    """Signatures that changed under a doc comment that didn't."""
-    moved = _changed_signatures(ctx)
-    rows = ctx.lines.withColumn("doc", (F.col("type") == "context") & F.coalesce(F.col("content").rlike(r"^\s*(//|#|\*)"), F.lit(False)))
-    above = rows.withColumn("documented", F.lag("doc").over(L.in_hunk())).where("type in ('added', 'removed') and documented").select("file_id", "hunk_no", F.trim("content").alias("after"), F.col("new_num").alias("line"))
-    return issue(moved.join(above, ["file_id", "hunk_no", "after"]), "docdrift-stale-doc", "warning", "docdrift", F.concat(F.lit("Documentation of '"), F.col("name"), F.lit("' may be stale: its signature changed")), F.col("line"), F.col("file_id"))
+    """Signatures that changed under a doc comment that didn't: stale as a whole, in its parameters, return type or examples."""
+    comment = (F.col("type") == "context") & F.coalesce(F.col("content").rlike(r"^\s*(//|#|\*|/\*)"), F.lit(False))
+    blocks = L.islands(ctx.lines, comment).where("island is not null").groupBy("file_id", "hunk_no", "island").agg(
+        (F.max("pos") + 1).alias("pos"), F.min("new_num").alias("line"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])).alias("doc")
+    )
+    every = parsers.symbols(ctx.lines, "true", place=True).where("kind in ('function', 'method')")
+    names = F.filter(F.transform(F.split(F.regexp_extract("signature", r"\w\s*\(([^()]*)\)", 1), ","), lambda x: F.regexp_extract(F.trim(x), r"^[*&.]*(?:final )?([A-Za-z_]\w*)", 1)), lambda x: x != "")
+    gives = F.trim(F.regexp_extract("signature", r"\)\s*(?:->|:)?\s*([^(){}:;]*?)\s*[{:;]?\s*$", 1))
+    side = lambda t, k: every.where(F.col("type") == t).select("file_id", "file", "hunk_no", "name", *(x.alias(k + y) for x, y in ((F.col("pos"), "pos"), (F.col("line"), "line"), (F.col("signature"), "text"), (names, "params"), (gives, "gives"))))
+    pair = side("removed", "old_").join(side("added", "new_").drop("file"), ["file_id", "hunk_no", "name"]).where("old_text <> new_text")
+    pair = pair.join(blocks, (pair["file_id"] == blocks["file_id"]) & (pair["hunk_no"] == blocks["hunk_no"]) & blocks["pos"].isin(pair["old_pos"], pair["new_pos"])).select(pair["*"], blocks["line"], blocks["doc"]).withColumn("at", F.col("new_line"))
+    words = F.regexp_extract_all("doc", F.lit(r"\w+"), F.lit(0))
+    pair = pair.withColumn("stale", F.array_intersect(F.array_except("old_params", "new_params"), words))
+    calls = F.exists(F.regexp_extract_all("doc", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)), lambda x: x == F.col("name"))
+    i, n, at = F.col("file_id"), F.col("name"), ("file", "name", "at")
+    shown = F.array_join(F.transform("stale", _quoted), ", ")
+    return _union([
+        issue(pair.where(F.size("stale") > 0), "docdrift-param-mismatch", "warning", "docdrift", F.concat(F.lit("Documentation for "), n, F.lit(" references parameters "), shown, F.lit(" that no longer exist in the function signature")), F.col("line"), i, at),
+        issue(pair.where("old_gives <> '' and new_gives <> '' and old_gives <> new_gives"), "docdrift-return-type", "info", "docdrift", F.concat(F.lit("Return type of "), n, F.lit(" changed from "), F.col("old_gives"), F.lit(" to "), F.col("new_gives"), F.lit(" but documentation was not updated")), F.col("line"), i, at),
+        issue(pair.where((F.size("old_params") != F.size("new_params")) & calls), "docdrift-stale-example", "info", "docdrift", F.concat(F.lit("Documentation for "), n, F.lit(" contains code examples that may reference outdated parameter patterns")), F.col("line"), i, at),
+        issue(pair, "docdrift-stale-doc", "warning", "docdrift", F.concat(F.lit("Function "), n, F.lit(" signature changed but documentation was not updated")), F.col("line"), i, at),
+    ])
 
 
 def deadcode(ctx) -> DataFrame:
@@ -148,7 +214,7 @@ def deadcode(ctx) -> DataFrame:
     ex = parsers.symbols(L.added(ctx.lines)).where("exported and lang in ('typescript', 'python') and name not like '\\\\_%' and name <> 'main'")
     ex = ex.where(~langs.is_test(F.col("file"), F.col("lang")))
     used = imports_of(ctx).select("lang", F.explode("names").alias("name")).distinct()
-    return issue(ex.join(used, ["lang", "name"], "left_anti"), "deadcode-unused-export", "warning", "deadcode", F.concat(F.lit("Exported symbol '"), F.col("name"), F.lit("' appears unused in the codebase")), F.col("line"), F.col("file_id"))
+    return issue(ex.join(used, ["lang", "name"], "left_anti"), "deadcode", "warning", "deadcode", F.concat(F.lit("Exported symbol '"), F.col("name"), F.lit("' appears unused in the codebase")), F.col("line"), F.col("file_id"), ("file", "name", "line"))
 
 
 # fixed values: first parts of Go's own packages, and folders whose imports are nobody's
@@ -203,9 +269,12 @@ def hallucination(ctx) -> DataFrame:
         own = own.unionByName(module).where("key <> ''")
     found = phantom_imports(parsers.imports(L.added(ctx.lines)), packages, own)
     text = F.concat(F.lit("Import references unknown package: "), F.col("path"))
-    return found.select(
+    relative = parsers.imports(L.added(ctx.lines)).where((F.col("lang") == "typescript") & resolve.is_relative(F.col("path")))
+    nowhere = _linked(relative, files_of(ctx), ["file_id", "lang", "file", "path", "line"]).where("target is null")
+    missing = issue(nowhere, "hallucination/missing-import-target", "error", "hallucination", F.concat(F.lit("Import target does not exist: "), F.col("path")), F.col("line"), F.col("file_id"))
+    return missing.unionByName(found.select(
         "file_id", "file", "line", F.lit("hallucination/phantom-import").alias("id"), "severity", F.lit("hallucination").alias("category"), text.alias("message")
-    )
+    ))
 
 
 def spec(ctx) -> DataFrame:
@@ -218,11 +287,17 @@ def spec(ctx) -> DataFrame:
     bare = wanted.join(a.select("req_id").distinct(), "req_id", "left_anti").withColumn("file", F.lit(""))
     spans = ctx.files.select(paths.unix(F.col("path")).alias("s_file"), F.explode("hunks").alias("h")).select("s_file", F.col("h.new_start").alias("a"), (F.col("h.new_start") + F.col("h.new_count")).alias("b"))
     near = a.join(spans, (a["file"] == spans["s_file"]) & a["line"].between(spans["a"] - 5, spans["b"] + 5), "left_semi")
-    r = F.col("req_id")
-    return _union([
-        issue(without, "spec-orphan", "error", "spec", F.concat(F.lit("Orphaned spec anchor: "), r), F.col("line")), issue(bare, "spec-unanchored", "warning", "spec", F.concat(F.lit("Requirement "), r, F.lit(" has no code anchor"))),
-        issue(near, "spec-modified", "info", "spec", F.concat(F.lit("Code near spec anchor for "), r, F.lit(" was modified")), F.col("line")),
-    ])
+    r, at = F.col("req_id"), ("req_id", "file", "line")
+    out = [
+        issue(without, "spec-orphan", "error", "spec", F.concat(F.lit("Orphaned spec anchor: spec:"), r, F.lit(" has no matching requirement")), F.col("line"), place=at), issue(bare, "spec-unanchored", "warning", "spec", F.concat(F.lit("Requirement "), r, F.lit(" has no code anchor")), place=("req_id",)),
+        issue(near, "spec-modified", "info", "spec", F.concat(F.lit("Code near spec anchor for "), r, F.lit(" was modified")), F.col("line"), place=at),
+    ]
+    if "targets" in wanted.columns:
+        told = a.join(wanted.where(F.size("targets") > 0).select("req_id", "targets"), "req_id")
+        inside = F.exists("targets", lambda t: F.col("file").startswith(F.rtrim(F.regexp_replace(t, r"[*/]+$", ""))))
+        away = told.where(~inside)
+        out.append(issue(away, "spec-target", "warning", "spec", F.concat(F.lit("Spec anchor for "), r, F.lit(" is outside its target paths ["), F.array_join("targets", " "), F.lit("]")), F.col("line"), place=at))
+    return _union(out)
 
 
 ANALYZERS = {"imports": imports, "consistency": consistency, "references": references, "tests": tests, "docdrift": docdrift, "deadcode": deadcode, "depgraph": depgraph, "hallucination": hallucination, "spec": spec}

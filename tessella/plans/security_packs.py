@@ -4,14 +4,18 @@ from __future__ import annotations
 from tessella.operators.rules import Group, Rule
 
 
-def _group(name: str, extensions: str, rows: tuple) -> Group:
+def _group(name: str, extensions: str, rows: tuple, marks: str = "") -> Group:
     """Rows: pattern, id, severity, message, exclusions..."""
-    return Group(f"{name}-security", "security", extensions=tuple(extensions.split()), rules=tuple(Rule(p, m, id="security/" + i, severity=s, unless=tuple(x), fix_id="sec-hardcoded-secret" if "hardcoded" in i else "") for p, i, s, m, *x in rows))
+    return Group(f"{name}-security", "security", extensions=tuple(extensions.split()), marks=marks, rules=tuple(Rule(p, m, id="security/" + i, severity=s, unless=tuple(x), fix_id="sec-hardcoded-secret" if "hardcoded" in i else "") for p, i, s, m, *x in rows))
 
 
 _CMD = "executes shell commands — verify input is not user-controlled"
 _NOT_REAL = r"(?i)(test|example|dummy|fake|mock|sample|placeholder|changeme)"
 
+# what comments begin with
+SLASHES, HASH, DASHES, BANG, SEMICOLON, PERCENT, OCAML_MARK, QUOTE, COBOL_MARK = r"^\s*(//|/\*|\*)", r"^\s*#", r"^\s*--", r"^\s*!", r"^\s*;", r"^\s*%", r"^\s*\(\*", r"^\s*'", r"^\s*\*>"
+PASCAL_MARK, SLASH_HASH = r"^\s*(//|\{|\(\*)", r"^\s*(#|//)"
+
 # fixed values
 JAVA = _group("java", ".java", (
     (r"DocumentBuilderFactory\.newInstance\(\)", "xxe", "error", "Potential XXE vulnerability: DocumentBuilderFactory without disabling external entities", r"setFeature"),
@@ -122,8 +126,9 @@ CRYSTAL = _group("crystal", ".cr", (
     (r"IO\.popen\b", "crystal-command-execution", "warning", f"IO.popen {_CMD}"), (r"\bmacro\s+", "crystal-macro", "info", "Macros generate code at compile time and can be difficult to audit"),
 ))
 VLANG = _group("vlang", ".v", (
-    (r"\bunsafe\s*\{", "vlang-unsafe-block", "warning", "unsafe block bypasses V's memory safety guarantees"), (r"C\.system\s*\(", "vlang-command-execution", "error", "C.system() executes shell commands — vulnerable to command injection"), (r"v\.reflection\b", "vlang-reflection", "warning", "v.reflection enables runtime reflection which can be abused"),
-))
+    (r"\bunsafe\s*\{", "vlang-unsafe-block", "warning", "unsafe block bypasses V's memory safety guarantees"), (r"C\.system\s*\(", "vlang-command-execution", "error", "C.system() executes shell commands — vulnerable to command injection"), (r"#flag\b", "vlang-ffi", "info", "#flag directive modifies compiler flags — can introduce unsafe C dependencies"), (r"#include\b", "vlang-ffi", "info", "#include directive includes C header files — ensure they are trusted"),
+    (r"v\.reflection\b", "vlang-reflection", "warning", "v.reflection enables runtime reflection which can be abused"),
+), SLASHES)
 DLANG = _group("dlang", ".d", (
     (r"__traits\s*\(\s*getMember", "dlang-reflection", "warning", "__traits(getMember) uses runtime reflection which can be abused"), (r"std\.process\.execute\b", "dlang-command-execution", "warning", "std.process.execute runs system commands — verify input is not user-controlled"),
     (r"\bmixin\s*\(", "dlang-code-injection", "warning", "mixin() evaluates strings as D code — potential for code injection"), (r"cast\s*\(\s*void\s*\*\s*\)", "dlang-unsafe-cast", "warning", "cast(void*) erases type information — potential for memory corruption"), (r"@system\b", "dlang-system-code", "info", "@system attribute marks code as unsafe — allows pointer arithmetic and casts"),
@@ -131,6 +136,72 @@ DLANG = _group("dlang", ".d", (
 HASKELL = _group("haskell", ".hs .lhs", (
     (r"\bunsafePerformIO\b", "haskell-unsafe-io", "error", "unsafePerformIO breaks referential transparency and can cause subtle bugs"), (r"\bunsafeCoerce\b", "haskell-unsafe-coerce", "error", "unsafeCoerce bypasses type safety entirely"), (r"System\.Process", "haskell-command-injection", "warning", "System.Process can execute arbitrary system commands"),
     (r"\bunsafeDupablePerformIO\b", "haskell-unsafe-io", "error", "unsafeDupablePerformIO is even more dangerous than unsafePerformIO"), (r"\bunsafeInterleaveIO\b", "haskell-unsafe-io", "warning", "unsafeInterleaveIO creates lazy I/O which can cause resource leaks"),
-))
+), DASHES)
+
+JULIA = _group("julia", ".jl", (
+    (r"\beval\s*\(", "julia-code-injection", "error", "eval executes arbitrary Julia code"), (r"\brun\s*\(", "julia-command-injection", "warning", "run() executes system commands"),
+    (r"\bccall\s*\(", "julia-unsafe-ccall", "warning", "ccall invokes C functions directly"), (r"\bunsafe_\w+", "julia-unsafe-operation", "warning", "Unsafe operation bypasses safety checks"),
+), HASH)
+SOLIDITY = _group("solidity", ".sol", (
+    (r"\.call\{value:", "solidity-reentrancy", "error", "External call with value transfer is vulnerable to reentrancy"), (r"tx\.origin", "solidity-tx-origin", "error", "tx.origin for authorization is vulnerable to phishing"),
+    (r"selfdestruct\s*\(", "solidity-selfdestruct", "error", "selfdestruct can permanently destroy the contract"), (r"delegatecall\s*\(", "solidity-delegatecall", "warning", "delegatecall executes code in the caller's context"),
+    (r"block\.timestamp", "solidity-timestamp-dependence", "warning", "block.timestamp can be manipulated by miners"),
+), r"^\s*//")
+TERRAFORM = _group("terraform", ".tf .tfvars", (
+    (r"cidr_blocks\s*=\s*\[\s*\"0\.0\.0\.0/0\"\s*\]", "terraform-open-cidr", "warning", "Security group allows traffic from all IPs"), (r"(?i)password\s*=\s*\"[^\"]+\"", "terraform-hardcoded-secret", "error", "Hardcoded password in Terraform config"),
+    (r"(?i)secret\s*=\s*\"[^\"]+\"", "terraform-hardcoded-secret", "error", "Hardcoded secret in Terraform config"), (r"encrypted\s*=\s*false", "terraform-unencrypted", "warning", "Resource encryption is disabled"),
+), SLASH_HASH)
+FORTRAN = _group("fortran", ".f90 .f95 .f03 .f08 .f .for", (
+    (r"(?i)\bCALL\s+SYSTEM\s*\(", "fortran-command-injection", "error", "CALL SYSTEM executes OS commands"), (r"(?i)\bEQUIVALENCE\s*\(", "fortran-equivalence", "warning", "EQUIVALENCE allows memory aliasing abuse"),
+    (r"(?i)\bFORMAT\s*\(.*\bA\b", "fortran-format-injection", "warning", "FORMAT with character input may allow format string injection"), (r"(?i)\bOPEN\s*\(.*FILE\s*=\s*['\"][^'\"]+['\"]\s*", "fortran-hardcoded-path", "warning", "Hardcoded file path in OPEN statement"),
+), BANG)
+PROTOBUF = _group("protobuf", ".proto", (
+    (r"option\s+java_package\s*=\s*\".*\.(internal|impl)\b", "protobuf-internal-package", "warning", "java_package references internal package"),
+    (r"\bservice\s+\w+\s*\{", "protobuf-unauthenticated-service", "warning", "Service defined without authentication annotation", r"(?i)(auth|authenticated|interceptor)"), (r"\bgoogle\.protobuf\.Any\b", "protobuf-any-type", "warning", "google.protobuf.Any allows arbitrary types (type confusion risk)"),
+), r"^\s*//")
+CLOJURE = _group("clojure", ".clj .cljs .cljc .edn", (
+    (r"\(eval\s", "clojure-code-injection", "error", "eval allows arbitrary code execution"), (r"\(read-string\s", "clojure-code-injection", "error", "read-string can execute arbitrary code via reader macros"),
+    (r"clojure\.java\.shell/sh\b", "clojure-command-injection", "warning", "sh executes system commands — verify input is not user-controlled"), (r"\(resolve\s", "clojure-reflection", "warning", "resolve enables dynamic var lookup which can be abused"),
+), SEMICOLON)
+ERLANG = _group("erlang", ".erl .hrl", (
+    (r"os:cmd\s*\(", "erlang-command-injection", "error", "os:cmd executes shell commands"), (r"erlang:apply\s*\(", "erlang-dynamic-apply", "warning", "erlang:apply with dynamic module/function can execute arbitrary code"),
+    (r"file:eval\s*\(", "erlang-code-injection", "error", "file:eval evaluates arbitrary Erlang expressions from file"), (r"erl_eval:expr", "erlang-code-injection", "error", "erl_eval allows arbitrary expression evaluation"),
+), PERCENT)
+FSHARP = _group("fsharp", ".fs .fsx .fsi", (
+    (r"System\.Diagnostics\.Process", "fsharp-command-injection", "warning", "System.Diagnostics.Process executes system commands"), (r"Assembly\.Load", "fsharp-reflection", "warning", "Assembly.Load enables dynamic code loading"),
+    (r"Unchecked\.defaultof", "fsharp-null-ref", "warning", "Unchecked.defaultof creates null references bypassing F# null safety"), (r"NativePtr\.\w+", "fsharp-unsafe-pointer", "warning", "NativePtr operations bypass memory safety"),
+), r"^\s*//")
+OCAML = _group("ocaml", ".ml .mli", (
+    (r"Sys\.command\b", "ocaml-command-injection", "error", "Sys.command executes shell commands"), (r"Unix\.system\b", "ocaml-command-injection", "error", "Unix.system executes shell commands via /bin/sh"),
+    (r"Obj\.magic\b", "ocaml-unsafe-cast", "error", "Obj.magic bypasses the type system entirely"), (r"Marshal\.from_string\b", "ocaml-deserialization", "warning", "Marshal.from_string can deserialize arbitrary data unsafely"),
+), OCAML_MARK)
+VISUAL_BASIC = _group("vb", ".vb .vbs", (
+    (r"(?i)\bShell\s*\(", "vb-shell-injection", "error", "Shell() executes system commands"), (r"(?i)\bProcess\.Start\s*\(", "vb-process-start", "warning", "Process.Start executes external programs"),
+    (r"(?i)\bMy\.Computer\.FileSystem\.(Delete|Write)", "vb-filesystem-access", "warning", "Direct filesystem operation"), (r"(?i)\bCreateObject\s*\(", "vb-createobject", "warning", "CreateObject can instantiate arbitrary COM objects"),
+), QUOTE)
+COBOL = _group("cobol", ".cob .cbl .cpy", (
+    (r"(?i)\bCALL\s+['\"]SYSTEM['\"]\s+USING", "cobol-system-call", "error", "CALL 'SYSTEM' executes OS commands"), (r"(?i)\bACCEPT\s+\w+\s+FROM\s+ENVIRONMENT", "cobol-env-access", "warning", "ACCEPT FROM ENVIRONMENT reads env variables"),
+    (r"(?i)\b(STRING|UNSTRING)\b", "cobol-string-overflow", "warning", "STRING/UNSTRING without ON OVERFLOW may silently truncate", r"(?i)\bON\s+OVERFLOW\b"), (r"(?i)\bREDEFINES\b", "cobol-redefines-mismatch", "warning", "REDEFINES on different-length fields can cause data corruption"),
+), COBOL_MARK)
+ADA = _group("ada", ".adb .ads", (
+    (r"(?i)\bUnchecked_Conversion\b", "ada-unchecked-conversion", "warning", "Unchecked_Conversion bypasses type safety"), (r"(?i)\bUnchecked_Deallocation\b", "ada-unchecked-deallocation", "warning", "Unchecked_Deallocation can cause dangling pointers"),
+    (r"(?i)\bSystem\.Address\b", "ada-raw-address", "warning", "System.Address bypasses type safety"), (r"(?i)pragma\s+Suppress\s*\(\s*All_Checks", "ada-suppress-checks", "error", "Suppressing all checks removes runtime safety"),
+), DASHES)
+PASCAL = _group("pascal", ".pas .pp .dpr .lpr", (
+    (r"(?i)\bExecuteProcess\s*\(", "pascal-execute-process", "error", "ExecuteProcess runs external commands"), (r"(?i)\bShellExecute\s*\(", "pascal-shell-execute", "error", "ShellExecute runs external programs"),
+    (r"(?i)\bGetMem\s*\(", "pascal-getmem", "warning", "GetMem allocates unmanaged memory"), (r"(?i)\b(?:absolute|Pointer)\b", "pascal-unsafe-pointer", "warning", "Direct pointer usage bypasses type safety"),
+), PASCAL_MARK)
+PERL = _group("perl", ".pl .pm", (
+    (r"\beval\s*\(", "perl-code-injection", "error", "eval executes arbitrary code"), (r"\bsystem\s*\(", "perl-command-injection", "error", "system() executes shell commands"),
+    (r"\bopen\s*\(.*\|", "perl-command-injection", "error", "open with pipe executes commands"), (r"`[^`]+`", "perl-command-injection", "warning", "Backtick execution runs shell commands"),
+), HASH)
+POWERSHELL = _group("powershell", ".ps1 .psm1 .psd1", (
+    (r"(?i)Invoke-Expression", "powershell-code-injection", "error", "Invoke-Expression executes arbitrary code"), (r"(?i)Start-Process", "powershell-command-execution", "warning", "Start-Process launches external processes"),
+    (r"(?i)ConvertTo-SecureString.*-AsPlainText", "powershell-plaintext-secret", "warning", "Converting plaintext to SecureString exposes secrets in code"), (r"(?i)\$ExecutionContext\.InvokeCommand", "powershell-code-injection", "error", "InvokeCommand enables dynamic code execution"),
+), HASH)
+GROOVY = _group("groovy", ".groovy .gvy .gradle", (
+    (r"\.execute\(\)", "groovy-command-injection", "error", "String.execute() runs system commands"), (r"(?i)GroovyShell\b", "groovy-code-injection", "error", "GroovyShell enables dynamic code execution"),
+    (r"(?i)Eval\s*\(", "groovy-code-injection", "error", "Eval executes arbitrary Groovy code"), (r"Runtime\.getRuntime\(\)\.exec", "groovy-command-injection", "error", "Runtime.exec executes system commands"),
+), r"^\s*//")
 
-LANGUAGES = (JAVA, RUST, SCRIPT_EXECUTION, RUBY, GO, PYTHON, SCRIPT, KOTLIN, CSHARP, PHP, SWIFT, C, CPP, OBJC, BASH, SQL, DART, SCALA, R_LANG, ELIXIR, LUA, ZIG, NIM, CRYSTAL, VLANG, DLANG, HASKELL)
+LANGUAGES = (JAVA, RUST, SCRIPT_EXECUTION, RUBY, GO, PYTHON, SCRIPT, KOTLIN, CSHARP, PHP, SWIFT, C, CPP, OBJC, BASH, SQL, DART, SCALA, R_LANG, ELIXIR, LUA, ZIG, NIM, CRYSTAL, VLANG, DLANG, HASKELL, JULIA, SOLIDITY, TERRAFORM, FORTRAN, PROTOBUF, CLOJURE, ERLANG, FSHARP, OCAML, VISUAL_BASIC, COBOL, ADA, PASCAL, PERL, POWERSHELL, GROOVY)

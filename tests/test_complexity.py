@@ -15,8 +15,19 @@ def test_complexity_is_an_analyzer(spark):
     )
     got = sorted((r.file, r.line, r.id, r.severity) for r in pipeline.analyse(pipeline.Context(diff, enabled=frozenset({"complexity"}))).collect())
     assert got == [
-        ("a.go", 1, "complexity/cyclomatic", "warning"), ("a.go", 5, "complexity/nesting", "warning"), ("a.go", 6, "complexity/nesting", "warning"), ("a.go", 7, "complexity/nesting", "warning"),
-        ("p.py", 1, "complexity/params", "warning"), ("p.py", 2, "complexity/nesting", "warning"), ("p.py", 3, "complexity/nesting", "error"), ("r.rb", 1, "complexity/cyclomatic", "warning"), ("r.rb", 1, "complexity/returns", "warning"),
+        ("a.go", 1, "complexity-cyclomatic-a.go-1", "warning"), ("a.go", 5, "complexity-nesting-a.go-5", "warning"), ("a.go", 6, "complexity-nesting-a.go-6", "warning"), ("a.go", 7, "complexity-nesting-a.go-7", "warning"),
+        ("p.py", 1, "complexity-params-p.py-1", "warning"), ("p.py", 2, "complexity-nesting-p.py-2", "warning"), ("p.py", 3, "complexity-nesting-p.py-3", "error"), ("r.rb", 1, "complexity-cyclomatic-r.rb-1", "warning"), ("r.rb", 1, "complexity-returns-r.rb-1", "warning"),
+    ]
+
+
+def test_length_where_the_end_is_shown(spark):
+    body = [f"+\tx{i}()" for i in range(90)]
+    diff = files(
+        spark, ("a.go", ["+func Long() {", *body, "+}", "+func Short() {", "+\tx()", "+}"]), ("b.go", ["+func Cut() {", *body]), ("c.py", ["+class C:", "+    def f(self):", *["+        x()"] * 160, "+", "+    def g(self):", "+        y()", "+z = 1"]),
+    )
+    got = sorted((r.id, r.severity, r.message) for r in pipeline.found_by(pipeline.Context(diff), ["complexity"]).collect())
+    assert got == [
+        ("complexity-func-length-a.go-1", "warning", 'Function "Long" is 91 lines long (consider splitting at 80+)'), ("complexity-func-length-c.py-2", "error", 'Function "f" is 161 lines long (max recommended: 150)'),
     ]
 
 

@@ -12,7 +12,9 @@ def test_python_imports_and_references(spark):
     moved = spark.createDataFrame([(99, "p/new.py", "p/away.py", "renamed", False, [], "")], diff.schema)
     ctx = pipeline.Context(diff.unionByName(moved))
     assert found(spark, ctx, "imports") == [("p/a.py", 1, "import-name"), ("p/a.py", 2, "import-deleted"), ("p/a.py", 5, "export-removed"), ("r/a.rb", 1, "import-deleted")]
-    assert found(spark, ctx, "references") == [("p/a.py", 2, "ref-deleted"), ("p/a.py", 4, "ref-renamed"), ("r/a.rb", 1, "ref-deleted")]
+    assert found(spark, ctx, "references") == [
+        ("p/a.py", 2, "ref-deleted"), ("p/a.py", 2, "ref-symbol-deleted"), ("p/a.py", 4, "ref-renamed"), ("p/a.py", 5, "ref-symbol-deleted"), ("r/a.rb", 1, "ref-deleted"),
+    ]
 
 
 def test_python_and_go_cycles(spark):

@@ -91,36 +91,47 @@ def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _linked(rest)
 
 
-def _asked(links: DataFrame, slices: DataFrame, side: str) -> DataFrame:
-    """(key, slice, v, r, side) of open links: the slice that can answer. Links that no slice can answer are left out.
-
-    Most links are answered by the slice beside their own, or by none at all, which one row per slice tells; only the
-    rest, recorded before all of the neighbour's rows, looks for its slice among those of its key.
-    """
-    back = side == "pred"
-    order = W.partitionBy("key").orderBy(F.col("slice") if back else F.col("slice").desc())
-    beside = slices.select(
-        "key", "slice", F.lag("slice").over(order).alias("near"), F.lag("min_r").over(order).alias("near_r"), F.min("min_r").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("best_r")
-    ).where("near is not null")
-    unanswered = links.where(F.col(f"{side}_v").isNull()).select("key", "slice", "v", "r").join(beside, ["key", "slice"]).where(F.col("best_r") <= F.col("r"))
-    quick = unanswered.where("near_r <= r").select("key", F.col("near").alias("slice"), "v", "r")
-    edge = slices.select(F.col("key").alias("s_key"), F.col("slice").alias("s_slice"), "min_r")
-    nearer = (F.col("s_slice") < F.col("slice")) if back else (F.col("s_slice") > F.col("slice"))
-    far = unanswered.where("near_r > r").join(edge, (F.col("key") == F.col("s_key")) & nearer & (F.col("min_r") <= F.col("r")))
-    far = far.groupBy("key", "v", "r").agg((F.max if back else F.min)("s_slice").alias("slice")).select("key", "slice", "v", "r")
-    return quick.unionByName(far).withColumn("side", F.lit(side))
+def _neighbours(slices: DataFrame) -> DataFrame:
+    """Per slice of a key what the slices beside it know: (key, slice, and for pred and succ: near slice, its least and
+    greatest recording, its outermost valid time towards this slice, and the least recording of all slices on that side)."""
+    out = slices.select("key", "slice", "min_r", "max_r", "min_v", "max_v")
+    for side, order, edge in (("pred", F.col("slice"), "max_v"), ("succ", F.col("slice").desc(), "min_v")):
+        w = W.partitionBy("key").orderBy(order)
+        out = out.withColumns({
+            f"{side}_slice": F.lag("slice").over(w), f"{side}_min": F.lag("min_r").over(w), f"{side}_max": F.lag("max_r").over(w), f"{side}_edge": F.lag(edge).over(w),
+            f"{side}_best": F.min("min_r").over(w.rowsBetween(W.unboundedPreceding, -1)),
+        })
+    return out.drop("min_r", "max_r", "min_v", "max_v")
 
 
 def _resolve_open(links: DataFrame) -> DataFrame:
-    """Fill ``pred_v`` and ``succ_v`` that the own slice could not answer."""
-    slices = links.groupBy("key", "slice").agg(F.min("r").alias("min_r"))
-    asked = _asked(links, slices, "pred").unionByName(_asked(links, slices, "succ"))
-    told = links.select("key", "slice", "v", "r", F.lit(None).cast("string").alias("side"))
+    """Fill ``pred_v`` and ``succ_v`` that the own slice could not answer.
+
+    A link recorded after all rows of the slice beside its own is answered by that slice's outermost row, and one recorded
+    before all rows of that side has no neighbour there; one row per slice tells both. Only late links between the two
+    look for their slice among those of their key, and for their row by a running extreme over that slice.
+    """
+    slices = links.groupBy("key", "slice").agg(F.min("r").alias("min_r"), F.max("r").alias("max_r"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
+    rows = links.join(_neighbours(slices), ["key", "slice"], "left")
+    late = None
+    for side, pick in (("pred", F.max), ("succ", F.min)):
+        unanswered = F.col(f"{side}_v").isNull() & (F.col(f"{side}_best") <= F.col("r"))
+        asks = rows.where(unanswered & (F.col(f"{side}_max") > F.col("r"))).select("key", "slice", "v", "r", F.col(f"{side}_slice").alias("near"), F.col(f"{side}_min").alias("near_r"))
+        quick = asks.where("near_r <= r").select("key", F.col("near").alias("slice"), "v", "r")
+        edge = slices.select(F.col("key").alias("s_key"), F.col("slice").alias("s_slice"), "min_r")
+        nearer = (F.col("s_slice") < F.col("slice")) if side == "pred" else (F.col("s_slice") > F.col("slice"))
+        far = asks.where("near_r > r").join(edge, (F.col("key") == F.col("s_key")) & nearer & (F.col("min_r") <= F.col("r")))
+        far = far.groupBy("key", "v", "r").agg(pick("s_slice").alias("slice")).select("key", "slice", "v", "r")
+        one = quick.unionByName(far).withColumn("side", F.lit(side))
+        late = one if late is None else late.unionByName(one)
+        rows = rows.withColumn(f"{side}_v", F.when(unanswered & (F.col(f"{side}_max") <= F.col("r")), F.col(f"{side}_edge")).otherwise(F.col(f"{side}_v")))
+    late = durable(late)  # few, and read twice
+    told = links.join(late.select("key", "slice").distinct(), ["key", "slice"], "left_semi").select("key", "slice", "v", "r", F.lit(None).cast("string").alias("side"))
     known = W.partitionBy("key", "slice").orderBy("r", F.col("side").isNotNull()).rowsBetween(W.unboundedPreceding, 0)  # rows of the slice stand before questions of the same time
     own = F.when(F.col("side").isNull(), F.col("v"))
-    answered = told.unionByName(asked).withColumn("last_v", F.max(own).over(known)).withColumn("first_v", F.min(own).over(known)).where("side is not null")
-    far = answered.groupBy("key", "v", "r").agg(F.max(F.when(F.col("side") == "pred", F.col("last_v"))).alias("far_pred"), F.min(F.when(F.col("side") == "succ", F.col("first_v"))).alias("far_succ"))
-    return links.join(far, ["key", "v", "r"], "left").withColumn("pred_v", F.coalesce("pred_v", "far_pred")).withColumn("succ_v", F.coalesce("succ_v", "far_succ")).drop("far_pred", "far_succ")
+    answered = told.unionByName(late).withColumn("last_v", F.max(own).over(known)).withColumn("first_v", F.min(own).over(known)).where("side is not null")
+    found = answered.groupBy("key", "v", "r").agg(F.max(F.when(F.col("side") == "pred", F.col("last_v"))).alias("far_pred"), F.min(F.when(F.col("side") == "succ", F.col("first_v"))).alias("far_succ"))
+    return rows.join(found, ["key", "v", "r"], "left").select("key", "v", "r", F.coalesce("pred_v", "far_pred").alias("pred_v"), F.coalesce("succ_v", "far_succ").alias("succ_v"))
 
 
 def ledger(assertions: DataFrame, names: Assertions = Assertions(), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -142,18 +153,16 @@ def ledger(assertions: DataFrame, names: Assertions = Assertions(), slice_second
     links = durable(sliced.repartition("key", "slice").sortWithinPartitions("key", "slice", "v", "r").mapInPandas(_sweep, out))
     links = _resolve_open(links)
     # each assertion opens a row, and closes the one of its predecessor with a shorter successor
-    opened = links.select("key", F.col("v").alias("at"), F.col("r").alias("recorded"), F.col("succ_v").alias("ends"))
-    split = links.where("pred_v is not null").select("key", F.col("pred_v").alias("at"), F.col("r").alias("recorded"), F.col("v").alias("ends"))
-    rows = (
-        opened.unionByName(split)
-        .groupBy("key", "at", "recorded")
-        .agg(F.min("ends").alias("ends"))
-        .join(base.select("key", F.col("v").alias("at"), F.col("r").alias("recorded"), "state", F.lit(True).alias("own")), ["key", "at", "recorded"], "left")
-    )
+    none = F.lit(None).cast(T.StructType([T.StructField("state", base.schema["state"].dataType)]))
+    piece = lambda at, ends: F.struct(F.col(at).alias("at"), F.col(ends).alias("ends"))
+    ends = links.select("key", F.col("r").alias("recorded"), F.explode(F.array_compact(F.array(piece("v", "succ_v"), F.when(F.col("pred_v").isNotNull(), piece("pred_v", "v"))))).alias("x"))
+    ends = ends.select("key", "x.at", "recorded", "x.ends", none.alias("own"))
+    told = base.select("key", F.col("v").alias("at"), F.col("r").alias("recorded"), F.lit(None).cast("bigint").alias("ends"), F.struct("state").alias("own"))
+    rows = ends.unionByName(told).repartition("key", "at").groupBy("key", "at", "recorded").agg(F.min("ends").alias("ends"), F.first("own", ignorenulls=True).alias("own"))
     w = W.partitionBy("key", "at").orderBy("recorded")
     held = rows.select(
         "key", "at", "recorded", "ends",
-        F.last(F.when(F.col("own"), F.struct("state")), ignorenulls=True).over(w).alias("held"), F.coalesce("own", F.lit(False)).alias("asserted"),
+        F.last("own", ignorenulls=True).over(w).alias("held"), F.col("own").isNotNull().alias("asserted"),
         F.lead("recorded").over(w).alias("superseded"),
     )
     ts = lambda c: F.timestamp_micros(F.col(c))

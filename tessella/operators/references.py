@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 RANGES = 4096
 #: A range is split where it holds more references than this, or than twice the mean of all ranges.
@@ -103,9 +104,8 @@ def orphans(references: DataFrame, parents: DataFrame, ranges: int = RANGES, mos
         .select("h", "g", F.lit(0).alias("role"), F.col("p.created_at").cast("timestamp").alias("created_at"), F.col("p.deleted_at").cast("timestamp").alias("deleted_at"))
         .withColumn("range", _range_of(F.col("h"), ranges))
     )
-    loads = refs.groupBy("range").count()
-    mean = loads.agg(F.avg("count").alias("m")).scalar()
-    parts = loads.select("range", F.ceil(F.col("count") / F.greatest(F.lit(most), 2 * mean)).cast("int").alias("parts")).where("parts > 1")
+    loads = refs.groupBy("range").count().withColumn("mean", F.avg("count").over(W.partitionBy()))  # one row per range, at most ``ranges``
+    parts = loads.select("range", F.ceil(F.col("count") / F.greatest(F.lit(most), 2 * F.col("mean"))).cast("int").alias("parts")).where("parts > 1")
     parts = F.broadcast(parts)  # at most one row of two integers per range
     one = F.coalesce("parts", F.lit(1))
     asked = refs.join(parts, "range", "left").withColumn("part", F.pmod(F.xxhash64("record_id"), one).cast("int")).drop("parts")

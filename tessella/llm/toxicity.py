@@ -13,6 +13,8 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -86,7 +88,10 @@ _EDGE = ".,;:!?()[]\"'"
 _LEET = str.maketrans("013457@$", "oieastas")
 _SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?])\s+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"[^\W_]+(?:[@$013457]+[^\W_]*)*")
+_DIGITS, _TWO, _DOUBLED = re.compile(r"[0-9@$]"), re.compile(r"[A-Za-z].*[A-Za-z]|[A-Za-z]{2}"), re.compile(r"(.)\1+")
+_SPELLED, _PLAIN = re.compile(r"\W*([A-Za-z]+[0-9@$]+[A-Za-z0-9@$]*|[0-9@$]+[A-Za-z]+[A-Za-z0-9@$]*)\W*"), re.compile(r"(?i)v?\d[\d.]*|[0-9a-f]{6,}")
+#: without a letter between two gaps there is nothing spaced out
+_GAPS = re.compile(r"(?<![^\W_])[^\W_][ .\-*_]{1,2}[^\W_][ .\-*_]")
 
 
 def sentences(text: str | None) -> list[str]:
@@ -100,26 +105,30 @@ def _joined(m: re.Match) -> str:
     return f"{word[0]} {word[1:]}" if single not in CLASS_OF and re.sub(r"(.)\1+", r"\1", word[1:].lower()) in CLASS_OF else word
 
 
+@lru_cache(maxsize=_CACHED)
+def _word(raw: str) -> tuple[str, ...]:
+    """The tokens of what stands between two blanks."""
+    edged = raw.strip(_EDGE)
+    if _DIGITS.search(raw) and (m := _SPELLED.fullmatch(raw)) and _TWO.search(raw) and not _PLAIN.fullmatch(m.group(1)):
+        raw = m.group(1).lower().translate(_LEET)
+    elif _MASKED.fullmatch(raw):
+        return ("maskedword",)
+    elif _DOUBLED.sub(r"\1", edged.lower()) in CLASS_OF:
+        pass
+    elif _NAME.fullmatch(edged) and not raw.isupper():
+        return ("ident",)
+    folded = raw.lower() if raw.isascii() else "".join(c for c in unicodedata.normalize("NFKD", raw.lower()) if not unicodedata.combining(c))
+    return tuple(_DOUBLED.sub(r"\1", w) for w in _LETTERS.findall(folded))
+
+
 def tokens(sentence: str) -> tuple[str, ...]:
     """The words of a sentence with disguises undone; names become markers, numbers vanish."""
-    s = unicodedata.normalize("NFKC", _ZERO.sub("", sentence))
-    s = _SPACED.sub(_joined, s)
-    s = _USER.sub(" atuser ", _CODE.sub(" ident ", s))
-    out = []
-    for raw in s.split():
-        if re.search(r"[0-9@$]", raw) and (m := re.fullmatch(r"\W*([A-Za-z]+[0-9@$]+[A-Za-z0-9@$]*|[0-9@$]+[A-Za-z]+[A-Za-z0-9@$]*)\W*", raw)) and re.search(r"[A-Za-z].*[A-Za-z]|[A-Za-z]{2}", raw) and not re.fullmatch(r"(?i)v?\d[\d.]*|[0-9a-f]{6,}", m.group(1)):
-            raw = m.group(1).lower().translate(_LEET)
-        elif _MASKED.fullmatch(raw):
-            out.append("maskedword")
-            continue
-        elif re.sub(r"(.)\1+", r"\1", raw.strip(_EDGE).lower()) in CLASS_OF:
-            pass
-        elif _NAME.fullmatch(raw.strip(_EDGE)) and not raw.isupper():
-            out.append("ident")
-            continue
-        folded = "".join(c for c in unicodedata.normalize("NFKD", raw.lower()) if not unicodedata.combining(c))
-        out += [re.sub(r"(.)\1+", r"\1", w) for w in _LETTERS.findall(folded)]
-    return tuple(out)
+    s = sentence if sentence.isascii() else unicodedata.normalize("NFKC", _ZERO.sub("", sentence))
+    if _GAPS.search(s):
+        s = _SPACED.sub(_joined, s)
+    if "@" in s or "`" in s or "://" in s:
+        s = _USER.sub(" atuser ", _CODE.sub(" ident ", s))
+    return tuple(chain.from_iterable(map(_word, s.split())))
 
 
 def _h(text: str) -> int:
@@ -154,10 +163,15 @@ class Features:
 class Rows:
     """Sparse binary rows, scaled by the root of their length; a few words alone carry less than a sentence."""
 
-    def __init__(self, rows: list[np.ndarray]):
+    def __init__(self, rows: list[np.ndarray], compact: bool = False):
+        """With ``compact`` columns are numbered among those in use (``used``), as training wants no weights of others."""
         self.n = len(rows)
         sizes = np.array([len(r) for r in rows], np.int64)
         self.columns = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.width, self.used = DIMENSIONS, None
+        if compact:
+            self.used, self.columns = np.unique(self.columns, return_inverse=True)
+            self.width = len(self.used)
         self.row = np.repeat(np.arange(self.n), sizes)
         self.scale = 1 / np.sqrt(sizes + 8)
 
@@ -165,7 +179,7 @@ class Rows:
         return np.bincount(self.row, w[self.columns], self.n) * self.scale
 
     def pull(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, (r * self.scale)[self.row], DIMENSIONS)
+        return np.bincount(self.columns, (r * self.scale)[self.row], self.width)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -175,7 +189,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_linear(rows: Rows, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, ridge: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression by Adam over full batches: weights of the hashed and of the dense features (last: bias)."""
     ridge = RIDGE if ridge is None else ridge
-    w, v = np.zeros(DIMENSIONS), np.zeros(dense.shape[1] + 1)
+    w, v = np.zeros(rows.width), np.zeros(dense.shape[1] + 1)
     z = np.hstack([dense, np.ones((rows.n, 1))])
     total = max(weight.sum(), 1e-9)
     mw, sw, mv, sv = np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)
@@ -219,12 +233,27 @@ class Chain:
         return np.stack(out, 1)
 
 
-def _category(toks: tuple[str, ...]) -> str:
-    kinds = {k for w in toks for k in CLASS_OF.get(w, ())}
-    if "group" in kinds and "demean" in kinds:
-        return "group"
-    hits = {k: sum(k in CLASS_OF.get(w, ()) for w in toks) for k in ("sexual", "threat", "insult")}
-    return max(hits, key=lambda k: (hits[k], k == "insult"))
+def _categories(rows: Rows, seed_at: list[int], seed_kind: list[str], y: np.ndarray) -> list[str]:
+    """The category of every offensive sentence: that of the seeds' models which finds it most likely.
+
+    The labels tell no categories, so one model per category is fitted on the seeds, whose categories are known, and then
+    once more with the sentences that it is surest of.
+    """
+    at, kind = np.array(seed_at), np.array(seed_kind)
+    none = np.zeros((rows.n, 0))
+    told = np.full(rows.n, "", object)
+    told[at] = kind
+    weight = np.zeros(rows.n)
+    weight[at] = 1.0
+    for _ in range(2):
+        odds = np.stack([_logit(_sigmoid(rows.dot(w) + v[-1])) for w, v in (fit_linear(rows, none, (told == name).astype(float), weight) for name in CHAIN)], 1)
+        best, second = np.sort(odds, axis=1)[:, -1], np.sort(odds, axis=1)[:, -2]
+        likely = np.array(CHAIN, object)[np.argmax(odds, axis=1)]
+        sure = (y > 0.5) & (weight == 0) & (best - second > 1.0)
+        told[sure] = likely[sure]
+        weight[sure] = 0.5
+    likely[at[kind != ""]] = kind[kind != ""]
+    return [k if p > 0.5 else "" for k, p in zip(likely, y)]
 
 
 def fit(labelled: list[tuple[str | None, float]]) -> Chain:
@@ -241,7 +270,7 @@ def fit(labelled: list[tuple[str | None, float]]) -> Chain:
     seed_at = [number.setdefault(t, len(number)) for t, _ in seeds]
     units = list(number)
     make = Features()
-    rows = Rows([make.of(t) for t in units])
+    rows = Rows([make.of(t) for t in units], compact=True)
     base_pos, base_neg = np.zeros(len(units)), np.zeros(len(units))
     for at, (_, kind) in zip(seed_at, seeds):
         (base_pos if kind else base_neg)[at] += SEED_WEIGHT
@@ -267,12 +296,14 @@ def fit(labelled: list[tuple[str | None, float]]) -> Chain:
                         neg[m] += 0.5
     weight = np.sqrt(pos + neg)
     y = pos / np.maximum(pos + neg, 1e-9)
-    forced = {at: kind for at, (_, kind) in zip(seed_at, seeds) if kind}
-    kinds = [forced.get(i) or (_category(units[i]) if y[i] > 0.5 else "") for i in range(len(units))]
+    kinds = _categories(rows, seed_at, [k for _, k in seeds], y)
     links, dense = [], none
     for name in (*CHAIN, None):
         target = y if name is None else np.where(np.array([k == name for k in kinds]), y, 0.0)
-        links.append(fit_linear(rows, dense, target, weight))
+        w, v = fit_linear(rows, dense, target, weight)
+        whole = np.zeros(DIMENSIONS)
+        whole[rows.used] = w
+        links.append((whole, v))
         if name is not None:
             dense = np.hstack([dense, _logit(_out_of_fold(rows, dense, target, weight, fold))[:, None]])
     return Chain(links)

@@ -38,6 +38,32 @@ def test_held_out_accuracy(chain):
     assert right / len(held) > 0.97
 
 
+# other sentences than those of the training corpus, so that what is measured was not learnt by heart
+OTHER_BAD = [
+    "Honestly @{u}, only a brainless clown writes this.", "Shut your mouth, you useless idiot.", "Nobody would miss you, you pathetic loser @{u}", "I will find you and break your fingers, @{u}.", "You will not get home safely tonight @{u}", "Women are too stupid for this team, fire them all.",
+    "All refugees are lazy and steal, throw them out.", "Take off your clothes for me, @{u}.", "I keep imagining you naked @{u}", "Du bist ein dummer Idiot, @{u}.", "Ferme ta gueule, connard.", "you stupid scumbag, nobody wants your patches",
+]
+OTHER_GOOD = [
+    "Kill the child process before the parent exits.", "This api is garbage, I will rewrite my own mess tomorrow.", "The attacker can replay the session token {n}.", "@{u} can you take a look at file {n}?", "A user reported harassment, see ticket {n}.", "The report lists {n} insults found by the filter.", "Dead code in module {n} is removed.",
+    "Thanks @{u}, merged as {n}.", "Die Tabelle {n} braucht noch einen Test.", "La fonction {n} renvoie une valeur vide.", "Bump the pinned version to {n}.", "select id from users where sex is null",
+]
+
+
+def test_sentences_that_training_never_saw(chain):
+    fill = lambda t: t.format(u="user7", n=41)
+    found = [score(chain, fill(t)) >= X.THRESHOLD for t in OTHER_BAD]
+    false = [score(chain, fill(t)) >= X.THRESHOLD for t in OTHER_GOOD]
+    assert sum(found) >= 10 and sum(false) <= 1
+
+
+def test_categories_come_from_models_of_the_seeds(chain):
+    def link(text):
+        rows = X.Rows([X.Features().of(t) for t in map(X.tokens, X.sentences(text)) if t])
+        return X.CHAIN[int(chain.scores(rows)[:, :-1].max(axis=0).argmax())]
+
+    assert [link(t) for t in ("you useless bastard, shut your mouth", "I know where you live, you will die", "those refugees are vermin, deport them all", "send me photos of you naked tonight")] == ["insult", "threat", "group", "sexual"]
+
+
 def test_no_labels_still_tells_the_plain_cases():
     chain = X.fit([])
     assert score(chain, "you stupid idiot, go to hell") > 0.5 > score(chain, "please review this change")

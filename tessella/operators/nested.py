@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -77,7 +78,7 @@ def _positions(lists: pa.ListArray, parents: pa.Array) -> pa.Array:
     """Place of every flattened element inside its own list, from the offsets alone."""
     lengths = pc.fill_null(pc.list_value_length(lists), 0)
     firsts = pc.subtract(pc.cumulative_sum(lengths), lengths)
-    return pc.subtract(pa.array(range(len(parents)), pa.int64()), pc.take(pc.cast(firsts, pa.int64()), parents))
+    return pc.subtract(pa.array(np.arange(len(parents))), pc.take(pc.cast(firsts, pa.int64()), parents))
 
 
 def _as_array(column) -> pa.Array:
@@ -91,8 +92,8 @@ def _child_batch(batch: pa.RecordBatch, keys: Sequence[str], lists: str) -> tupl
 
 
 def explode_places(compact: DataFrame, keys: Sequence[str], lists: str) -> DataFrame:
-    """(keys..., item_no INT, leaf_no INT) from ``lists`` ARRAY<ARRAY<INT>>: one row with leaf_no -1 per item that isn't
-    null, and one row per number in it."""
+    """(keys..., item_no INT, leaf_no INT) from ``lists`` ARRAY<ARRAY<BOOLEAN>> (leaf_marks): one row with leaf_no -1 per
+    item that isn't null, and one row per true mark in it. Both numbers come from the list offsets."""
     key_fields = [f for f in compact.schema.fields if f.name in keys]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields) + ", item_no int, leaf_no int"
     names = [f.name for f in key_fields]
@@ -100,24 +101,24 @@ def explode_places(compact: DataFrame, keys: Sequence[str], lists: str) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             taken, _, place, inner = _child_batch(batch, names, lists)
-            is_item = pc.is_valid(inner)
             place = pc.cast(place, pa.int32())
-            minus = pa.array([-1], pa.int32()).take(pa.array([0] * pc.sum(is_item).as_py() if len(is_item) else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(pc.filter(t, is_item) for t in taken), pc.filter(place, is_item), minus], names=[*names, "item_no", "leaf_no"])
+            is_item = pc.is_valid(inner)
+            items = pc.filter(place, is_item)
+            yield pa.RecordBatch.from_arrays([*(pc.filter(t, is_item) for t in taken), items, pa.array(np.full(len(items), -1, np.int32))], names=[*names, "item_no", "leaf_no"])
             owner = pc.cast(pc.list_parent_indices(inner), pa.int64())
             if len(owner):
-                yield pa.RecordBatch.from_arrays([*(pc.take(t, owner) for t in taken), pc.take(place, owner), pc.cast(pc.list_flatten(inner), pa.int32())], names=[*names, "item_no", "leaf_no"])
+                keep = pc.fill_null(pc.list_flatten(inner), False)
+                leaf, owner = pc.filter(_positions(inner, owner), keep), pc.filter(owner, keep)
+                yield pa.RecordBatch.from_arrays([*(pc.take(t, owner) for t in taken), pc.take(place, owner), pc.cast(leaf, pa.int32())], names=[*names, "item_no", "leaf_no"])
 
     return compact.select(*names, lists).mapInArrow(cut, ddl)
 
 
-def leaf_places(items: Column) -> Column:
-    """ARRAY<ARRAY<INT>> of nested_items: null for elements that are no objects, else the places of leaves that hold something."""
-    def kept(item: Column) -> Column:
-        numbered = F.transform(F.coalesce(item["leaves"], F.array().cast("array<string>")), lambda leaf, i: F.when(leaf.isNotNull() & (leaf != "") & (leaf != "{}"), i))
-        return F.when(item["json"].isNotNull(), F.filter(numbered, lambda i: i.isNotNull()))
-
-    return F.transform(items, kept)
+def leaf_marks(items: Column) -> Column:
+    """ARRAY<ARRAY<BOOLEAN>> of nested_items: null for elements that are no objects, else for every leaf whether it holds
+    something. It is all that travels where only places are asked for."""
+    holds = lambda leaf: F.coalesce((leaf != "") & (leaf != "{}"), F.lit(False))
+    return F.transform(items, lambda item: F.when(item["json"].isNotNull(), F.transform(F.coalesce(item["leaves"], F.array().cast("array<string>")), holds)))
 
 
 def child_tables(parents: DataFrame, key: str, items: str = "items") -> tuple[DataFrame, DataFrame]:

@@ -71,7 +71,7 @@ def _nested(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name in ("runs", "spec_results", "analysis_results"):
-        places = _nested(spark, sf_dir, name).select("parent_id", "sent_at", nested.leaf_places(F.col("items")).alias("places")).where("parent_id is not null")
+        places = _nested(spark, sf_dir, name).select("parent_id", "sent_at", nested.leaf_marks(F.col("items")).alias("places")).where("parent_id is not null")
         once = places.groupBy("parent_id").agg(F.max(F.struct("sent_at", "places")).alias("last")).select("parent_id", "last.places")
         parts.append(nested.explode_places(once, ["parent_id"], "places").select(F.lit(name).alias("source_table"), "parent_id", "item_no", "leaf_no"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -13,7 +13,7 @@ LEAVES = ("related_files", "relatedFiles")
 def places(spark, texts, envelopes=("issues",), only=False):
     df = spark.createDataFrame([(str(i), t, "clash") for i, t in enumerate(texts)], "parent_id string, text string, item_no string")
     df = N.with_enveloped(N.with_held(df, "text"), "text", list(envelopes), only)
-    rows = N.explode_places(df.select("parent_id", N.leaf_places(N.nested_items(F.col("text"), LEAVES)).alias("places")), ["parent_id"], "places").collect()
+    rows = N.explode_places(df.select("parent_id", N.leaf_marks(N.nested_items(F.col("text"), LEAVES)).alias("places")), ["parent_id"], "places").collect()
     return sorted((int(r.parent_id), r.item_no, r.leaf_no) for r in rows)
 
 

@@ -58,7 +58,9 @@ def _nearest_known(valid: np.ndarray, recorded: np.ndarray, order: range) -> np.
 
 
 def _linked(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows of whole slices, sorted by (key, slice, v, r), with the instants of their neighbours."""
+    """Rows of whole slices, sorted by (key, slice, v, r), each once and with the instants of their neighbours."""
+    again = ~_new_slice(frame) & (frame["v"] == frame["v"].shift()).to_numpy() & (frame["r"] == frame["r"].shift()).to_numpy()
+    frame = frame[~again] if again.any() else frame
     v, r = frame["v"].to_numpy(np.int64), frame["r"].to_numpy(np.int64)
     left, right = np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
     starts = [*np.flatnonzero(_new_slice(frame)).tolist(), len(v)]
@@ -126,6 +128,9 @@ def _resolve_open(links: DataFrame) -> DataFrame:
         late = one if late is None else late.unionByName(one)
         rows = rows.withColumn(f"{side}_v", F.when(unanswered & (F.col(f"{side}_max") <= F.col("r")), F.col(f"{side}_edge")).otherwise(F.col(f"{side}_v")))
     late = durable(late)  # few, and read twice
+    rows = rows.select("key", "v", "r", "pred_v", "succ_v")
+    if late.isEmpty():
+        return rows
     told = links.join(late.select("key", "slice").distinct(), ["key", "slice"], "left_semi").select("key", "slice", "v", "r", F.lit(None).cast("string").alias("side"))
     known = W.partitionBy("key", "slice").orderBy("r", F.col("side").isNotNull()).rowsBetween(W.unboundedPreceding, 0)  # rows of the slice stand before questions of the same time
     own = F.when(F.col("side").isNull(), F.col("v"))
@@ -144,21 +149,18 @@ def ledger(assertions: DataFrame, names: Assertions = Assertions(), slice_second
     base = (
         assertions.select(F.col(names.key).alias("key"), F.col(names.valid_at).alias("valid_at"), F.col(names.recorded_at).alias("recorded_at"), F.col(names.state).alias("state"))
         .where("key is not null and valid_at is not null and recorded_at is not null")
-        .groupBy("key", F.unix_micros(F.col("valid_at").cast("timestamp")).alias("v"), F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("r"))
-        .agg(F.max("state").alias("state"))
+        .select("key", F.unix_micros(F.col("valid_at").cast("timestamp")).alias("v"), F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("r"), "state")
     )
     sliced = base.select("key", "v", "r", F.floor(F.col("v") / F.lit(slice_seconds * 1_000_000)).alias("slice"))
-    key_type = base.schema["key"].dataType
-    out = T.StructType([T.StructField("key", key_type), *(T.StructField(c, T.LongType()) for c in ("slice", "v", "r", "pred_v", "succ_v"))])
-    links = durable(sliced.repartition("key", "slice").sortWithinPartitions("key", "slice", "v", "r").mapInPandas(_sweep, out))
-    links = _resolve_open(links)
+    out = T.StructType([T.StructField("key", base.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in ("slice", "v", "r", "pred_v", "succ_v"))])
+    links = _resolve_open(durable(sliced.repartition("key", "slice").sortWithinPartitions("key", "slice", "v", "r").mapInPandas(_sweep, out)))
     # each assertion opens a row, and closes the one of its predecessor with a shorter successor
     none = F.lit(None).cast(T.StructType([T.StructField("state", base.schema["state"].dataType)]))
     piece = lambda at, ends: F.struct(F.col(at).alias("at"), F.col(ends).alias("ends"))
     ends = links.select("key", F.col("r").alias("recorded"), F.explode(F.array_compact(F.array(piece("v", "succ_v"), F.when(F.col("pred_v").isNotNull(), piece("pred_v", "v"))))).alias("x"))
     ends = ends.select("key", "x.at", "recorded", "x.ends", none.alias("own"))
     told = base.select("key", F.col("v").alias("at"), F.col("r").alias("recorded"), F.lit(None).cast("bigint").alias("ends"), F.struct("state").alias("own"))
-    rows = ends.unionByName(told).repartition("key", "at").groupBy("key", "at", "recorded").agg(F.min("ends").alias("ends"), F.first("own", ignorenulls=True).alias("own"))
+    rows = ends.unionByName(told).repartition("key", "at").groupBy("key", "at", "recorded").agg(F.min("ends").alias("ends"), F.max("own").alias("own"))
     w = W.partitionBy("key", "at").orderBy("recorded")
     held = rows.select(
         "key", "at", "recorded", "ends",
@@ -190,18 +192,16 @@ def as_of(book: DataFrame, recorded_at: Column | None = None) -> DataFrame:
     return book.where((F.col("recorded_from") <= recorded_at) & (F.col("recorded_to").isNull() | (F.col("recorded_to") > recorded_at)))
 
 
-def versions(history: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def versions(history: DataFrame) -> DataFrame:
     """Merge neighbouring periods of equal state: (key, valid_from, state), one row per change, absent states included.
 
-    A row needs only the state before it. Slices of valid time bring the work of one long-lived key to many
-    tasks; the last state of each slice is handed on through a table of one row per key and slice.
+    ``history`` (``as_of`` of a ledger) has a period end where the next begins, so the end of one and the start of the next
+    meet by equality of key and time: one shuffle, whatever the length of a key's history.
     """
-    rows = history.select("key", "valid_from", "state", F.floor(F.unix_seconds("valid_from") / F.lit(slice_seconds)).alias("slice"))
-    ends = rows.groupBy("key", "slice").agg(F.max_by(F.struct("state"), "valid_from").alias("tail"))
-    before = ends.select("key", "slice", F.lag("tail").over(W.partitionBy("key").orderBy("slice")).alias("carried"))
-    w = W.partitionBy("key", "slice").orderBy("valid_from")
-    prior = rows.withColumn("prior", F.lag(F.struct("state")).over(w)).join(before, ["key", "slice"], "left").withColumn("prior", F.coalesce("prior", "carried"))
-    return prior.where(F.col("prior").isNull() | ~F.col("prior.state").eqNullSafe(F.col("state"))).select("key", "valid_from", "state")
+    ends = F.array_compact(F.array(F.struct(F.col("valid_from").alias("at"), F.lit(True).alias("begins")), F.when(F.col("valid_to").isNotNull(), F.struct(F.col("valid_to").alias("at"), F.lit(False).alias("begins")))))
+    edges = history.select("key", F.struct("state").alias("held"), F.explode(ends).alias("x")).select("key", "x.at", "x.begins", "held")
+    met = edges.groupBy("key", "at").agg(F.max(F.when(F.col("begins"), F.col("held"))).alias("begins"), F.max(F.when(~F.col("begins"), F.col("held"))).alias("ended"))
+    return met.where(F.col("begins").isNotNull() & (F.col("ended").isNull() | ~F.col("ended.state").eqNullSafe(F.col("begins.state")))).select("key", F.col("at").alias("valid_from"), F.col("begins.state").alias("state"))
 
 
 def snapshot_assertions(snapshots: DataFrame, key: str, snapshot_at: str, exported_at: str, state: Column) -> DataFrame:
@@ -210,13 +210,12 @@ def snapshot_assertions(snapshots: DataFrame, key: str, snapshot_at: str, export
     The absence counts as recorded at the snapshot itself, so that a row delivered late supersedes it.
     """
     rows = snapshots.select(F.col(key).alias("entity_id"), F.col(snapshot_at).alias("valid_at"), F.col(exported_at).alias("recorded_at"), F.struct(F.lit(True).alias("present"), state.alias("value")).alias("state")).where("valid_at is not null")
-    calendar = rows.select("valid_at").distinct()
-    following = calendar.select("valid_at", F.lead("valid_at").over(W.orderBy("valid_at")).alias("next_at"))  # one row per snapshot
-    known = rows.where("entity_id is not null").select("entity_id", "valid_at").distinct()
     value_type = rows.schema["state"].dataType["value"].dataType
-    gone = (
-        known.join(following, "valid_at").where("next_at is not null").select("entity_id", F.col("next_at").alias("valid_at"))
-        .join(known, ["entity_id", "valid_at"], "left_anti")
-        .select("entity_id", "valid_at", F.col("valid_at").alias("recorded_at"), F.struct(F.lit(False).alias("present"), F.lit(None).cast(value_type).alias("value")).alias("state"))
-    )
+    # the times of all snapshots in order, and of each entity: as many as there are snapshots
+    calendar = rows.agg(F.sort_array(F.collect_set("valid_at")).alias("c")).scalar()
+    own = rows.where("entity_id is not null").groupBy("entity_id").agg(F.collect_set("valid_at").alias("own")).withColumn("calendar", calendar)
+    missed = F.filter(F.transform("own", lambda at: F.try_element_at("calendar", F.array_position("calendar", at).cast("int") + 1)), lambda at: at.isNotNull() & ~F.array_contains("own", at))
+    gone = own.select("entity_id", F.explode(missed).alias("valid_at")).select(
+        "entity_id", "valid_at", F.col("valid_at").alias("recorded_at"), F.struct(F.lit(False).alias("present"), F.lit(None).cast(value_type).alias("value")).alias("state")
+    )
     return rows.unionByName(gone)

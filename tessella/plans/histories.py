@@ -1,7 +1,7 @@
 """Queries of problems 1, 3, 6 and 7 over the service tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.lineage import durable
@@ -12,12 +12,12 @@ from tessella.sources.tables import table
 
 # problem 1: history of changing attributes
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assertions about both entities: entity_id (entity, id), valid_at, recorded_at, state (present, value (a, b)).
+    """Assertions about both entities: entity_id ('entity:id'), valid_at, recorded_at, state (present, value (a, b)).
 
     The value of a config is its text and version, that of a subscription its plan and status.
     """
     pair = lambda a, b: F.struct(a.cast("string").alias("a"), b.cast("string").alias("b"))
-    entity = lambda name, c: F.when(c.isNotNull(), F.struct(F.lit(name).alias("entity"), c.alias("id")))
+    entity = lambda name, c: F.concat(F.lit(name + ":"), c)
     configs = bitemporal.snapshot_assertions(table(spark, sf_dir, "org_configs"), "org_id", "snapshot_at", "exported_at", pair(fold_layout(F.col("config_yaml")), F.col("version")))
     folded = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     updates = table(spark, sf_dir, "subscriptions").select(
@@ -29,21 +29,25 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = bitemporal.versions(bitemporal.as_of(bitemporal.ledger(_told(spark, sf_dir)))).where("state.present")
-    return changes.select("key.entity", F.col("key.id").alias("entity_id"), F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
+    return changes.select(F.substring_index("key", ":", 1).alias("entity"), _id(F.col("key")).alias("entity_id"), F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
+
+
+def _id(key: Column) -> Column:
+    return F.regexp_replace(key, r"^\w+:", "")
 
 
 def _subscription_book(book: DataFrame) -> DataFrame:
-    return book.select(F.col("key.id").alias("id"), "valid_from", "valid_to", "recorded_from", "recorded_to", F.col("state.value.a").alias("plan"), F.col("state.value.b").alias("status"))
+    return book.select(_id(F.col("key")).alias("id"), "valid_from", "valid_to", "recorded_from", "recorded_to", F.col("state.value.a").alias("plan"), F.col("state.value.b").alias("status"))
 
 
 def p1_subscription_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every belief about every subscription: valid and recorded periods."""
-    return _subscription_book(bitemporal.ledger(_told(spark, sf_dir).where("entity_id.entity = 'subscription'")))
+    return _subscription_book(bitemporal.ledger(_told(spark, sf_dir).where("entity_id like 'subscription:%'")))
 
 
 def p1_merged_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ledger from a stored one of what was recorded by the middle of the year, and the rest merged into it."""
-    told = _told(spark, sf_dir).where("entity_id.entity = 'subscription'")
+    told = _told(spark, sf_dir).where("entity_id like 'subscription:%'")
     early = F.col("recorded_at") < F.lit("2025-07-01").cast("timestamp")
     return _subscription_book(bitemporal.merge(durable(bitemporal.ledger(told.where(early))), told.where(~early)))
 

@@ -173,13 +173,21 @@ class Rows:
             self.used, self.columns = np.unique(self.columns, return_inverse=True)
             self.width = len(self.used)
         self.row = np.repeat(np.arange(self.n), sizes)
+        self.starts = np.cumsum(sizes) - sizes
+        self.full = bool(self.n and sizes.min() > 0)
+        if compact:  # the same entries by column, so that both products are sums of neighbours
+            order = np.argsort(self.columns, kind="stable")
+            self.by_column, self.column_starts = self.row[order], np.searchsorted(self.columns[order], np.arange(self.width))
         self.scale = 1 / np.sqrt(sizes + 8)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
+        if self.full:
+            return np.add.reduceat(w[self.columns], self.starts) * self.scale
         return np.bincount(self.row, w[self.columns], self.n) * self.scale
 
     def pull(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, (r * self.scale)[self.row], self.width)
+        """Sums over the rows of every column in use (of compact rows)."""
+        return np.add.reduceat((r * self.scale)[self.by_column], self.column_starts)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -189,17 +197,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_linear(rows: Rows, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, ridge: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression by Adam over full batches: weights of the hashed and of the dense features (last: bias)."""
     ridge = RIDGE if ridge is None else ridge
-    w, v = np.zeros(rows.width), np.zeros(dense.shape[1] + 1)
+    w, v = np.zeros(rows.width, np.float32), np.zeros(dense.shape[1] + 1)
     z = np.hstack([dense, np.ones((rows.n, 1))])
     total = max(weight.sum(), 1e-9)
-    mw, sw, mv, sv = np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)
+    state = [(np.zeros_like(x), np.zeros_like(x), np.empty_like(x)) for x in (w, v)]
     for t in range(1, steps + 1):
         r = (_sigmoid(rows.dot(w) + z @ v) - y) * weight / total
-        gw, gv = rows.pull(r) + ridge / total * w, z.T @ r
-        for g, m, s, x, rate in ((gw, mw, sw, w, 0.25), (gv, mv, sv, v, 0.1)):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
+        gw = rows.pull(r).astype(np.float32)
+        gw += np.float32(ridge / total) * w
+        for g, x, (m, s, step), rate in zip((gw, z.T @ r), (w, v), state, (0.25, 0.1)):  # in place: the arrays are as long as the features
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=step)
+            s *= 0.99
+            g *= g
+            s += np.multiply(g, 0.01, out=step)
+            np.sqrt(s, out=step)
+            step *= 1 / np.sqrt(1 - 0.99**t)
+            step += 1e-6
+            np.divide(m, step, out=step)
+            step *= rate / (1 - 0.9**t)
+            x -= step
     return w, v
 
 

@@ -114,3 +114,47 @@ def export_bundle(user: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
         listed = df.groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "user_id"]))).alias(name))
         out = out.join(listed, "id", "left")
     return out.select("id", F.to_json(F.struct(*out.columns)).alias("bundle"))
+
+
+def insert_runs(runs: DataFrame, uploads: DataFrame) -> DataFrame:
+    """``runs`` with the uploads appended: each gets an id of its own where it has none, and a repeated id is taken once.
+
+    Counters that an upload doesn't give are 0. An id is the hash of the upload's content, so that a task that runs again,
+    or an upload that is sent again, makes the same row.
+    """
+    own = [c for c in runs.columns if c in uploads.columns]
+    content = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in own if c != "id")), 256)
+    ident = F.regexp_replace(F.substring(content, 1, 32), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    given = F.nullif(F.trim("id"), F.lit("")) if "id" in own else F.lit(None).cast("string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in ("errors", "warnings", "infos", "total_issues", "files_changed") else F.col(c)
+    new = uploads.select(F.coalesce(given, ident).alias("id"), *(zero(c).cast(runs.schema[c].dataType).alias(c) for c in own if c != "id")).dropDuplicates(["id"])
+    fresh = new.join(runs.select("id"), "id", "left_anti")
+    return runs.unionByName(fresh, allowMissingColumns=True)
+
+
+def upsert_identity(table: DataFrame, changes: DataFrame, key: str = "org_id", at: str = "updated_at") -> DataFrame:
+    """One identity provider per organization: the latest setting replaces the one before, but its ``created_at`` stays the first."""
+    both = table.unionByName(changes)
+    first = both.groupBy(key).agg(F.min("created_at").alias("created_at"))
+    return latest(both.drop("created_at"), key, at).join(first, key).select(*table.columns)
+
+
+def _bytes_xor(hex_text: Column, pad: int) -> Column:
+    """The binary whose bytes are those of ``hex_text`` (64 bytes) xor ``pad``."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(F.conv(F.substring(hex_text, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(pad))), 2, "0"))
+    return F.unhex(F.array_join(each, ""))
+
+
+def hmac_sha256(secret: Column, body: Column) -> Column:
+    """HMAC-SHA256 of ``body`` under ``secret`` in hexadecimal digits: the signature of a webhook's delivery; null of nulls."""
+    key = F.when(F.octet_length(secret) > 64, F.unhex(F.sha2(secret, 256))).otherwise(F.encode(secret, "UTF-8"))
+    padded = F.rpad(F.hex(key), 128, "0")
+    inner = F.unhex(F.sha2(F.concat(_bytes_xor(padded, 0x36), F.encode(body, "UTF-8")), 256))
+    return F.when(secret.isNotNull() & body.isNotNull(), F.lower(F.sha2(F.concat(_bytes_xor(padded, 0x5C), inner), 256)))
+
+
+def deliveries(events: DataFrame, hooks: DataFrame) -> DataFrame:
+    """(hook_id, url, event, body, signature, waits): what is sent to every active hook that takes an event, with the seconds to wait before each further try."""
+    meet = (events["org_id"] == hooks["org_id"]) & wants(hooks["events"], events["event"], hooks["active"])
+    both = events.join(hooks, meet).select(hooks["id"].alias("hook_id"), hooks["url"], events["event"], events["body"], hooks["secret"])
+    return both.select("hook_id", "url", "event", "body", F.concat(F.lit("sha256="), hmac_sha256(F.col("secret"), F.col("body"))).alias("signature"), F.array(F.lit(1), F.lit(2), F.lit(4)).alias("waits"))

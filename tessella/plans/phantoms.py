@@ -29,14 +29,14 @@ STANDARD = {
     "r": "base compiler datasets grDevices graphics grid methods parallel splines stats stats4 tcltk tools utils boot class cluster codetools foreign KernSmooth lattice MASS Matrix mgcv nlme nnet rpart spatial survival",
     "elixir": "Enum String Map List Keyword IO File Path GenServer Supervisor Agent Task Registry DynamicSupervisor Kernel Module Process Node System Code Macro Protocol Stream Range Regex URI Base Bitwise DateTime NaiveDateTime Date Time Calendar Tuple MapSet Access Atom Integer Float Function Port StringIO OptionParser EEx Logger Application Config Mix ExUnit IEx GenEvent Collectable Enumerable Inspect Exception Behaviour",
     "lua": "table string math io os debug coroutine package utf8 bit32",
-    "zig": "std builtin root", "nim": "system os strutils sequtils tables sets algorithm math json httpclient asyncdispatch net streams unicode parseutils times threadpool locks channels macros sugar options strformat re nre osproc parseopt terminal unittest logging hashes marshal std",
+    "zig": "std builtin std.mem std.fmt std.fs std.io std.net std.http std.json std.math std.os std.debug std.heap std.time std.testing std.crypto std.rand std.log std.sort std.unicode std.process std.Thread std.ArrayList std.AutoHashMap std.StringHashMap", "nim": "system os strutils sequtils tables sets algorithm math json httpclient asyncdispatch net streams unicode parseutils times threadpool locks channels macros sugar options strformat re nre osproc parseopt terminal unittest logging hashes marshal std",
     "crystal": "comparable enumerable io file dir http json yaml socket process regex time random math spec log option channel fiber mutex xml csv base64 digest openssl uri uuid benchmark colorize html markdown mime",
-    "vlang": "os math json net sync time io crypto rand arrays strings encoding regex log cli flag term datatypes dl builtin v compress",
+    "vlang": "os math json net net.http sync time io crypto rand arrays strings encoding regex log cli flag term datatypes dl builtin v.ast v.fmt v.parser v.reflection compress crypto.md5 crypto.sha256 encoding.csv encoding.utf8 net.urllib net.websocket",
     "dlang": "std core etc",
-    "haskell": "Prelude Data Control System GHC Debug Text Foreign Numeric Type Unsafe",
-    "clojure": "clojure", "fsharp": "System Microsoft FSharp",
+    "haskell": "Prelude Data.List Data.Map Data.Map.Strict Data.Set Data.Maybe Data.Either Data.Char Data.String Data.Word Data.Int Data.Tuple Data.IORef Data.Typeable Data.ByteString Data.ByteString.Lazy Data.Text Data.Text.IO Control.Monad Control.Monad.IO.Class Control.Applicative Control.Concurrent Control.Exception Control.DeepSeq System.IO System.Environment System.Exit System.FilePath System.Directory System.Process GHC.Generics GHC.IO GHC.Base Debug.Trace Text.Read Text.Show Foreign Foreign.C Foreign.Ptr",
+    "clojure": "clojure", "fsharp": "System System.IO System.Collections System.Collections.Generic System.Linq System.Text System.Threading System.Threading.Tasks System.Net System.Net.Http System.Diagnostics System.Runtime Microsoft.FSharp.Core Microsoft.FSharp.Collections FSharp.Core FSharp.Collections",
     "ocaml": "Stdlib List Array String Bytes Buffer Printf Format Hashtbl Map Set Sys Unix Filename Arg Lexing Parsing Scanf Obj Gc Lazy Fun In_channel Out_channel Seq Option Result Either Int Float Bool Char Complex Uchar Random Printexc Digest Marshal",
-    "perl": "strict warnings Carp Exporter File Getopt Data Storable POSIX Cwd Scalar List Encode IO Socket Time Digest MIME JSON::PP HTTP::Tiny Test FindBin lib constant vars utf8 overload parent base feature",
+    "perl": "strict warnings Carp Exporter File::Basename File::Path File::Spec File::Find File::Copy File::Temp Getopt::Long Getopt::Std Data::Dumper Storable POSIX Cwd Scalar::Util List::Util Encode IO::File IO::Socket Socket Time::HiRes Time::Local Digest::MD5 Digest::SHA MIME::Base64 JSON::PP HTTP::Tiny Test::More Test::Simple FindBin lib constant vars utf8 overload parent base feature",
     "powershell": "Microsoft.PowerShell.Management Microsoft.PowerShell.Utility Microsoft.PowerShell.Security Microsoft.PowerShell.Archive Microsoft.PowerShell.Host Microsoft.PowerShell.Diagnostics PSReadLine PackageManagement PowerShellGet ThreadJob Microsoft.WSMan.Management ActiveDirectory PSDesiredStateConfiguration",
     "julia": "Base Core Main LinearAlgebra Statistics Random Dates Printf REPL Test Pkg Sockets Distributed SharedArrays SparseArrays DelimitedFiles Markdown UUIDs InteractiveUtils Logging Serialization Unicode TOML Libdl Profile",
     "solidity": "@openzeppelin hardhat forge-std", "protobuf": "google/protobuf google/api",

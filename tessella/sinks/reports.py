@@ -41,6 +41,26 @@ def sarif(issues: DataFrame, cwe_of: DataFrame, tool: str = "tessella", version:
     return both.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 
+def sarif_lines(issues: DataFrame, cwe_of: DataFrame, tool: str = "tessella", version: str = "0") -> DataFrame:
+    """(place, text): the same document as lines in order, one per result, for reports that are too large for a row.
+
+    Sorted by place and written as text, the parts joined are the document; only the distinct rules are brought together.
+    """
+    rules = sarif_rules(issues, cwe_of).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("id"), F.struct(F.col("level")).alias("defaultConfiguration"), F.struct("cwe").alias("properties"))))).alias("rules"))
+    name = F.to_json(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version")))
+    head = rules.select(F.lit("").alias("place"), F.concat(F.lit('{"version":"2.1.0","runs":[{"tool":{"driver":'), F.substring_index(name, "}", 1), F.lit(',"rules":'), "rules", F.lit("}},\"results\":[")).alias("text"))
+    level = F.create_map(*(F.lit(x) for pair in SARIF_LEVEL.items() for x in pair))
+    at = F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.greatest("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation")))
+    result = F.to_json(F.struct(F.col("id").alias("ruleId"), F.coalesce(F.try_element_at(level, F.col("severity")), F.lit("note")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), at.alias("locations")))
+    key = F.concat_ws("\x1f", I.rank(F.col("severity")).cast("string"), "file", F.lpad(F.coalesce("line", F.lit(0)).cast("string"), 10, "0"), "id", "message")
+    rows = issues.select(F.concat(F.lit("1"), key).alias("place"), result.alias("text"))
+    least = rows.agg(F.min(F.struct("place", "text")).alias("m")).select("m.place", "m.text")  # it alone has no comma before it
+    first = least.select("place", "text", F.lit(True).alias("first"))
+    rows = rows.join(F.broadcast(first), ["place", "text"], "left").select("place", F.when(F.col("first"), F.col("text")).otherwise(F.concat(F.lit(","), "text")).alias("text"))
+    tail = rules.select(F.lit("2").alias("place"), F.lit("]}]}").alias("text"))
+    return head.unionByName(rows).unionByName(tail)
+
+
 def terminal_lines(issues: DataFrame, compact: bool = False) -> DataFrame:
     """(file, line, text) as a terminal shows it."""
     head = F.format_string("%s:%d: %s [%s] %s", "file", F.coalesce("line", F.lit(0)), "severity", "id", "message")

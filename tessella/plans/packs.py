@@ -123,7 +123,7 @@ MIGRATIONS = (SQL_MIGRATION, RAILS_MIGRATION, ALEMBIC_MIGRATION, KNEX_MIGRATION)
 
 # fixed values: leftovers of debugging, in this order, with the fix that removes each
 CONSOLE = Group(
-    "console", "patterns", id="patterns/console-debug", quotes=True, skip=r"^scripts/|cmd/.*?(^|/)main\.go$",
+    "console", "patterns", id="patterns/console-debug", quotes=True, skip=r"^scripts/|cmd/.*?(^|/)main\.go$|\.(md|markdown|txt|rst|yaml|yml|json|toml|xml|html|css|scss|less|svg|csv|lock|sum|mod|cfg|ini|env)$",
     rules=tuple(
         Rule(p, "Debug/console output left in code: ", severity="info", fix_id=f, suggestion="Remove debug output or replace with proper logging")
         for p, f in (

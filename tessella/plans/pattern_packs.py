@@ -22,7 +22,7 @@ PYTHON_PASS = Group(
     rules=(Rule(r"^\s*pass\s*$", "Standalone 'pass' statement may be a placeholder", severity="warning"),),
 )
 CREDENTIAL = Group(
-    "credential", "patterns", id="patterns/hardcoded-credential",
+    "credential", "patterns", id="patterns/hardcoded-credential", skip=NOT_SOURCE,
     unless=(r"(?i)password\s*=\s*\"\"\s*$", r"(?i)secret\s*=\s*\"\"\s*$", r"(?i)os\.Getenv\(.*password", r"(?i)os\.Getenv\(.*secret", r"(?i)password\s*=\s*\"\$\{", r"(?i)secret\s*=\s*\"\$\{", r"(?i)password\s*=\s*\"<[^>]*>\"", r"(?i)secret\s*=\s*\"<[^>]*>\"", r"(?i)(password|secret)\s*=\s*\"(test|example|dummy)\""),
     rules=tuple(Rule(p, "Possible hardcoded credential detected", severity="error") for p in (r"(?i)[\"']sk-[a-zA-Z0-9]{20,}[\"']", r"(?i)[\"']AKIA[A-Z0-9]{16}[\"']", r"(?i)[\"']ghp_[a-zA-Z0-9]{36,}[\"']", r"(?i)password\s*=\s*\"[^\"]+\"", r"(?i)secret\s*=\s*\"[^\"]+\"")),
 )

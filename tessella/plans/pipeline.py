@@ -5,13 +5,17 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tessella.functions import lang as langs
+from tessella.functions import paths
 from tessella.operators import guards
 from tessella.operators import issues as I
 from tessella.operators import lines as L
 from tessella.operators import rules as R
 from tessella.lineage import durable, spread
+from tessella.sources import config, tree
 from tessella.plans import complexity, guard_packs, hunk_checks, packs, pattern_packs, relational, security_packs
 
 COLUMNS = ["file_id", "file", "line", "id", "severity", "category", "message"]
@@ -58,6 +62,33 @@ CHECKS["hallucination"] = (*CHECKS["hallucination"], lambda ctx: hunk_checks.stu
 ANALYZERS: tuple[str, ...] = tuple(dict.fromkeys((*GROUPS, *GUARDS, *CHECKS)))
 
 
+def configured(files: DataFrame, settings: dict, **more) -> Context:
+    """The context of one run's settings (config.load): which analyzers and languages are on, what is ignored, own rules.
+
+    Files of a known language that isn't listed are left out; those of no known language stay, for some rules read them.
+    """
+    place = paths.unix(F.col("path"))
+    listed = settings.get("languages") or list(langs.LANGUAGES)
+    lang = langs.language(place)
+    kept = files.where(~tree.ignored(place, settings.get("ignore") or [])).where(lang.isNull() | lang.isin(*listed))
+    return Context(kept, custom=config.custom_rules(settings), enabled=config.enabled(settings), **more)
+
+
+def _failed(ctx: Context, name: str, error: Exception) -> DataFrame:
+    """The one issue that tells of an analyzer that can't run."""
+    text = str(error).split("\n")[0][:200]
+    row = [(None, "", 0, f"internal-{name}-error", "info", "internal", f'Analyzer "{name}" failed: {text}')]
+    return ctx.files.sparkSession.createDataFrame(row, "file_id long, file string, line int, id string, severity string, category string, message string")
+
+
+def _checked(ctx: Context, name: str, check: Callable[[Context], DataFrame]) -> DataFrame:
+    """A check's issues; one whose plan can't be made costs its own issues only. Failures of the cluster aren't caught."""
+    try:
+        return check(ctx).select(*COLUMNS)
+    except (AnalysisException, ValueError, KeyError) as error:
+        return _failed(ctx, name, error)
+
+
 def found_by(ctx: Context, names: Iterable[str]) -> DataFrame | None:
     """The issues of the named analyzers: one scan of the lines for all rules, one pass for all guarded rules, and the checks.
 
@@ -70,7 +101,7 @@ def found_by(ctx: Context, names: Iterable[str]) -> DataFrame | None:
     if guarded:
         parts.append(guards.guarded_issues(ctx.lines, guarded))
     found: DataFrame | None = None
-    for part in (*parts, *(check(ctx) for n in names for check in CHECKS.get(n, ()))):
+    for part in (*parts, *(_checked(ctx, n, check) for n in names for check in CHECKS.get(n, ()))):
         part = durable(part.select(*COLUMNS))
         found = part if found is None else found.unionByName(part)
     return found

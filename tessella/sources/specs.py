@@ -56,15 +56,81 @@ def parse_markdown(text: str | None) -> list[tuple[str, str, str]]:
     return [(a, b, c) for a, b, c in out]
 
 
+# fixed values: the form of a requirement's id, and what its priority and status may be
+REQUIREMENT_ID = r"[A-Za-z][A-Za-z0-9_-]*-\d+"
+PRIORITIES, STATUSES = ("high", "medium", "low"), ("planned", "in-progress", "implemented", "verified")
+
+
+def parse_yaml_spec(text: str | None) -> tuple[list[dict], str]:
+    """(requirements, what is wrong) of a specification in YAML; requirements (id, description, priority, status, targets,
+    tags) are given only where nothing is wrong."""
+    from tessella.sources.config import read_yaml
+
+    data = read_yaml(text)
+    if not isinstance(data, dict) or data.get("version") != 1:
+        return [], f"unsupported version: {data.get('version') if isinstance(data, dict) else None}"
+    if not data.get("title"):
+        return [], "title is required"
+    out, seen = [], set()
+    rows = data.get("requirements") or []
+    for k, r in enumerate(rows if isinstance(rows, list) else [rows]):
+        r = r if isinstance(r, dict) else {}
+        ident = str(r.get("id") or "")
+        if not ident:
+            return [], f"requirement {k}: id is required"
+        if not re.fullmatch(REQUIREMENT_ID, ident):
+            return [], f"requirement {ident}: malformed id"
+        if ident in seen:
+            return [], f"requirement {ident}: duplicate id"
+        seen.add(ident)
+        if not r.get("description"):
+            return [], f"requirement {ident}: description is required"
+        if r.get("priority") and r["priority"] not in PRIORITIES:
+            return [], f"requirement {ident}: invalid priority {r['priority']}"
+        if r.get("status") and r["status"] not in STATUSES:
+            return [], f"requirement {ident}: invalid status {r['status']}"
+        many = lambda v: [str(x) for x in (v if isinstance(v, list) else [v]) if x is not None]
+        out.append({"id": ident, "description": str(r["description"]), "priority": r.get("priority"), "status": r.get("status"), "targets": many(r.get("targets")), "tags": many(r.get("tags"))})
+    return out, ""
+
+
 def requirements(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, req_id, title, description) of the sections of Markdown specifications."""
+    """(key, req_id, title, description, priority, status, targets, tags) of specifications: as YAML where a text is a valid
+    one, else the sections of Markdown, which have a title but no priority, status, targets or tags."""
     kind = texts.schema[key].dataType.simpleString()
+    names = [key, "req_id", "title", "description", "priority", "status", "targets", "tags"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([(k, *r) for k, t in zip(frame[key], frame[text]) for r in parse_markdown(t)], columns=[key, "req_id", "title", "description"])
+            rows = []
+            for k, t in zip(frame[key], frame[text]):
+                told, _ = parse_yaml_spec(t)
+                rows += [(k, r["id"], None, r["description"], r["priority"], r["status"], r["targets"], r["tags"]) for r in told] or [(k, *r, None, None, [], []) for r in parse_markdown(t)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, req_id string, title string, description string, priority string, status string, targets array<string>, tags array<string>")
+
+
+SPEC_BASELINE = "version int, spec_file string, implemented array<string>, accepted_unexpected array<string>, updated_at timestamp"
+
+
+def spec_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(spec_file, kind, item): what a stored baseline of a specification holds as implemented or accepted though unexpected."""
+    raw = spark.read.schema(SPEC_BASELINE).json(path, multiLine=True)
+    part = lambda c: raw.select("spec_file", F.lit(c).alias("kind"), F.explode(c).alias("item"))
+    return part("implemented").unionByName(part("accepted_unexpected"))
+
+
+def write_spec_baseline(held: DataFrame, path: str, spec_file: str) -> None:
+    """The baseline of a specification (kind, item), one document, its lists sorted and each item once."""
+    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("item")))).alias(k)
+    one = held.groupBy().agg(of("implemented"), of("accepted_unexpected"))
+    one.select(F.lit(1).alias("version"), F.lit(spec_file).alias("spec_file"), "implemented", "accepted_unexpected", F.current_timestamp().alias("updated_at")).coalesce(1).write.mode("overwrite").json(path)
+
 
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, req_id string, title string, description string")
+def beyond_spec_baseline(found: DataFrame, held: DataFrame) -> DataFrame:
+    """What was found (kind, item) and a stored baseline doesn't hold: regressions of nothing, news of either kind."""
+    return found.join(held.select("kind", "item").distinct(), ["kind", "item"], "left_anti")
 
 
 def parse_manifest(name: str, text: str) -> list[str]:

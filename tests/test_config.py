@@ -51,3 +51,58 @@ def test_working_copy(spark, tmp_path):
     assert [(f["path"], f["status"], len(f["hunks"][0]["lines"])) for f in files] == [("a.py", "modified", 2)]
     assert diff.parse_diff(git.diff_text(str(tmp_path), "tree"))[0]["status"] == "added"
     assert [(r.author, r.subject) for r in specs.commits(git.commit_lines(spark, str(tmp_path))).collect()] == [("a", "first: a")]
+
+
+SPEC = """version: 1
+title: Payments
+requirements:
+  - id: REQ-1
+    description: "Charge once"
+    priority: high
+    targets: ["src/pay/", lib/*]
+  - id: REQ-2
+    description: Refund
+    status: planned
+    tags:
+      - slow
+"""
+
+
+def test_specifications_in_yaml_and_markdown(spark):
+    told, wrong = specs.parse_yaml_spec(SPEC)
+    assert wrong == "" and [(r["id"], r["priority"], r["status"], r["targets"], r["tags"]) for r in told] == [("REQ-1", "high", None, ["src/pay/", "lib/*"], []), ("REQ-2", None, "planned", [], ["slow"])]
+    for bad, why in (("version: 2", "version"), (SPEC.replace("REQ-2", "REQ-1"), "duplicate"), (SPEC.replace("REQ-2", "two"), "malformed"), (SPEC.replace("high", "urgent"), "priority"), (SPEC.replace("planned", "done"), "status"), (SPEC.replace("    description: Refund\n", ""), "description"), ("version: 1\n", "title"), (None, "version")):
+        assert specs.parse_yaml_spec(bad)[0] == [] and why in specs.parse_yaml_spec(bad)[1]
+    rows = specs.requirements(spark.createDataFrame([(1, SPEC), (2, "## One\n\ntext"), (3, None)], "k int, text string"), "k").collect()
+    assert sorted((r.k, r.req_id, r.title, r.description) for r in rows) == [(1, "REQ-1", None, "Charge once"), (1, "REQ-2", None, "Refund"), (2, "SEC-1", "One", "text")]
+
+
+def test_baseline_of_a_specification(spark, tmp_path):
+    held = spark.createDataFrame([("implemented", "REQ-2"), ("implemented", "REQ-1"), ("implemented", "REQ-1"), ("accepted_unexpected", "x")], "kind string, item string")
+    specs.write_spec_baseline(held, str(tmp_path / "b"), "spec.yaml")
+    back = specs.spec_baseline(spark, str(tmp_path / "b"))
+    assert sorted((r.spec_file, r.kind, r.item) for r in back.collect()) == [("spec.yaml", "accepted_unexpected", "x"), ("spec.yaml", "implemented", "REQ-1"), ("spec.yaml", "implemented", "REQ-2")]
+    found = spark.createDataFrame([("implemented", "REQ-1"), ("implemented", "REQ-9")], "kind string, item string")
+    assert [tuple(r) for r in specs.beyond_spec_baseline(found, back).collect()] == [("implemented", "REQ-9")]
+
+
+def test_settings_make_the_context(spark):
+    from tessella.plans import pipeline
+    from tests.test_lines import files
+
+    diff = files(spark, ("a.py", ["+hashlib.md5(b)"]), ("vendor/b.py", ["+hashlib.md5(b)"]), ("c.go", ["+_ = f.Close()"]), ("d.sql", ["+x"]))
+    settings = config.load("languages: [python]\nignore: [vendor/]\nanalyzers:\n  security: true\n  errorhandling: true\ncustom_rules:\n  - id: own/x\n    pattern: md5\n")
+    got = sorted((r.file, r.id) for r in pipeline.analyse(pipeline.configured(diff, settings)).collect())
+    assert got == [("a.py", "own/x"), ("a.py", "security/insecure-crypto")]
+
+
+def test_an_analyzer_that_fails_costs_only_its_own_issues(spark, monkeypatch):
+    from tessella.plans import pipeline
+    from tests.test_lines import files
+
+    def broken(ctx):
+        raise ValueError("no plan")
+
+    monkeypatch.setitem(pipeline.CHECKS, "spec", (broken,))
+    got = pipeline.analyse(pipeline.Context(files(spark, ("a.py", ["+hashlib.md5(b)"]))), ["security", "spec"]).collect()
+    assert sorted((r.id, r.severity) for r in got) == [("internal-spec-error", "info"), ("security/insecure-crypto", "warning")]

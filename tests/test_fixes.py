@@ -22,3 +22,14 @@ def test_fix(spark, fix, path, old, new):
 def test_names(spark):
     rows = spark.createDataFrame([("APIKey",), ("a-b.c",), ("XML",), ("userId2Name",)], "n string").select(fixes.env_name(F.col("n")).alias("e")).collect()
     assert [r.e for r in rows] == ["API_KEY", "A_B_C", "XML", "USER_ID2_NAME"]
+
+
+@pytest.mark.parametrize(("fix", "path", "name", "old", "new"), [
+    ("import-broken", "a.ts", None, "import { x } from './gone'", ""), ("import-broken", "a.py", None, "from .gone import x", ""), ("import-broken", "a.go", None, '\t"m.test/gone"', ""), ("import-broken", "a.rs", None, "use gone::x;", ""), ("import-broken", "a.ts", None, "import {", None), ("import-broken", "a.java", None, "import x.Y;", None),
+    ("import-missing-export", "a.ts", "y", "import { x, y } from './b'", "import { x } from './b'"), ("import-missing-export", "a.ts", "y", "import { y } from './b'", ""), ("import-missing-export", "a.py", "y", "from b import x, y, z", "from b import x, z"), ("import-missing-export", "a.ts", "q", "import { x } from './b'", None),
+    ("import-missing-export", "a.ts", None, "import { x } from './b'", None),
+])
+def test_imports_are_rewritten(spark, fix, path, name, old, new):
+    found = spark.createDataFrame([(path, 1, fix, name)], "file string, line int, fix_id string, name string")
+    lines = spark.createDataFrame([(path, 1, old)], "file string, line int, content string")
+    assert [r.new_text for r in fixes.edits(found, lines).collect()] == ([] if new is None else [new])

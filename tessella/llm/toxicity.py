@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Most labelled documents that the model is fitted on (a documented bound; all documents are scored).
 MAX_LABELLED = 6_000
+#: Labelled documents of more characters teach nothing, for all that teach come to the driver; they are scored whole.
+MAX_LABELLED_CHARACTERS = 100_000
 DIMENSIONS, ROUNDS, FOLDS, STEPS, THRESHOLD = 1 << 17, 4, 3, 120, 0.25
 SEED_WEIGHT, RIDGE = 2.0, 0.1
 CHAIN = ("insult", "threat", "group", "sexual")
@@ -327,9 +329,9 @@ def fit(labelled: list[tuple[str | None, float]]) -> Chain:
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str | None, float]]:
-    """(text, share) of at most ``most`` labelled documents, those whose ids have the least hashes."""
+    """(text, share) of at most ``most`` labelled documents, those whose ids have the least hashes, very long ones aside."""
     share = labels.where("doc_id is not null and offensive is not null").groupBy("doc_id").agg(F.avg("offensive").alias("share")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return [(r.text, r.share) for r in documents.select("doc_id", "text").join(share, "doc_id").where("text is not null").orderBy("doc_id", "text").toLocalIterator()]
+    return [(r.text, r.share) for r in documents.select("doc_id", "text").join(share, "doc_id").where(F.col("text").isNotNull() & (F.length("text") <= MAX_LABELLED_CHARACTERS)).orderBy("doc_id", "text").toLocalIterator()]
 
 
 def score_documents(documents: DataFrame, chain: Chain, extra: tuple[str, ...] = ()) -> DataFrame:

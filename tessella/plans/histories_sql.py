@@ -81,4 +81,52 @@ SELECT user_id, d AS day, CAST(runs AS BIGINT) AS runs, CAST(errors AS BIGINT) A
 FROM totals
 """
 
-ORACLE = {"p1_found": P1, "p1_subscription_ledger": P1_LEDGER, "p1_merged_ledger": P1_LEDGER, "p6_found": P6, "p6_orphans_per_month": P6_MONTH, "p7_rolling": P7}
+_BLANKS = "E' \\t\\r\\n'"
+
+
+def _held(c: str) -> str:
+    """What a JSON text holds that may be a string inside JSON."""
+    return f"CASE WHEN json_valid({c}) AND json_type({c}) = 'VARCHAR' THEN trim(json_extract_string({c}, '$'), {_BLANKS}) ELSE {c} END"
+
+
+def _enveloped(names: list[str], only: bool) -> str:
+    member = " ".join(f"WHEN json_exists(t, '$.{n}') THEN trim(CAST(json_extract(t, '$.{n}') AS VARCHAR), {_BLANKS})" for n in names)
+    return f"CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN CASE {member} ELSE {'NULL' if only else 't'} END ELSE t END"
+
+
+def _listed(c: str) -> str:
+    return f"CASE WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN CAST(json_extract({c}, '$[*]') AS VARCHAR[])"
+
+
+def _source(name: str, key: str, sent: str, text: str, member: str, record: bool) -> str:
+    """CTEs that end in ``name``_i: source_table, parent_id, item_no, e (the text of one element of the last delivery)."""
+    steps = [_held("t"), _held("t"), *([_enveloped(["result"], False), _held("t")] if record else []), _enveloped([member], record), _held("t")]
+    out = [f"{name}_0 AS (SELECT CAST({key} AS VARCHAR) AS parent_id, {sent} AS sent_at, trim({text}, {_BLANKS}) AS t FROM {name} WHERE {key} IS NOT NULL)"]
+    out += [f"{name}_{k + 1} AS (SELECT parent_id, sent_at, {step} AS t FROM {name}_{k})" for k, step in enumerate(steps)]
+    out.append(f"{name}_e AS (SELECT parent_id, arg_max({_listed('t')} WHEN json_valid(t) AND json_type(t) = 'OBJECT' AND t <> '{{}}' THEN [t] END, sent_at) AS els FROM {name}_{len(steps)} GROUP BY parent_id)")
+    out.append(f"{name}_i AS (SELECT '{name}' AS source_table, parent_id, CAST(generate_subscripts(els, 1) - 1 AS INT) AS item_no, unnest(els) AS e FROM {name}_e)")
+    return ", ".join(out)
+
+
+_SOURCES = (("runs", "id", "created_at", "issues", "issues", False), ("spec_results", "id", "created_at", "result_json", "requirements", False), ("analysis_results", "record_id", "received_at", "payload", "issues", True))
+_MEMBERS = ", ".join(f"CASE WHEN json_type(e, '$.{n}') <> 'NULL' THEN CAST(json_extract(e, '$.{n}') AS VARCHAR) END" for n in ("related_files", "relatedFiles"))
+_NESTED = f"""
+WITH {", ".join(_source(*x) for x in _SOURCES)},
+every AS ({" UNION ALL ".join(f"SELECT * FROM {x[0]}_i" for x in _SOURCES)}),
+items AS (SELECT * FROM (SELECT * REPLACE ({_held("e")} AS e) FROM every) WHERE json_valid(e) AND json_type(e) = 'OBJECT' AND e <> '{{}}'),
+members AS (SELECT *, coalesce({_MEMBERS}) AS f FROM items),
+lists AS (SELECT *, {_listed("f")} WHEN f <> '' AND f <> '{{}}' THEN [f] END AS ls FROM (SELECT * REPLACE ({_held("f")} AS f) FROM members)),
+every_leaf AS (SELECT source_table, parent_id, item_no, e, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS leaf_no, unnest(ls) AS l FROM lists),
+leaves AS (SELECT * FROM (SELECT * REPLACE (CASE WHEN json_valid(l) AND json_type(l) = 'NULL' THEN NULL ELSE {_held("l")} END AS l) FROM every_leaf) WHERE l IS NOT NULL AND l <> '' AND l <> '{{}}')
+"""
+P3 = _NESTED + "SELECT source_table, parent_id, item_no, CAST(-1 AS INT) AS leaf_no FROM items UNION ALL SELECT source_table, parent_id, item_no, leaf_no FROM leaves"
+P3_ITEMS = _NESTED + "SELECT source_table, parent_id, item_no, e AS json FROM items"
+P3_LEAVES = _NESTED + "SELECT source_table, parent_id, item_no, leaf_no, l AS leaf FROM leaves"
+P3_PATHS = _NESTED + """, n AS (SELECT parent_id, item_no, count(*) AS n FROM leaves WHERE source_table = 'runs' GROUP BY ALL)
+SELECT json_extract_string(e, '$.category') AS category, count(*) AS issues, CAST(coalesce(sum(n), 0) AS BIGINT) AS related_files FROM items LEFT JOIN n USING (parent_id, item_no) WHERE source_table = 'runs' GROUP BY 1"""
+
+SPEC_COUNTS = _NESTED + """, told AS (SELECT parent_id AS id, json_extract_string(e, '$.status') AS status FROM items WHERE source_table = 'spec_results')
+SELECT id, count_if(status = 'implemented') AS implemented, count_if(status = 'partial') AS partial, count_if(status = 'missing') AS missing, count_if(status IN ('implemented', 'partial')) AS anchored, count(*) AS requirements,
+  CAST(floor(count_if(status = 'implemented') * 100 / count(*)) AS INT) AS percent FROM told GROUP BY id"""
+
+ORACLE = {"p1_found": P1, "p1_subscription_ledger": P1_LEDGER, "p1_merged_ledger": P1_LEDGER, "p3_found": P3, "p3_items": P3_ITEMS, "p3_leaves": P3_LEAVES, "p3_related_paths": P3_PATHS, "p6_found": P6, "p6_orphans_per_month": P6_MONTH, "p7_rolling": P7}

@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import RLock
 
 from pyspark.sql import DataFrame
 from pyspark.errors import AnalysisException
@@ -18,6 +20,8 @@ from tessella.lineage import durable, spread
 from tessella.sources import config, tree
 from tessella.plans import complexity, guard_packs, hunk_checks, packs, pattern_packs, relational, security_packs
 
+#: Parts of an analysis that run at once; each is a small plan of its own.
+AT_ONCE = 4
 COLUMNS = ["file_id", "file", "line", "id", "severity", "category", "message"]
 
 
@@ -32,6 +36,7 @@ class Context:
     baseline: DataFrame | None = None
     extra: dict = field(default_factory=dict)
     made: dict = field(default_factory=dict, init=False, repr=False)
+    lock: RLock = field(default_factory=RLock, init=False, repr=False)
 
     @property
     def lines(self) -> DataFrame:
@@ -40,9 +45,10 @@ class Context:
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A relation that several analyzers read, computed and written once."""
-        if name not in self.made:
-            self.made[name] = durable(make())
-        return self.made[name]
+        with self.lock:
+            if name not in self.made:
+                self.made[name] = durable(make())
+            return self.made[name]
 
 
 #: Rule groups and guarded rules by analyzer: all of an analysis run in one scan and in one pass of windows.
@@ -100,9 +106,12 @@ def found_by(ctx: Context, names: Iterable[str]) -> DataFrame | None:
     parts = [R.scan(ctx.lines, groups)] if groups else []
     if guarded:
         parts.append(guards.guarded_issues(ctx.lines, guarded))
+    works = [*((lambda p=p: p) for p in parts), *((lambda n=n, c=c: _checked(ctx, n, c)) for n in names for c in CHECKS.get(n, ()))]
+    ctx.lines  # written before the parts read it
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # the parts are independent: small ones fill the cores that others leave idle
+        written = list(pool.map(lambda work: durable(work().select(*COLUMNS)), works))
     found: DataFrame | None = None
-    for part in (*parts, *(_checked(ctx, n, check) for n in names for check in CHECKS.get(n, ()))):
-        part = durable(part.select(*COLUMNS))
+    for part in written:
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -120,6 +129,6 @@ def analyse(ctx: Context, analyzers: Iterable[str] | None = None) -> DataFrame:
 
 def result(ctx: Context, issues: DataFrame) -> DataFrame:
     """One row: counts, summary and whether the run blocks."""
-    files = ctx.files.agg(F.count_distinct("file_id").alias("files"))
-    n = I.counts(issues).withColumn("one", F.lit(1)).join(files.withColumn("one", F.lit(1)), "one").drop("one")
+    files = ctx.files.agg(F.count_distinct("file_id").alias("files")).scalar()
+    n = I.counts(issues).withColumn("files", files)
     return n.withColumn("summary", I.summary_text(*(F.col(c) for c in ("errors", "warnings", "infos", "total", "files"))))

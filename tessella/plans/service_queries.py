@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions.keys import fold_key
-from tessella.operators import nested, service
+from tessella.operators import service
+from tessella.plans import histories_sql
 from tessella.plans.histories_sql import fold
 from tessella.sources.tables import table
 
@@ -121,21 +122,10 @@ def webhook_match(spark, sf_dir):
     return ev.join(hooks, "org_id").where(service.wants(F.col("events"), F.col("action"), F.col("active"))).groupBy("action").agg(F.count("*").alias("deliveries"))
 
 
-@query("""WITH s AS (SELECT DISTINCT id, result_json FROM spec_results WHERE json_valid(result_json) AND json_type(result_json) = 'ARRAY'), e AS (SELECT id, unnest(CAST(result_json AS JSON[])) AS x FROM s)
-SELECT id, count_if(x->>'status' = 'implemented') AS implemented, count_if(x->>'status' = 'partial') AS partial, count_if(x->>'status' = 'missing') AS missing, count_if(x->>'status' IN ('implemented', 'partial')) AS anchored, count(*) AS requirements, CAST(floor(count_if(x->>'status' = 'implemented') * 100 / count(*)) AS INT) AS percent FROM e WHERE json_type(x) = 'OBJECT' GROUP BY id""")
-def json_counts(spark, sf_dir):
-    """Requirements by status in the results stored as arrays, and the progress in percent."""
-    plain = table(spark, sf_dir, "spec_results").select("id", "result_json").dropDuplicates(["id"]).withColumn("result_json", F.regexp_replace("result_json", r"^\s+|\s+$", "")).where(F.col("result_json").startswith("["))
-    items = plain.select("id", nested.nested_items(F.col("result_json"), ("related_files",)).alias("items"))
-    rows = items.select("id", F.explode("items").alias("x")).where("x.json is not null").select("id", F.get_json_object("x.json", "$.status").alias("status"))
-    c = service.status_counts(rows, "id")
-    return c.withColumn("percent", service.progress(F.col("implemented"), F.col("requirements")))
-
-
-@query()
+@query(histories_sql.SPEC_COUNTS)
 def spec_counts(spark, sf_dir):
-    """json_counts over every stored shape: arrays, envelopes, single objects and arrays stored as text, read as p3_found
-    reads them; of an id delivered more than once the last result counts."""
+    """Requirements by status and the progress in percent, over every stored shape: arrays, envelopes, single objects and
+    arrays stored as text, read as p3_found reads them; of an id delivered more than once the last result counts."""
     from tessella.plans import histories
 
     rows = histories._nested(spark, sf_dir, "spec_results").where("parent_id is not null")

@@ -37,7 +37,8 @@ def sarif(issues: DataFrame, cwe_of: DataFrame, tool: str = "tessella", version:
         F.struct(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules")).alias("driver")).alias("tool"),
         F.array(F.struct(F.lit("CWE").alias("name"), taxa.alias("taxa"))).alias("taxonomies"), F.col("results"),
     )
-    both = rules.withColumn("one", F.lit(1)).join(results.withColumn("one", F.lit(1)), "one")
+    told = rules.select(F.struct("rules", "taxa").alias("t")).scalar()
+    both = results.withColumn("t", told).select("results", "t.rules", "t.taxa")
     return both.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 

@@ -58,22 +58,58 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a file source reads folders
 
 
+def _stored(spark: SparkSession, folder: str) -> int:
+    """The number of the newest listing that is stored whole below ``folder``, -1 for none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return -1
+    names = [x.getPath().getName() for x in fs.listStatus(place) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return max((int(n) for n in names if n.isdigit()), default=-1)
+
+
+class Watcher:
+    """What the watch loop keeps between ticks: the listing of the last tick, and the one that was analysed last, which is
+    stored below ``folder``, so that a loop that starts again finds what changed while it was down."""
+
+    def __init__(self, spark: SparkSession, listing: Callable[[], DataFrame], analyse: Callable[[DataFrame], None], folder: str):
+        self.spark, self.listing, self.analyse, self.folder = spark, listing, analyse, folder
+        self.number = _stored(spark, folder)
+        first = self._seen()
+        if self.number < 0:
+            self._store(first)
+        self.analysed = spark.read.schema(first.schema).parquet(f"{folder}/{self.number}")
+        self.last, self.pending = first, not changes(self.analysed, first).isEmpty()
+
+    def _seen(self) -> DataFrame:
+        return self.listing().cache()
+
+    def _store(self, listing: DataFrame) -> None:
+        self.number += 1
+        listing.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{self.number}")
+
+    def tick(self) -> None:
+        """Compares the listing with the last one; once it has been quiet for a tick, what changed since the last analysis is analysed."""
+        now = self._seen()
+        if not changes(self.last, now).isEmpty():
+            self.pending = True
+        elif self.pending:
+            self.pending = False
+            self.analyse(changes(self.analysed, now))
+            self._store(now)  # stored after the analysis: one that fails is made again
+            self.analysed = self.spark.read.schema(now.schema).parquet(f"{self.folder}/{self.number}")
+        self.last.unpersist()
+        self.last = now
+
+
 def watch(spark: SparkSession, listing: Callable[[], DataFrame], analyse: Callable[[DataFrame], None], every: str = "500 milliseconds", location: str | None = None):
     """Starts the loop: at every tick the listing (path, changed) is compared with the one kept from the last tick;
-    ``analyse`` receives the changes if there are any and the listing has been quiet for one tick. Returns the query."""
-    state: dict[str, DataFrame | bool] = {"kept": listing().cache(), "pending": False}
-
-    def tick(_: DataFrame, __: int) -> None:
-        now = listing().cache()
-        moved = changes(state["kept"], now)
-        if not moved.isEmpty():
-            state["changes"] = moved.cache()
-            state["changes"].count()
-            state["kept"], state["pending"] = now, True
-        elif state["pending"]:
-            state["pending"] = False
-            analyse(state["changes"])
-
+    ``analyse`` receives all changes since the last analysis if the listing has been quiet for one tick. With ``location``
+    a loop that starts again goes on from the listing that was analysed last. Returns the query."""
+    if not location:
+        ensure_checkpoint_dir(spark)
+        location = spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/watch-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    watcher = Watcher(spark, listing, analyse, location + "/listings")
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    writer = ticks.writeStream.trigger(processingTime=every).foreachBatch(tick)
-    return (writer.option("checkpointLocation", location) if location else writer).start()
+    writer = ticks.writeStream.trigger(processingTime=every).foreachBatch(lambda _, __: watcher.tick())
+    return writer.option("checkpointLocation", location + "/log").start()

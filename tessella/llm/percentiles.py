@@ -23,7 +23,7 @@ from pyspark.sql.window import Window as W
 from tessella.lineage import durable
 
 #: A range with at most this many distinct values left is finished by a sort; it bounds the passes, not what is found.
-LEAF = 64
+LEAF = 256
 #: A range with more distinct values is spread over slots of about so many where it meets its pivot.
 PER_SLOT = 500_000
 

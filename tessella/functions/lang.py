@@ -1,6 +1,8 @@
 """Languages of files, test files and their conventional places."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,12 +19,61 @@ LANGUAGES = {
 EXTENSIONS = {e: lang for lang, exts in LANGUAGES.items() for e in exts.split()}
 # fixed values: folders that hold no source of one's own
 SKIPPED_DIRS = ["vendor", "node_modules", "testdata", "__tests__"]
-# fixed values: affixes of test files by language (suffixes, prefixes, folders)
-TEST_AFFIXES = {
-    "go": (["_test"], [], []), "typescript": ([".test", ".spec"], [], ["__tests__", "tests", "test"]), "python": (["_test"], ["test_"], ["tests", "test"]), "ruby": (["_test", "_spec"], [], ["tests", "test", "spec"]),
-    "kotlin": (["Test", "Tests", "Spec"], [], ["tests", "test"]), "csharp": (["Test", "Tests"], [], ["tests", "test", "Tests"]), "php": (["Test", "_test"], [], ["tests", "test"]), "java": (["Test", "Tests", "IT"], [], ["test"]),
-    "rust": (["_test"], [], ["tests"]), "swift": (["Test", "Tests"], [], ["Tests"]), "c": (["_test"], ["test_"], ["tests", "test"]), "scala": (["Test", "Spec", "Suite"], [], ["test"]),
-}
+# fixed values: folders of tests, and by extension what a test file's name ends or begins with and further folders
+TEST_FOLDERS = ("__tests__", "tests", "test")
+TEST_AFFIXES = (
+    # extensions, endings, beginnings, further folders; without folders at all for Go
+    (".go", "_test", "", None),
+    (".ts .tsx .js .jsx .mjs .cjs", ".test .spec", "", ()),
+    (".py", "_test", "test_", ()),
+    (".rb .rake", "_test _spec", "", ("spec",)),
+    (".kt .kts", "Test Tests Spec", "", ()),
+    (".cs", "Test Tests", "", ("Tests", "[^/]*\\.Tests", "[^/]*\\.Test")),
+    (".php", "Test _test", "", ()),
+    (".swift", "Tests Test", "", ()),
+    (".c .h", "_test", "test_", ()),
+    (".cpp .cc .cxx .hpp .hxx", "_test", "test_", ()),
+    (".m .mm", "Tests Test", "", ()),
+    (".sh .bash", "_test", "test_", ()),
+    (".dart", "_test", "", ()),
+    (".scala", "Spec Test Suite", "", ()),
+    (".r", "", "test_ test-", ()),
+    (".ex .exs", "_test", "", ()),
+    (".lua", "_test _spec", "test_", ()),
+    (".zig", "_test", "", ()),
+    (".nim", "", "test_ t_", ()),
+    (".cr", "_spec", "", ("spec",)),
+    (".v", "_test", "", ()),
+    (".d", "_test", "test_", ()),
+    (".hs .lhs", "Spec Test", "", ()),
+    (".clj .cljs .cljc", "_test", "", ()),
+    (".erl", "_SUITE _tests", "", ()),
+    (".fs .fsx", "Tests Test", "", ()),
+    (".ml .mli", "_test", "test_", ()),
+    (".pl .pm", ".t", "test_", ()),
+    (".ps1", ".Tests .Test", "", ()),
+    (".groovy .gvy", "Test Spec", "", ()),
+    (".jl", "_test", "test_", ()),
+    (".f90 .f95 .f03 .f08", "_test", "test_", ()),
+    (".sol", ".t", "Test", ()),
+    (".vb .vbs", "Test Tests", "", ()),
+    (".adb .ads", "_test", "test_", ()),
+    (".pas .pp", "_test", "test_", ()),
+)
+
+
+def _test_pattern() -> str:
+    """One pattern of a test file's path, from the table of affixes."""
+    out = []
+    for exts, tails, heads, folders in TEST_AFFIXES:
+        names = [f"[^/]*{re.escape(t)}" for t in tails.split()] + [f"{re.escape(h)}[^/]*" for h in heads.split()]
+        end = f"(?:{'|'.join(re.escape(e) for e in exts.split())})$"
+        out += [f"(?:^|/)(?:{'|'.join(names)}){end}"] if names else []
+        out += [f"(?:^|/)(?:{'|'.join((*TEST_FOLDERS, *folders))})/.*{end}"] if folders is not None else []
+    return "|".join(out)
+
+
+TEST_FILE = _test_pattern()
 
 
 def language(path: Column) -> Column:
@@ -31,19 +82,9 @@ def language(path: Column) -> Column:
     return F.try_element_at(table, paths.extension(path))
 
 
-def is_test(path: Column, lang: Column) -> Column:
+def is_test(path: Column) -> Column:
     """Whether a path follows its language's convention for tests."""
-    name, out = paths.stem(path), F.lit(False)
-    for key, (tails, heads, folders) in TEST_AFFIXES.items():
-        hit = F.lit(False)
-        for x in tails:
-            hit = hit | name.endswith(x)
-        for x in heads:
-            hit = hit | name.startswith(x)
-        if folders:
-            hit = hit | paths.has_part(paths.dirname(path), folders)
-        out = F.when(lang == key, hit).otherwise(out)
-    return out
+    return F.coalesce(path.rlike(TEST_FILE), F.lit(False))
 
 
 def test_places(path: Column, lang: Column) -> Column:

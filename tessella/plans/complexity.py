@@ -74,7 +74,7 @@ def function_ends(lines: DataFrame) -> DataFrame:
 def issues(lines: DataFrame) -> DataFrame:
     """(file_id, file, line, id, severity, category, message) of ``lines`` (diff_lines); tests and vendored files are left alone."""
     own = L.analyzable(lines).withColumn("lang", langs.language(F.col("file")))
-    own = own.where(F.col("lang").isNotNull() & ~langs.is_test(F.col("file"), F.col("lang")) & ~paths.has_part(F.col("file"), ["vendor", "node_modules"]))
+    own = own.where(F.col("lang").isNotNull() & ~langs.is_test(F.col("file")) & ~paths.has_part(F.col("file"), ["vendor", "node_modules"]))
     rows = L.added(own).where("content is not null")
     named = F.regexp_replace(F.coalesce(_by_lang(HEADERS, lambda p: F.regexp_extract("t", p, 1)), F.lit("")), r"^[*&]+", "")
     code = rows.where(F.col("lang").isin(*HEADERS)).withColumn("t", F.regexp_replace("content", r"^\s+|\s+$", "")).withColumn("name", named)

@@ -291,7 +291,7 @@ SELECT file FROM src WHERE file NOT IN (SELECT c.file FROM c JOIN files ON files
 def missing_test_file(spark, sf_dir):
     """Go and Python sources without a test at any conventional place."""
     f = files_of(spark, sf_dir).withColumn("lang", langs.language(F.col("file"))).where("lang in ('go', 'python')")
-    src = f.where(~langs.is_test(F.col("file"), F.col("lang")))
+    src = f.where(~langs.is_test(F.col("file")))
     places = src.select("file", F.explode(langs.test_places(F.col("file"), F.col("lang"))).alias("place"))
     tested = places.join(f.select(F.col("file").alias("place")), "place", "left_semi").select("file").distinct()
     return src.join(tested, "file", "left_anti").select("file")

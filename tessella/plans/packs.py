@@ -1,14 +1,19 @@
 """Built-in rule packs. Patterns, ids and messages are fixed values: results are compared by them."""
 from __future__ import annotations
 
+from tessella.functions.lang import TEST_FILE
 from tessella.operators.rules import Group, Rule
 
+# fixed values: paths that no security rule reads: other than source, vendored or test data; and tests
+NOT_SOURCE = r"(?i)\.(md|markdown|txt|rst|yaml|yml|json|toml|xml|html|css|scss|less|svg|csv|lock|sum|mod|cfg|ini|env)$"
+UNSECURED = NOT_SOURCE + r"|(^|/)(vendor|node_modules|testdata|__tests__)/|" + TEST_FILE
+
 _SQL = "Potential SQL injection: user input concatenated into query string"
 _FIX_SQL = "Use parameterized queries ($1, ?, :name) instead of string concatenation"
 
 # fixed values: injection
 SQL_INJECTION = Group(
-    "sql-injection", "security", id="security/sql-injection",
+    "sql-injection", "security", skip=UNSECURED, id="security/sql-injection",
     rules=(
         Rule(r'\bdb\.(Query|Exec|QueryRow)\s*\(\s*"[^"]*"\s*\+', _SQL, suggestion=_FIX_SQL, unless=(r"\$\d", r"\?\s*")),
         Rule(r'fmt\.Sprintf\(\s*"(?i)(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER)\b[^"]*%[sv]', _SQL, suggestion=_FIX_SQL, unless=(r"(?i)//",)),
@@ -23,12 +28,12 @@ SQL_INJECTION = Group(
 )
 _XSS = "Potential XSS: unescaped content injected into DOM"
 XSS = Group(
-    "xss", "security", id="security/xss", unless=(r"(?i)DOMPurify", r"(?i)sanitize[_-]?html", r"(?i)sanitize\(", r"(?i)xss\("),
+    "xss", "security", skip=UNSECURED, id="security/xss", unless=(r"(?i)DOMPurify", r"(?i)sanitize[_-]?html", r"(?i)sanitize\(", r"(?i)xss\("),
     rules=tuple(Rule(p, _XSS) for p in (r"dangerouslySetInnerHTML", r"\.innerHTML\s*=", r"document\.write\s*\(")),
 )
 _PATH = "Potential path traversal: user-controlled file path"
 PATH_TRAVERSAL = Group(
-    "path-traversal", "security", id="security/path-traversal",
+    "path-traversal", "security", skip=UNSECURED, id="security/path-traversal",
     rules=(
         Rule(r"\b(os\.Open|os\.ReadFile|os\.Create|os\.OpenFile|ioutil\.ReadFile)\s*\(\s*[a-zA-Z]", _PATH, severity="warning", unless=(r'\b(os\.Open|os\.ReadFile|os\.Create|os\.OpenFile|ioutil\.ReadFile)\s*\(\s*"[^"]*"', r"filepath\.(Clean|Abs)\(")),
         Rule(r"\bfs\.(readFile|readFileSync|writeFile|writeFileSync|createReadStream)\s*\(\s*(req\.|request\.)", _PATH, severity="warning", unless=(r"path\.(resolve|normalize)\(",)),
@@ -38,7 +43,7 @@ PATH_TRAVERSAL = Group(
 )
 _SECRET = "Hardcoded secret detected: "
 SECRETS = Group(
-    "secrets", "security", id="security/hardcoded-secret",
+    "secrets", "security", skip=UNSECURED, id="security/hardcoded-secret",
     unless=(
         r"[\"']\s*[\"']", r"(?i)(CHANGEME|xxx|your[_\-]?key[_\-]?here|placeholder)", r"(?i)os\.Getenv\(", r"(?i)process\.env\b", r"(?i)os\.environ", r"(?i)viper\.(Get|GetString)\(", r"(?i)config\.(get|Get)\(",
         r"\$\{", r"<[^>]+>", r"(?i)[:=]\s*[\"'](example|dummy|fake|test|mock|sample)", r"(?i)[:=]\s*[\"'][^\"']*_(example|dummy|fake|test|mock|sample)[\"']",
@@ -54,7 +59,7 @@ SECRETS = Group(
 )
 _MD5, _SHA1 = "MD5 is cryptographically broken", "SHA1 is cryptographically weak"
 CRYPTO = Group(
-    "insecure-crypto", "security", id="security/insecure-crypto",
+    "insecure-crypto", "security", skip=UNSECURED, id="security/insecure-crypto",
     rules=(
         Rule(r"\bmd5\.(New|Sum)\b", _MD5, severity="warning", unless=(r"(?i)(checksum|hash.*file|content.?hash|etag|fingerprint)",)),
         Rule(r"(?i)\bhashlib\.md5\b", _MD5, severity="warning", unless=(r"(?i)(checksum|file.?hash|content.?hash|etag|fingerprint)",)),
@@ -65,12 +70,12 @@ CRYPTO = Group(
     ),
 )
 RANDOM_JS = Group(
-    "insecure-random", "security", id="security/insecure-crypto", extensions=(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"),
+    "insecure-random", "security", skip=UNSECURED, id="security/insecure-crypto", extensions=(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"),
     rules=(Rule(r"Math\.random\s*\(\s*\)", "Math.random() is not cryptographically secure", severity="warning", unless=(r"(?i)(color|animation|delay|jitter|ui|display|render|shuffle|sample)",)),),
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d|0\d?\d)"
 HARDCODED_IP = Group(
-    "hardcoded-ip", "security", id="security/hardcoded-ip",
+    "hardcoded-ip", "security", skip=UNSECURED, id="security/hardcoded-ip",
     unless=(r"[\"']0\.0\.0\.0[\"']", r"[\"']127\.0\.0\.1[\"']", r"[\"']255\.255\.\d", r"(?i)(version|semver)", r"(?i)(test|mock|fake|example|placeholder)"),
     rules=(Rule(rf"[\"']{_OCTET}(?:\.{_OCTET}){{3}}[\"']", "Hardcoded IP address", severity="info"),),
 )

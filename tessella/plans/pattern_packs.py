@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from tessella.operators.rules import Group, Rule
+from tessella.plans.packs import NOT_SOURCE
 
 
 def _group(name: str, extensions: str, rows: tuple, quotes: bool = False, every: bool = True) -> Group:
@@ -9,8 +10,7 @@ def _group(name: str, extensions: str, rows: tuple, quotes: bool = False, every:
     return Group(f"{name}-patterns", "patterns", extensions=tuple(extensions.split()), quotes=quotes, every=every, rules=tuple(Rule(p, m, id="patterns/" + i, severity=s, fix_id=f, unless=tuple(x)) for p, i, s, m, f, *x in rows))
 
 
-# fixed values: paths whose files aren't source, and placeholders of all languages; comments count, and the message ends with the line
-NOT_SOURCE = r"(?i)\.(md|markdown|txt|rst|yaml|yml|json|toml|xml|html|css|scss|less|svg|csv|lock|sum|mod|cfg|ini|env)$"
+# fixed values: placeholders of all languages; comments count, and the message ends with the line
 PLACEHOLDER = Group(
     "placeholder", "patterns", id="patterns/todo-placeholder", comments=True, quotes=True, skip=NOT_SOURCE,
     rules=tuple(Rule(p, "TODO or placeholder left in code: ", severity="warning", suggestion="Implement the functionality or remove the placeholder before committing") for p in (

@@ -169,11 +169,12 @@ def references(ctx) -> DataFrame:
 def tests(ctx) -> DataFrame:
     f = ctx.files.where("status in ('added', 'modified')").select("file_id", "status", paths.unix(F.col("path")).alias("file")).withColumn("lang", langs.language(F.col("file")))
     known = files_of(ctx).select(F.col("file").alias("place"))
-    src = f.where(F.col("lang").isNotNull() & ~langs.is_test(F.col("file"), F.col("lang")) & ~paths.has_part(F.col("file"), langs.SKIPPED_DIRS))
+    src = f.where(F.col("lang").isNotNull() & ~langs.is_test(F.col("file")) & ~paths.has_part(F.col("file"), langs.SKIPPED_DIRS))
     places = src.select("file_id", "file", F.explode(langs.test_places(F.col("file"), F.col("lang"))).alias("place"))
     tested = places.join(known, "place", "left_semi").select("file_id").distinct()
+    src = src.where(~F.col("file").rlike(r"cmd/.*?(^|/)main\.go$|migration|^scripts/"))  # entry points, migrations and scripts need no tests
     bare = src.join(places.select("file_id").distinct(), "file_id", "left_semi").join(tested, "file_id", "left_anti")
-    only = f.where(langs.is_test(F.col("file"), F.col("lang")) & (F.col("status") == "modified"))
+    only = f.where(langs.is_test(F.col("file")) & (F.col("status") == "modified"))
     sources = places.join(f.select(F.col("file").alias("place")), "place", "left_semi").select("place").distinct()
     alone = only.join(sources, only["file"] == sources["place"], "left_anti")
     i = F.col("file_id")
@@ -187,10 +188,11 @@ def tests(ctx) -> DataFrame:
 def docdrift(ctx) -> DataFrame:
     """Signatures that changed under a doc comment that didn't: stale as a whole, in its parameters, return type or examples."""
     comment = (F.col("type") == "context") & F.coalesce(F.col("content").rlike(r"^\s*(//|#|\*|/\*)"), F.lit(False))
-    blocks = L.islands(ctx.lines, comment).where("island is not null").groupBy("file_id", "hunk_no", "island").agg(
+    own = ctx.lines.where(~F.col("file").rlike("vendor/|node_modules/"))
+    blocks = L.islands(own, comment).where("island is not null").groupBy("file_id", "hunk_no", "island").agg(
         (F.max("pos") + 1).alias("pos"), F.min("new_num").alias("line"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])).alias("doc")
     )
-    every = parsers.symbols(ctx.lines, "true", place=True).where("kind in ('function', 'method')")
+    every = parsers.symbols(own, "true", place=True).where("kind in ('function', 'method')")
     names = F.filter(F.transform(F.split(F.regexp_extract("signature", r"\w\s*\(([^()]*)\)", 1), ","), lambda x: F.regexp_extract(F.trim(x), r"^[*&.]*(?:final )?([A-Za-z_]\w*)", 1)), lambda x: x != "")
     gives = F.trim(F.regexp_extract("signature", r"\)\s*(?:->|:)?\s*([^(){}:;]*?)\s*[{:;]?\s*$", 1))
     side = lambda t, k: every.where(F.col("type") == t).select("file_id", "file", "hunk_no", "name", *(x.alias(k + y) for x, y in ((F.col("pos"), "pos"), (F.col("line"), "line"), (F.col("signature"), "text"), (names, "params"), (gives, "gives"))))
@@ -212,7 +214,8 @@ def docdrift(ctx) -> DataFrame:
 def deadcode(ctx) -> DataFrame:
     """Exports of changed files that nothing in the tree imports; entry points, tests and private names are left alone."""
     ex = parsers.symbols(L.added(ctx.lines)).where("exported and lang in ('typescript', 'python') and name not like '\\\\_%' and name <> 'main'")
-    ex = ex.where(~langs.is_test(F.col("file"), F.col("lang")))
+    entry = F.col("file").rlike(r"vendor/|node_modules/|_test\.go$|(^|/)(main|cmd)/[^/]*\.go$|(^|/)index\.(ts|tsx|js|jsx|mjs|cjs)$|(^|/)_[^/]*\.py$")
+    ex = ex.where(~entry & ~langs.is_test(F.col("file")))
     used = imports_of(ctx).select("lang", F.explode("names").alias("name")).distinct()
     return issue(ex.join(used, ["lang", "name"], "left_anti"), "deadcode", "warning", "deadcode", F.concat(F.lit("Exported symbol '"), F.col("name"), F.lit("' appears unused in the codebase")), F.col("line"), F.col("file_id"), ("file", "name", "line"))
 

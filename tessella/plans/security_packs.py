@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 from tessella.operators.rules import Group, Rule
+from tessella.plans.packs import UNSECURED
 
 
 def _group(name: str, extensions: str, rows: tuple, marks: str = "") -> Group:
     """Rows: pattern, id, severity, message, exclusions..."""
-    return Group(f"{name}-security", "security", extensions=tuple(extensions.split()), marks=marks, rules=tuple(Rule(p, m, id="security/" + i, severity=s, unless=tuple(x), fix_id="sec-hardcoded-secret" if "hardcoded" in i else "") for p, i, s, m, *x in rows))
+    return Group(f"{name}-security", "security", extensions=tuple(extensions.split()), marks=marks, skip=UNSECURED, rules=tuple(Rule(p, m, id="security/" + i, severity=s, unless=tuple(x), fix_id="sec-hardcoded-secret" if "hardcoded" in i else "") for p, i, s, m, *x in rows))
 
 
 _CMD = "executes shell commands — verify input is not user-controlled"

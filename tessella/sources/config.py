@@ -1,6 +1,7 @@
 """Run settings: a small YAML reader for the settings' shape, defaults, a team's overlay and environment values."""
 from __future__ import annotations
 
+import pathlib
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -86,6 +87,19 @@ def load(text: str | None = None, team: str | None = None, environment: Mapping[
     return out
 
 
+# fixed values: names of the settings' files
+SETTINGS, TEAM_SETTINGS = ".tessella.yaml", ".tessella.team.yaml"
+
+
+def discover(start: str, environment: Mapping[str, str] | None = None) -> dict:
+    """The settings that hold in a folder: the nearest settings file there or above, the team's file beside ``start``, and
+    the environment; defaults where there is none."""
+    here = pathlib.Path(start).resolve()
+    own = next((p for folder in (here, *here.parents) if (p := folder / SETTINGS).is_file()), None)
+    team = here / TEAM_SETTINGS
+    return load(own.read_text() if own else None, team.read_text() if team.is_file() else None, environment)
+
+
 def seconds(duration: str) -> float:
     """A duration such as 500ms, 1.5s or 2m."""
     import re

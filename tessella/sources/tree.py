@@ -41,3 +41,20 @@ def as_added(files: DataFrame) -> DataFrame:
     lines = F.transform(F.split("content", "\n"), lambda c, i: F.struct(F.lit("added").alias("type"), c.alias("content"), F.lit(0).alias("old_num"), (i + 1).alias("new_num")))
     hunk = F.struct(F.lit(0).alias("old_start"), F.lit(0).alias("old_count"), F.lit(1).alias("new_start"), F.size(lines).alias("new_count"), lines.alias("lines"))
     return files.select(F.xxhash64("file").alias("file_id"), F.col("file").alias("path"), F.lit("").alias("old_path"), F.lit("added").alias("status"), F.lit(False).alias("is_binary"), F.array(hunk).alias("hunks"))
+
+
+def save_index(index: DataFrame, listing: DataFrame, folder: str) -> None:
+    """Keeps an index beside the listing (path, size, changed) of the files that it was made from."""
+    listing.select("path", "size", "changed").write.mode("overwrite").parquet(f"{folder}/listing")
+    index.write.mode("overwrite").parquet(f"{folder}/index")
+
+
+def load_index(spark: SparkSession, listing: DataFrame, folder: str) -> DataFrame | None:
+    """The kept index if its files are those of ``listing``, unchanged; None if they aren't or none is kept."""
+    from tessella.operators.service import cache_valid
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/index/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    kept = spark.read.parquet(f"{folder}/listing")
+    return spark.read.parquet(f"{folder}/index") if cache_valid(kept, listing).first().valid else None

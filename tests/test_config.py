@@ -50,6 +50,10 @@ def test_working_copy(spark, tmp_path):
     files = diff.parse_diff(git.diff_text(str(tmp_path)))
     assert [(f["path"], f["status"], len(f["hunks"][0]["lines"])) for f in files] == [("a.py", "modified", 2)]
     assert diff.parse_diff(git.diff_text(str(tmp_path), "tree"))[0]["status"] == "added"
+    name = git._git(str(tmp_path), "ls-files").split()[0]
+    assert git.content(str(tmp_path), name, "HEAD") == git._git(str(tmp_path), "show", f"HEAD:{name}") and git.content(str(tmp_path), "none", "HEAD") is None and git.content(str(tmp_path), "none") is None
+    assert [(r.file, r.content) for r in git.contents(spark, str(tmp_path), ["none", name], "HEAD").collect()] == [(name, git.content(str(tmp_path), name, "HEAD"))]
+    assert git.contents(spark, str(tmp_path), [name]).first().content == (tmp_path / name).read_text() and git.contents(spark, str(tmp_path), [], "HEAD").count() == 0
     assert [(r.author, r.subject) for r in specs.commits(git.commit_lines(spark, str(tmp_path))).collect()] == [("a", "first: a")]
 
 
@@ -106,3 +110,27 @@ def test_an_analyzer_that_fails_costs_only_its_own_issues(spark, monkeypatch):
     monkeypatch.setitem(pipeline.CHECKS, "spec", (broken,))
     got = pipeline.analyse(pipeline.Context(files(spark, ("a.py", ["+hashlib.md5(b)"]))), ["security", "spec"]).collect()
     assert sorted((r.id, r.severity) for r in got) == [("internal-spec-error", "info"), ("security/insecure-crypto", "warning")]
+
+
+def test_settings_are_found_above(tmp_path):
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    assert config.discover(str(deep))["block_on"] == "error"
+    (tmp_path / config.SETTINGS).write_text("block_on: warning\n")
+    assert config.discover(str(deep))["block_on"] == "warning"
+    (tmp_path / "a" / config.SETTINGS).write_text("block_on: info\n")
+    assert config.discover(str(deep))["block_on"] == "info" and config.discover(str(tmp_path))["block_on"] == "warning"
+    (deep / config.TEAM_SETTINGS).write_text("block_on: none\n")
+    assert config.discover(str(deep))["block_on"] == "none" and config.discover(str(deep), {"TESSELLA_BLOCK_ON": "error"})["block_on"] == "error"
+
+
+def test_an_index_is_kept_while_its_files_stay(spark, tmp_path):
+    from tessella.sources import tree
+
+    listing = lambda *rows: spark.createDataFrame(list(rows), "path string, size int, changed int")
+    a, b, folder = ("a", 1, 1), ("b", 2, 2), str(tmp_path / "i")
+    assert tree.load_index(spark, listing(a), folder) is None
+    tree.save_index(spark.createDataFrame([("a", "f")], "path string, name string"), listing(a, b), folder)
+    assert [tuple(r) for r in tree.load_index(spark, listing(b, a), folder).collect()] == [("a", "f")]
+    for other in ((a,), (a, ("b", 2, 3)), (a, b, ("c", 1, 1))):
+        assert tree.load_index(spark, listing(*other), folder) is None

@@ -24,7 +24,7 @@ def test_paths(spark):
 
 def test_languages_and_tests(spark):
     df = col(spark, ["a/x.go", "a/x_test.go", "b/test_x.py", "tests/y.py", "q.unknown", "C.java"]).withColumn("l", lang.language(F.col("c")))
-    got = df.select("l", lang.is_test(F.col("c"), F.col("l")).alias("t")).collect()
+    got = df.select("l", lang.is_test(F.col("c")).alias("t")).collect()
     assert [tuple(r) for r in got] == [("go", False), ("go", True), ("python", True), ("python", True), (None, False), ("java", False)]
 
 

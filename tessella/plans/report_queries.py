@@ -26,10 +26,10 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT file_id, path, status, len(hunks) AS hunks, CAST(coalesce(list_sum(list_transform(hunks, lambda h: len(h.lines))), 0) AS BIGINT) AS lines, CAST(coalesce(list_sum(list_transform(hunks, lambda h: len(list_filter(h.lines, lambda l: l.type = 'added')))), 0) AS BIGINT) AS added FROM file_diffs WHERE NOT coalesce(is_binary, false)")
+@query("SELECT file_id, path, status, CAST(coalesce(len(hunks), 0) AS INT) AS hunks, CAST(coalesce(list_sum(list_transform(hunks, lambda h: len(h.lines))), 0) AS BIGINT) AS lines, CAST(coalesce(list_sum(list_transform(hunks, lambda h: len(list_filter(h.lines, lambda l: l.type = 'added')))), 0) AS BIGINT) AS added FROM file_diffs")
 def diff_round_trip(spark, sf_dir):
-    """Every file written as unified diff text and read back by the diff source."""
-    f = table(spark, sf_dir, "file_diffs").where(~F.coalesce("is_binary", F.lit(False)))
+    """Every file written as unified diff text and read back by the diff source; files without hunks, such as most binary ones, come back without."""
+    f = table(spark, sf_dir, "file_diffs")
     texts = f.select("file_id", diff.render(F.col("path"), F.col("old_path"), F.col("status"), F.col("is_binary"), F.col("hunks")).alias("text"))
     back = diff.file_diffs(texts, "file_id")
     n = lambda cond: F.aggregate(F.transform("hunks", lambda h: F.size(F.filter(h["lines"], cond))), F.lit(0), lambda a, x: a + x).cast("long")
@@ -60,20 +60,29 @@ def spec_orphans(spark, sf_dir):
     return without.select(F.lit("no requirement").alias("problem"), "req_id").unionByName(unanchored.select(F.lit("no anchor").alias("problem"), "req_id"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS content, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, regexp_matches(content, '^\s*```') AS fence FROM l),
+i AS (SELECT *, coalesce(sum(CAST(fence AS INT)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM f),
+h AS (SELECT doc_id, line, length(regexp_extract(content, '^(#{2,3})\s', 1)) AS level, regexp_extract(content, '^#{2,3}[\s\p{Z}]+(.*[^\s\p{Z}])[\s\p{Z}]*$', 1) AS title FROM i WHERE NOT fence AND NOT inside AND regexp_matches(content, '^#{2,3}[\s\p{Z}]+.*[^\s\p{Z}]')),
+n AS (SELECT *, sum(CAST(level = 2 AS INT)) OVER (PARTITION BY doc_id ORDER BY line) AS n FROM h),
+m AS (SELECT *, sum(CAST(level = 3 AS INT)) OVER (PARTITION BY doc_id, n ORDER BY line) AS m FROM n)
+SELECT doc_id, 'SEC-' || n || CASE WHEN level = 3 THEN '-' || m ELSE '' END AS req_id, title FROM m""")
 def spec_sections(spark, sf_dir):
-    """Sections of the documents that are specifications in Markdown."""
-    return specs.requirements(table(spark, sf_dir, "documents").where("source = 'spec_library'"), "doc_id")
+    """The sections of all documents that are Markdown with headings, numbered as requirements."""
+    return specs.requirements(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "req_id", "title")
 
 
 _FOUND = f"WITH {Q.LINES_SQL}, i AS ({Q._custom_sql()})"
 
 
-@query(f"{_FOUND}, shown AS (SELECT DISTINCT file_id, new_num AS line FROM every_line WHERE type <> 'removed' AND hunk_no = 0 AND new_num > 0) SELECT i.file_id, s.line IS NOT NULL AS placed, count(*) AS n FROM i LEFT JOIN shown s ON s.file_id = i.file_id AND s.line = i.line GROUP BY ALL")
+@query(f"""{_FOUND}, every AS (SELECT file_id, line FROM i UNION ALL SELECT file_id, 0 FROM file_diffs), shown AS (SELECT DISTINCT file_id, new_num AS line FROM every_line WHERE type <> 'removed' AND new_num > 0)
+SELECT e.file_id, s.line IS NOT NULL AS placed, count(*) AS n FROM every e LEFT JOIN shown s ON s.file_id = e.file_id AND s.line = e.line GROUP BY ALL""")
 def review_split(spark, sf_dir):
-    """Issues that a review can place on a line of the first hunk, and those for its summary."""
-    shown = Q.lines_of(spark, sf_dir).where("type <> 'removed' and hunk_no = 0").select("file_id", F.col("new_num").alias("line"))
-    found = R.scan_custom(Q.lines_of(spark, sf_dir), Q.CUSTOM)
+    """Issues that a review can place on a line that the diff shows, and those for its summary: one about each file as a whole."""
+    lines = Q.lines_of(spark, sf_dir)
+    shown = lines.where("type <> 'removed'").select("file_id", F.col("new_num").alias("line"))
+    whole = table(spark, sf_dir, "file_diffs").select("file_id", F.lit(0).alias("line"))
+    found = R.scan_custom(lines, Q.CUSTOM).select("file_id", "line").unionByName(whole)
     return reports.review(found, shown, ["file_id"]).groupBy("file_id", "placed").agg(F.count("*").alias("n"))
 
 

@@ -82,10 +82,17 @@ def _slots(distinct: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(distinct / F.lit(PER_SLOT))).cast("int")
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _finished(points: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The wanted ranks of small ranges, by one sort of their values."""
-    own = points.join(ranges.select("range_id", "wanted", *keys, "rows"), "range_id")
-    upto = own.withColumn("upto", F.sum("n").over(W.partitionBy("range_id").orderBy("value")))
+    """The wanted ranks of the small ranges of all passes, by one sort of their values."""
+    own = points.join(ranges, ["turn", "range_id"])
+    upto = own.withColumn("upto", F.sum("n").over(W.partitionBy("turn", "range_id").orderBy("value")))
     here = F.filter("wanted", lambda w: (w["need"] <= F.col("upto")) & (w["need"] > F.col("upto") - F.col("n")))
     return upto.select(*keys, F.explode(here).alias("w"), "value", "rows").select(*keys, F.col("w.rank").alias("rank"), "value", "rows")
 
@@ -94,7 +101,8 @@ def percentiles(summary: DataFrame, groups: Sequence[str], ranks: Sequence[float
     """(groups..., metric, rank, value, rows): for every rank q the least value with at least q of the group's rows at or below it.
 
     Values stay where the summary's own shuffle has put them, spread over all tasks whatever the size of their group;
-    only pivots and counts travel. A range holds the ranks that are wanted from it, as places among its own rows.
+    only pivots and counts travel, and the sizes of the groups once (a group with very many values is split by the
+    engine's handling of skewed joins). A range holds the ranks that are wanted from it, as places among its own rows.
     An empty summary gives no rows.
     """
     keys = [*groups, "metric"]
@@ -105,7 +113,9 @@ def percentiles(summary: DataFrame, groups: Sequence[str], ranks: Sequence[float
     a = ranges.select("range_id", "distinct", *(F.col(k).alias(f"r_{k}") for k in keys))
     points = points.join(a, [points[k].eqNullSafe(a[f"r_{k}"]) for k in keys]).select("range_id", "value", "n", F.pmod(F.xxhash64("value"), _slots(F.col("distinct"))).cast("int").alias("slot"))
     large = F.col("distinct") > leaf
-    out = _finished(points, ranges.where(~large), keys)
+    tagged = lambda df, turn: df.select(F.lit(turn).alias("turn"), "range_id", "value", "n")
+    small = lambda df, turn: df.where(~large).select(F.lit(turn).alias("turn"), "range_id", "wanted", *keys, "rows")
+    turn, answers, held, ends = 0, [], [tagged(points, 0)], [small(ranges, 0)]
     ranges = ranges.where(large)
     points = durable(points.join(ranges.select("range_id"), "range_id", "left_semi")) if not ranges.isEmpty() else None
     while points is not None:
@@ -132,20 +142,21 @@ def percentiles(summary: DataFrame, groups: Sequence[str], ranks: Sequence[float
                 F.transform(F.filter("wanted", lambda w: w["need"] > upto), lambda w: F.struct(w["rank"].alias("rank"), (w["need"] - upto).alias("need"))).alias("high"),
             )
         )
-        out = out.unionByName(split.select(*keys, F.explode("hit").alias("w"), F.col("pivot").alias("value"), "rows").select(*keys, F.col("w.rank").alias("rank"), "value", "rows"))
+        answers.append(split.select(*keys, F.explode("hit").alias("w"), F.col("pivot").alias("value"), "rows").select(*keys, F.col("w.rank").alias("rank"), "value", "rows"))
         side = lambda name, count, k: F.struct((F.col("fresh") * 2 + k).alias("range_id"), F.col(count).alias("distinct"), F.col(name).alias("wanted"))
         both = split.select(*keys, "rows", F.explode(F.array(side("low", "lesser", 0), side("high", "greater", 1))).alias("s")).select(*keys, "rows", "s.*")
         kept = both.where(F.size("wanted") > 0)
-        turn = split.select("range_id", "distinct", "pivot", (F.col("fresh") * 2).alias("left_id"), (F.size("low") > 0).alias("left"), (F.size("high") > 0).alias("right"), "lesser", "greater")
-        moved = points.join(spread(turn).drop("distinct"), ["range_id", "slot"]).where(((value < pivot) & F.col("left")) | ((value > pivot) & F.col("right")))
+        sides = split.select("range_id", "distinct", "pivot", (F.col("fresh") * 2).alias("left_id"), (F.size("low") > 0).alias("left"), (F.size("high") > 0).alias("right"), "lesser", "greater")
+        moved = points.join(spread(sides).drop("distinct"), ["range_id", "slot"]).where(((value < pivot) & F.col("left")) | ((value > pivot) & F.col("right")))
         moved = moved.select(
             F.when(value < pivot, F.col("left_id")).otherwise(F.col("left_id") + 1).alias("range_id"), "value", "n",
             F.pmod(F.xxhash64("value"), _slots(F.when(value < pivot, F.col("lesser")).otherwise(F.col("greater")))).cast("int").alias("slot"),
         )
-        points = durable(moved)
-        out = out.unionByName(_finished(points, kept.where(~large), keys))
+        points, turn = durable(moved), turn + 1
+        held.append(tagged(points, turn))
+        ends.append(small(kept, turn))
         ranges = kept.where(large)
         if ranges.isEmpty():
             break
         # the points of finished ranges meet no pivot any more and fall away with the next pass
-    return out
+    return _all([_finished(_all(held), _all(ends), keys), *answers])

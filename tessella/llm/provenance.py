@@ -143,7 +143,7 @@ def rule_verdicts(files: DataFrame) -> DataFrame:
 def shown_files(files: DataFrame) -> DataFrame:
     """(file_id, run_id, dirs, name, a, b): each file's place and two hashes of its new side; files without text are left out."""
     clean = F.regexp_replace(F.regexp_replace("path", r"\\", "/"), r"^(\./|/)+", "")
-    text = F.array_join(F.flatten(F.transform("hunks", lambda h: F.transform(F.filter(h["lines"], lambda x: ~x["type"].eqNullSafe("removed")), lambda x: F.coalesce(x["content"], F.lit(""))))), "\n")
+    text = F.array_join(F.flatten(F.transform("hunks", lambda h: F.coalesce(F.transform(F.filter(h["lines"], lambda x: ~x["type"].eqNullSafe("removed")), lambda x: F.coalesce(x["content"], F.lit(""))), F.array().cast("array<string>")))), "\n")
     return (
         files.where("file_id is not null and run_id is not null and path is not null")
         .select("file_id", "run_id", F.split(clean, "/").alias("parts"), text.alias("text"))

@@ -54,6 +54,11 @@ def test_removed_lines_are_no_part_of_the_tree(spark):
     assert P.shared_subtrees(spark.createDataFrame(rows, SHAPE), owners).count() == 6
 
 
+def test_hunks_without_lines_are_no_text(spark):
+    rows = [(n, f"r{n}", f"t{n}/a.js", False, [(None,), ([("x", "added")],)], "c", "c") for n in range(2)] + [(9, "r0", "b.js", False, [(None,)], "c", "c"), (8, "r1", "c.js", False, [([(None, None)],)], "c", "c")]
+    assert sorted(r.file_id for r in P.shown_files(spark.createDataFrame(rows, SHAPE)).collect()) == [0, 1]
+
+
 def test_licence_line_needs_a_shared_file(spark):
     header = ["// SPDX-License-Identifier: MIT", "// Copyright (c) 2024 The Kestrel Authors", *CODE]
     assert P.judge("src/a.go", False, header) is None
